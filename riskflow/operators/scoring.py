@@ -26,24 +26,34 @@ def score_sql(models: ModelSet, weights=DEFAULT_WEIGHTS, prefix: str = "") -> di
     }
 
 
+def _add_model_column(df: DataFrame, model, x: list[str], name: str) -> DataFrame:
+    if hasattr(model, "apply"):  # staged model (one projection per layer)
+        return model.apply(df, x, name)
+    if hasattr(model, "column"):  # Column builder, e.g. an Arrow UDF
+        return df.withColumn(name, model.column(x))
+    return df.withColumn(name, F.expr(model.sql(x)))
+
+
 def score(df: DataFrame, models: ModelSet, weights=DEFAULT_WEIGHTS, prefix: str = "") -> DataFrame:
     """Add if_score, ae_score, sgd_score, ensemble_score (weights folded on the driver)."""
-    if models.has_sql():
+    staged = any(hasattr(m, "apply") or hasattr(m, "column") for m in (models.if_decision, models.ae_mse, models.proba))
+    if not staged:
         exprs = score_sql(models, weights, prefix)
         return df.select("*", *[F.expr(v).alias(k) for k, v in exprs.items()])
     w_if, w_ae, w_sgd = normalize_weights(weights)
     x = feature_refs(prefix)
     thr = max(float(models.ae_threshold), AE_THRESHOLD_EPS)
-    out = df.select(
-        "*",
-        (F.lit(1.0) / (F.lit(1.0) + F.exp(ModelSet.to_column(models.if_decision, x)))).alias("if_score"),
-        F.least(F.greatest(ModelSet.to_column(models.ae_mse, x) / F.lit(thr), F.lit(0.0)), F.lit(1.0)).alias("ae_score"),
-        ModelSet.to_column(models.proba, x).alias("sgd_score"),
-    )
-    return out.withColumn(
+    d = _add_model_column(df, models.if_decision, x, "_if_decision")
+    d = _add_model_column(d, models.ae_mse, x, "_ae_mse")
+    d = _add_model_column(d, models.proba, x, "sgd_score")
+    d = d.withColumn("if_score", F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("_if_decision"))))
+    d = d.withColumn("ae_score", F.least(F.greatest(F.col("_ae_mse") / F.lit(thr), F.lit(0.0)), F.lit(1.0)))
+    d = d.withColumn(
         "ensemble_score",
         F.lit(w_if) * F.col("if_score") + F.lit(w_ae) * F.col("ae_score") + F.lit(w_sgd) * F.col("sgd_score"),
     )
+    cols = [c for c in d.columns if c not in ("_if_decision", "_ae_mse", "if_score", "ae_score", "sgd_score", "ensemble_score")]
+    return d.select(*cols, "if_score", "ae_score", "sgd_score", "ensemble_score")
 
 
 def route_topic(score_col: Column, threshold: float | Column = DEFAULT_THRESHOLD,
