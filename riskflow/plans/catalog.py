@@ -20,18 +20,18 @@ def _wrap(fn):
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from riskflow.plans import events_queries, feedback_queries, model_queries, table_queries
+    from riskflow.plans import events_queries, feedback_queries, model_queries, monitoring_queries, table_queries
 
     out: dict[str, Callable] = {}
-    for mod in (events_queries, table_queries, model_queries, feedback_queries):
+    for mod in (events_queries, table_queries, model_queries, feedback_queries, monitoring_queries):
         out.update(mod.QUERIES)
     return {k: _wrap(v) for k, v in out.items()}
 
 
 def all_oracle_sql() -> dict[str, str]:
-    from riskflow.plans import events_oracle, feedback_oracle, model_oracle, table_oracle
+    from riskflow.plans import events_oracle, feedback_oracle, model_oracle, monitoring_oracle, table_oracle
 
     out: dict[str, str] = {}
-    for mod in (events_oracle, table_oracle, model_oracle, feedback_oracle):
+    for mod in (events_oracle, table_oracle, model_oracle, feedback_oracle, monitoring_oracle):
         out.update(mod.oracle())
     return out

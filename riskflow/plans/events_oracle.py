@@ -15,14 +15,14 @@ KNOWN_SQL = ", ".join(f"'{k}'" for k in KNOWN)
 PARSED = parsed_events_cte()
 
 FEATURES_CTE = f"""
-feat AS (
+efeat AS (
   SELECT p.*,
     CASE WHEN p.error IS NULL AND NOT {iso_valid_sql('p.timestamp')}
          THEN 'Invalid isoformat string: ''' || p.timestamp || '''' END AS stage_error
   FROM parsed p
 ),
 feat2 AS (
-  SELECT event_id, raw, coalesce(error, stage_error) AS error,
+  SELECT event_id, ts, raw, coalesce(error, stage_error) AS error,
     CASE WHEN coalesce(error, stage_error) IS NULL THEN amount END AS amount,
     CASE WHEN coalesce(error, stage_error) IS NULL THEN amount / (old_balance_orig + 1.0) END AS amount_ratio,
     CASE WHEN coalesce(error, stage_error) IS NULL THEN old_balance_orig - new_balance_orig - amount END AS balance_diff_orig,
@@ -30,7 +30,7 @@ feat2 AS (
     CASE WHEN coalesce(error, stage_error) IS NULL THEN CASE WHEN type IN ('CASH-OUT', 'CASH_OUT') THEN 1 ELSE 0 END END AS is_cashout,
     CASE WHEN coalesce(error, stage_error) IS NULL THEN {hour_sql('timestamp')} END AS hour_of_day,
     CASE WHEN coalesce(error, stage_error) IS NULL THEN 1 END AS txn_velocity_1h
-  FROM feat
+  FROM efeat
 )"""
 
 

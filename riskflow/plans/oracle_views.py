@@ -112,7 +112,7 @@ metric_counts AS (
                       WHEN 'signup' THEN 'promotion_fail_total'
                       WHEN 'error' THEN 'feedback_publish_errors_total' END AS name,
       CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day,
-      make_timestamp((floor(epoch_us(ts) / 300000000) + 1) * 300000000) AS bucket_end
+      make_timestamp(CAST((floor(epoch_us(ts) / 300000000) + 1) * 300000000 AS BIGINT)) AS bucket_end
     FROM events
   ) e
   WHERE name IS NOT NULL
