@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from riskflow.contract import ALERT_RULES, TOPIC_ANOMALY, TOPIC_DLQ, TOPIC_NORMAL
 
-EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+EPOCH_TEXT = "1970-01-01 00:00:00"
 
 # Fixed names of the event-flow counters, by topic.
 TOPIC_COUNTERS = [
@@ -24,7 +24,7 @@ TOPIC_COUNTERS = [
 
 
 def seconds(ts: Column) -> Column:
-    return F.timestamp_diff("SECOND", EPOCH, ts)
+    return F.timestamp_diff("SECOND", F.lit(EPOCH_TEXT).cast("timestamp_ntz"), ts)
 
 
 def stream_counters(routed: DataFrame, ts_col: str = "ts", unit: str = "hour") -> DataFrame:
