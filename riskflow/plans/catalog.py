@@ -20,10 +20,10 @@ def _wrap(fn):
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from riskflow.plans import events_queries, feedback_queries, model_queries, monitoring_queries, stream_queries, table_queries
+    from riskflow.plans import events_queries, feedback_queries, model_queries, monitoring_queries, stream_queries, table_queries, training_queries
 
     out: dict[str, Callable] = {}
-    for mod in (events_queries, table_queries, model_queries, feedback_queries, monitoring_queries, stream_queries):
+    for mod in (events_queries, table_queries, model_queries, feedback_queries, monitoring_queries, stream_queries, training_queries):
         out.update(mod.QUERIES)
     return {k: _wrap(v) for k, v in out.items()}
 
