@@ -22,7 +22,24 @@ def q_stream_velocity(spark, sf_dir):
         "event_id", "user_id", "txn_velocity_1h")
 
 
+def q_feedback_stream_loop(spark, sf_dir):
+    """T5 as a stream: feedback -> acceptance -> batch updates with promotion guard -> summary."""
+    from riskflow.models.registry import ModelRegistry
+    from riskflow.plans.model_queries import feats
+    from riskflow.sources import adapters
+    from riskflow.streaming.feedback_loop import FeedbackLoop
+
+    out, ckpt = jobs.stream_location(spark, "feedback-loop")
+    holdout = feats(spark, sf_dir).cache()
+    loop = FeedbackLoop(spark, holdout, out, ModelRegistry(spark, out + "/registry"))
+    src = adapters.feedback_text(jobs.event_source(spark, sf_dir))
+    loop.run_stream(src.select("event_id", "raw"), ckpt)
+    holdout.unpersist()
+    return loop.summary()
+
+
 QUERIES = {
+    "feedback_stream_loop": q_feedback_stream_loop,
     "stream_scoring": q_stream_scoring,
     "stream_velocity": q_stream_velocity,
 }
