@@ -31,9 +31,9 @@ def parse_strict(raw: Column) -> tuple[Column, Column]:
     as_member = F.try_parse_json(F.concat(F.lit('{"r":'), raw, F.lit("}")))
     v = F.variant_get(as_member, "$.r", "variant")
     valid = as_array.isNotNull() & as_member.isNotNull() & F.variant_get(as_array, "$[1]", "variant").isNull()
-    error = F.when(~valid | raw.isNull(), F.lit(MSG_INVALID_JSON)).when(
-        ~F.schema_of_variant(v).startswith("OBJECT"), F.lit(MSG_NOT_OBJECT)
-    )
+    # Once the text is one valid JSON value, it is an object iff it opens with '{'.
+    is_object = raw.rlike(r"^[ \t\r\n]*\{")
+    error = F.when(~valid | raw.isNull(), F.lit(MSG_INVALID_JSON)).when(~is_object, F.lit(MSG_NOT_OBJECT))
     return v, error
 
 

@@ -86,6 +86,10 @@ FROM txn"""),
         "batch_features": with_views(["txn"], [FEATURES_CTE], f"""
 SELECT event_id, nameOrig, step, timestamp, amount, round(amount_ratio, {R}) AS amount_ratio,
   round(balance_diff_orig, {R}) AS balance_diff_orig, is_transfer, is_cashout, hour_of_day, txn_velocity_1h, isFraud
+FROM feat"""),
+        "feature_table": with_views(["txn"], [FEATURES_CTE], f"""
+SELECT event_id, nameOrig, step, timestamp, amount, round(amount_ratio, {R}) AS amount_ratio,
+  round(balance_diff_orig, {R}) AS balance_diff_orig, is_transfer, is_cashout, hour_of_day, txn_velocity_1h, isFraud
 FROM feat"""),
         "txn_velocity": with_views(["txn"], [FEATURES_CTE], "SELECT event_id, nameOrig, step, txn_velocity_1h FROM feat"),
     }

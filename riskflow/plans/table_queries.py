@@ -63,7 +63,27 @@ def q_txn_velocity(spark, sf_dir):
     return features(spark, sf_dir).select("event_id", "nameOrig", "step", "txn_velocity_1h")
 
 
+def q_feature_table(spark, sf_dir):
+    """S2 + K1 + S3: write the feature table range-partitioned and sorted by (nameOrig, timestamp),
+    then scan it back with the required-column check."""
+    import uuid
+
+    from riskflow.operators.batch_features import read_feature_table, write_feature_table
+    from riskflow.session import checkpoint_dir
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/feature_tables/{uuid.uuid4().hex}"
+    write_feature_table(features(spark, sf_dir), path)
+    f = read_feature_table(spark, path)
+    return f.select(
+        "event_id", "nameOrig", "step", "timestamp", "amount",
+        F.round("amount_ratio", R).alias("amount_ratio"),
+        F.round("balance_diff_orig", R).alias("balance_diff_orig"),
+        "is_transfer", "is_cashout", "hour_of_day", "txn_velocity_1h", "isFraud",
+    )
+
+
 QUERIES = {
+    "feature_table": q_feature_table,
     "table_validation": q_table_validation,
     "unknown_types": q_unknown_types,
     "profile_overall": q_profile_overall,

@@ -53,8 +53,20 @@ def event_source(spark: SparkSession, sf_dir: str, max_files_per_trigger: int |
 
 
 def scoring_stream(events_stream: DataFrame, models: ModelSet | None, threshold: float = 0.5) -> DataFrame:
-    """T1 on a stream: raw JSON -> parse -> features -> score -> topic."""
-    return route_events(adapters.raw_event(events_stream), models, threshold=threshold)
+    """T1 on a stream: raw JSON -> parse -> features -> score -> topic.
+
+    O1: per micro-batch counters are attached with ``observe`` and arrive in
+    each ``StreamingQueryProgress.observedMetrics['stream_counters']``.
+    """
+    routed = route_events(adapters.raw_event(events_stream), models, threshold=threshold)
+    return routed.observe(
+        "stream_counters",
+        F.count(F.lit(1)).alias("stream_events_in_total"),
+        F.count_if(F.col("topic") == "anomalies").alias("stream_events_anomaly_total"),
+        F.count_if(F.col("topic") == "metrics").alias("stream_events_normal_total"),
+        F.count_if(F.col("topic") == "feature-events").alias("stream_events_valid_total"),
+        F.count_if(F.col("topic") == TOPIC_DLQ).alias("stream_events_dlq_total"),
+    )
 
 
 def run_available_now(df: DataFrame, out: str, ckpt: str, partition_by: list[str] | None = None,
