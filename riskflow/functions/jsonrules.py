@@ -19,22 +19,33 @@ from riskflow.contract import MSG_INVALID_JSON, MSG_MISSING_FIELDS, MSG_NOT_OBJE
 NUMERIC_KINDS = ("BIGINT", "DOUBLE")
 
 
-def parse_strict(raw: Column) -> tuple[Column, Column]:
-    """(variant, error) for a JSON text that must hold exactly one object.
+def _lit(text: str) -> str:
+    """Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def parse_strict_sql(raw: str) -> tuple[str, str]:
+    """SQL text of (variant, error) for a JSON text that must hold exactly one object.
 
     ``try_parse_json`` ignores trailing text, so the text is parsed inside two
-    wrappers (an array and an object member); each wrapper alone can be
-    fooled, together they reject trailing content.  The value is taken from
-    the member wrapper, so a row costs two parses.
+    wrappers (an array and an object member).  Each wrapper alone can be
+    fooled by a premature close (']' resp. '}'), never both at once.  The
+    value is taken from the member wrapper, so a row costs two parses; once
+    the text is a single valid JSON value it is an object iff it opens with '{'.
     """
-    as_array = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
-    as_member = F.try_parse_json(F.concat(F.lit('{"r":'), raw, F.lit("}")))
-    v = F.variant_get(as_member, "$.r", "variant")
-    valid = as_array.isNotNull() & as_member.isNotNull() & F.variant_get(as_array, "$[1]", "variant").isNull()
-    # Once the text is one valid JSON value, it is an object iff it opens with '{'.
-    is_object = raw.rlike(r"^[ \t\r\n]*\{")
-    error = F.when(~valid | raw.isNull(), F.lit(MSG_INVALID_JSON)).when(~is_object, F.lit(MSG_NOT_OBJECT))
-    return v, error
+    arr = f"try_parse_json(concat('[', {raw}, ']'))"
+    mem = f"try_parse_json(concat('{{\"r\":', {raw}, '}}'))"
+    v = f"variant_get({mem}, '$.r', 'variant')"
+    valid = f"({arr} IS NOT NULL AND {mem} IS NOT NULL AND variant_get({arr}, '$[1]', 'variant') IS NULL)"
+    err = (f"CASE WHEN {raw} IS NULL OR NOT {valid} THEN {_lit(MSG_INVALID_JSON)} "
+           f"WHEN NOT ({raw} RLIKE '^[ \\\\t\\\\r\\\\n]*[{{]') THEN {_lit(MSG_NOT_OBJECT)} END")
+    return v, err
+
+
+def parse_strict(raw_col: str) -> tuple[Column, Column]:
+    """Column form of :func:`parse_strict_sql` for a named column."""
+    v, err = parse_strict_sql(f"`{raw_col}`")
+    return F.expr(v), F.expr(err)
 
 
 def field(v: Column, name: str) -> Column:
@@ -69,66 +80,70 @@ def _target(spec: dict) -> str:
     return {"number": "double", "integer": "bigint", "boolean": "boolean"}.get(t, "string")
 
 
-def field_facts(v: Column, schema: dict) -> list[Column]:
-    """Per declared member, computed once: type name (_k_), text (_s_) and typed value (_t_)."""
-    out: list[Column] = []
+def field_facts(v: str, schema: dict) -> list[str]:
+    """SQL text per declared member, computed once: type name (_k_), text (_s_), typed value (_t_)."""
+    out: list[str] = []
     for name, spec in schema.get("properties", {}).items():
         if not isinstance(spec, dict):
             continue
-        out.append(kind_of(v, name).alias(f"_k_{name}"))
-        out.append(F.try_variant_get(v, f"$.{name}", "string").alias(f"_s_{name}"))
-        out.append(F.try_variant_get(v, f"$.{name}", _target(spec)).alias(f"_t_{name}"))
+        out.append(f"schema_of_variant(variant_get({v}, '$.{name}', 'variant')) AS `_k_{name}`")
+        out.append(f"try_variant_get({v}, '$.{name}', 'string') AS `_s_{name}`")
+        out.append(f"try_variant_get({v}, '$.{name}', '{_target(spec)}') AS `_t_{name}`")
     for name in schema.get("required", []):
         if name not in schema.get("properties", {}):
-            out.append(kind_of(v, name).alias(f"_k_{name}"))
+            out.append(f"schema_of_variant(variant_get({v}, '$.{name}', 'variant')) AS `_k_{name}`")
     return out
 
 
-def schema_error(schema: dict) -> Column:
-    """First failing rule over the columns of :func:`field_facts` (NULL when all pass)."""
+def _numeric_sql(k: str) -> str:
+    return f"({k} IN ('BIGINT', 'DOUBLE') OR startswith({k}, 'DECIMAL'))"
+
+
+def schema_error(schema: dict) -> str:
+    """SQL text: first failing rule over the :func:`field_facts` columns (NULL when all pass)."""
     required = list(schema.get("required", []))
     props = schema.get("properties", {})
-    checks: list[Column] = []
+    checks: list[str] = []
 
-    def k(name: str) -> Column:
-        return F.col(f"_k_{name}")
+    def k(name: str) -> str:
+        return f"`_k_{name}`"
 
     if required:
-        missing = F.array_compact(F.array(*[F.when(k(n).isNull(), F.lit(n)) for n in required]))
-        checks.append(F.when(F.size(missing) > 0, F.concat(F.lit(MSG_MISSING_FIELDS), py_list_text(missing))))
-
+        names = ", ".join(f"CASE WHEN {k(n)} IS NULL THEN '{n}' END" for n in required)
+        missing = f"array_compact(array({names}))"
+        checks.append(
+            f"CASE WHEN size({missing}) > 0 THEN concat({_lit(MSG_MISSING_FIELDS)}, '[', "
+            f"array_join(transform({missing}, x -> concat('\\'', x, '\\'')), ', '), ']') END"
+        )
     for name, spec in props.items():
         if not isinstance(spec, dict):
             continue
-        present = k(name).isNotNull()
-        expected = spec.get("type")
-        if expected == "string":
-            checks.append(F.when(present & (k(name) != "STRING"), F.lit(f"Field '{name}' must be a string.")))
-            min_len = spec.get("minLength")
-            if isinstance(min_len, int) and not isinstance(min_len, bool):
-                checks.append(F.when(present & (F.length(F.col(f"_s_{name}")) < min_len),
-                                     F.lit(f"Field '{name}' must have length >= {min_len}.")))
-        elif expected == "number":
-            checks.append(F.when(present & ~is_numeric_kind(k(name)), F.lit(f"Field '{name}' must be numeric.")))
-        elif expected == "integer":
-            checks.append(F.when(present & ~is_integer_kind(k(name)), F.lit(f"Field '{name}' must be an integer.")))
-        elif expected == "boolean":
-            checks.append(F.when(present & (k(name) != "BOOLEAN"), F.lit(f"Field '{name}' must be a boolean.")))
-
+        present = f"{k(name)} IS NOT NULL"
+        t = spec.get("type")
+        if t == "string":
+            checks.append(f"CASE WHEN {present} AND {k(name)} <> 'STRING' THEN {_lit(f'Field {name!r} must be a string.')} END")
+            ml = spec.get("minLength")
+            if isinstance(ml, int) and not isinstance(ml, bool):
+                checks.append(f"CASE WHEN {present} AND length(`_s_{name}`) < {ml} "
+                              f"THEN {_lit(f'Field {name!r} must have length >= {ml}.')} END")
+        elif t == "number":
+            checks.append(f"CASE WHEN {present} AND NOT {_numeric_sql(k(name))} THEN {_lit(f'Field {name!r} must be numeric.')} END")
+        elif t == "integer":
+            checks.append(f"CASE WHEN {present} AND NOT ({k(name)} = 'BIGINT' OR {k(name)} RLIKE '^DECIMAL\\\\(\\\\d+,0\\\\)$') "
+                          f"THEN {_lit(f'Field {name!r} must be an integer.')} END")
+        elif t == "boolean":
+            checks.append(f"CASE WHEN {present} AND {k(name)} <> 'BOOLEAN' THEN {_lit(f'Field {name!r} must be a boolean.')} END")
     for name, spec in props.items():
         if isinstance(spec, dict) and "enum" in spec:
-            text = F.col(f"_s_{name}")
-            checks.append(F.when(k(name).isNotNull() & ~F.coalesce(text.isin(*list(spec["enum"])), F.lit(False)),
-                                 F.concat(F.lit(f"Invalid value for '{name}': "), F.coalesce(text, F.lit("None")))))
-
+            allowed = ", ".join(_lit(a) for a in spec["enum"])
+            checks.append(f"CASE WHEN {k(name)} IS NOT NULL AND NOT coalesce(`_s_{name}` IN ({allowed}), false) "
+                          f"THEN concat({_lit(f'Invalid value for {name!r}: ')}, coalesce(`_s_{name}`, 'None')) END")
     for name, spec in props.items():
         if isinstance(spec, dict) and "minimum" in spec:
             lo = float(spec["minimum"])
-            present = k(name).isNotNull()
-            num = F.col(f"_t_{name}").cast("double")
             checks.append(
-                F.when(present & ~is_numeric_kind(k(name)), F.lit(f"Field '{name}' must be numeric."))
-                .when(present & (num < F.lit(lo)), F.lit(f"Field '{name}' must be >= {py_float_text(lo)}."))
+                f"CASE WHEN {k(name)} IS NOT NULL AND NOT {_numeric_sql(k(name))} THEN {_lit(f'Field {name!r} must be numeric.')} "
+                f"WHEN {k(name)} IS NOT NULL AND CAST(`_t_{name}` AS DOUBLE) < CAST({lo!r} AS DOUBLE) "
+                f"THEN {_lit(f'Field {name!r} must be >= {py_float_text(lo)}.')} END"
             )
-
-    return F.coalesce(*checks) if checks else F.lit(None).cast("string")
+    return "coalesce(" + ", ".join(checks) + ")" if checks else "CAST(NULL AS STRING)"

@@ -148,19 +148,17 @@ def alert_budget(df: DataFrame, score_col: str, id_col: str, ratio: float) -> Da
     The budget can be a large fraction of the input, so the cut is a rank
     filter over a range-partitioned order, not a top-k gathered in one task.
     """
-    n = df.count()
-    if n == 0:
-        return df.limit(0).withColumn("alert_rank", F.lit(0).cast("long"))
-    k = budget_size(n, ratio)
     ranked = global_row_index(df, [F.col(score_col).desc(), F.col(id_col).asc()], "_rank")
+    n = ranked.count()  # read from the checkpointed ranking, not a second pass over the input
+    k = budget_size(n, ratio) if n > 0 else 0
     return ranked.where(F.col("_rank") < k).withColumn("alert_rank", F.col("_rank") + 1).drop("_rank")
 
 
 def quality_at_budget(scored: DataFrame, score_col: str, id_col: str, label_col: str, ratio: float) -> DataFrame:
     """K2 quality: precision and recall inside the budget."""
-    n = scored.count()
-    k = budget_size(n, ratio) if n > 0 else 0
     ranked = global_row_index(scored, [F.col(score_col).desc(), F.col(id_col).asc()], "_rank")
+    n = ranked.count()
+    k = budget_size(n, ratio) if n > 0 else 0
     y = F.col(label_col) == 1
     a = ranked.agg(
         F.count_if(F.col("_rank") < k).alias("alerts_sent"),
@@ -197,10 +195,10 @@ def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int, min_rows: int =
     Rows are ranked by a seeded hash of the id and the first n ranks kept
     (rank filter over a range-partitioned order: the sample may be large).
     """
-    available = df.count()
+    h = F.xxhash64(F.col(id_col), F.lit(seed))
+    ranked = global_row_index(df.withColumn("_h", h), [F.col("_h"), F.col(id_col)], "_sr")
+    available = ranked.count()
     take = min(n, available)
     if take < min_rows:
         raise ValueError("No rows available for training." if min_rows <= 1 else "Not enough rows for training.")
-    h = F.xxhash64(F.col(id_col), F.lit(seed))
-    ranked = global_row_index(df.withColumn("_h", h), [F.col("_h"), F.col(id_col)], "_sr")
     return ranked.where(F.col("_sr") < take).drop("_h", "_sr")

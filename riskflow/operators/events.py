@@ -23,7 +23,7 @@ from riskflow.contract import (
     TOPIC_PARSED,
 )
 from riskflow.functions import features as FX
-from riskflow.functions.jsonrules import field_facts, parse_strict, schema_error
+from riskflow.functions.jsonrules import field_facts, parse_strict_sql, schema_error
 from riskflow.functions.plan import fence
 from riskflow.models.base import ModelSet
 from riskflow.operators.scoring import route_topic, score
@@ -38,22 +38,18 @@ def parse_events(df: DataFrame, raw_col: str = "raw", schema: dict = EVENT_SCHEM
     ``event`` is a struct of the typed schema fields plus ``extras`` (the
     undeclared members minus the leakage fields, V6); it is NULL on failed rows.
     """
-    raw = F.col(raw_col)
-    v, decode_error = parse_strict(raw)
-    staged = fence(df.select("*", v.alias("_v"), decode_error.alias("_decode_error")))
-    staged = fence(staged.select("*", *field_facts(F.col("_v"), schema)))
-    error = F.coalesce(F.col("_decode_error"), schema_error(schema))
+    v, decode_error = parse_strict_sql(f"`{raw_col}`")
+    staged = fence(df.selectExpr("*", f"{v} AS _v", f"{decode_error} AS _decode_error"))
+    staged = fence(staged.selectExpr("*", *field_facts("_v", schema)))
     props = [n for n, sp in schema.get("properties", {}).items() if isinstance(sp, dict)]
-    known = set(props) | set(LEAKAGE_FIELDS)
-    members = F.try_variant_get(F.col("_v"), "$", "map<string,string>")
-    extras = F.map_filter(members, lambda key, _: ~key.isin(*sorted(known)))
-    base = [F.col(f"`{c}`") for c in df.columns]
-    out = staged.select(*base, error.alias("error"), *[F.col(f"_t_{n}") for n in props], extras.alias("_extras"))
-    event = F.when(
-        F.col("error").isNull(),
-        F.struct(*[F.col(f"_t_{n}").alias(n) for n in props], F.col("_extras").alias("extras")),
-    )
-    return fence(out.select(*base, "error", event.alias("event")))
+    known = ", ".join(f"'{k}'" for k in sorted(set(props) | set(LEAKAGE_FIELDS)))
+    base = [f"`{c}`" for c in df.columns]
+    error = f"coalesce(_decode_error, {schema_error(schema)})"
+    event = (f"CASE WHEN error IS NULL THEN named_struct("
+             + ", ".join(f"'{n}', `_t_{n}`" for n in props)
+             + f", 'extras', map_filter(try_variant_get(_v, '$', 'map<string,string>'), (k, x) -> NOT k IN ({known}))) END")
+    out = staged.selectExpr(*base, f"{error} AS error", "_v", *[f"`_t_{n}`" for n in props])
+    return fence(out.selectExpr(*base, "error", f"{event} AS event"))
 
 
 def parse_route(df: DataFrame, raw_col: str = "raw", valid_topic: str = TOPIC_PARSED,

@@ -75,54 +75,46 @@ def _kv(key: str, value: Column) -> Column:
     return F.concat(F.lit(f'"{key}":'), value)
 
 
+def _type_case_sql(col: str) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TYPE_MAP)
+    return f"CASE {col} {whens} ELSE 'CASH_OUT' END"
+
+
 def raw_event(events: DataFrame) -> DataFrame:
-    """One JSON text per event; ``event_id % 50`` selects a corruption family."""
-    m = F.col("event_id") % 50
-    amt = F.col("value").cast("decimal(18,2)")
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    old = (k * 10).cast("decimal(18,2)")
-    new = F.greatest(old - amt, F.lit(0).cast("decimal(18,2)"))
-    ttype = F.replace(_case(F.col("event_type"), TYPE_MAP, "CASH_OUT"), F.lit("_"), F.lit("-"))
-    ts_text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    amt_s = amt.cast("string")
-
-    ts_val = (
-        F.when(m == 3, F.col("event_id").cast("string"))
-        .when(m == 7, F.lit('"not-a-date"'))
-        .when(m == 15, _q(F.concat(ts_text, F.lit("+05:00"))))
-        .otherwise(_q(F.concat(ts_text, F.lit("Z"))))
-    )
-    user_val = (
-        F.when(m == 6, F.lit('""'))
-        .when(m == 12, F.lit("null"))
-        .otherwise(_q(F.concat(F.lit("C"), F.col("user_id").cast("string"))))
-    )
-    type_val = F.when(m == 2, F.lit('"WIRE"')).when(m == 13, F.lit('"CASH_OUT"')).otherwise(_q(ttype))
-    amount_val = (
-        F.when(m == 4, F.concat(F.lit("-"), amt_s))
-        .when(m == 9, _q(amt_s))
-        .when(m == 10, F.lit("true"))
-        .otherwise(amt_s)
-    )
-    parts = [
-        _kv("event_id", _q(F.col("event_id").cast("string"))),
-        F.when(m != 17, _kv("timestamp", ts_val)),
-        F.when(m != 1, _kv("user_id", user_val)),
-        _kv("type", type_val),
-        _kv("amount", amount_val),
-        _kv("old_balance_orig", old.cast("string")),
-        F.when(m != 17, _kv("new_balance_orig", new.cast("string"))),
-        F.when(m == 8, F.lit('"is_fraud":1,"isFraud":1,"label":"fraud"')),
-        F.when(m == 16, _kv("amount", amt_s)),
-    ]
-    body = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
-    raw = (
-        F.when(m == 5, F.lit("{bad json}"))
-        .when(m == 11, F.concat(F.lit("["), body, F.lit("]")))
-        .when(m == 14, F.concat(body, F.lit(" x")))
-        .otherwise(body)
+    """One JSON text per event; ``event_id % 50`` selects a corruption family (SQL text, one projection)."""
+    base = events.selectExpr(
+        "event_id", "ts", "user_id", "event_id % 50 AS m",
+        "CAST(CAST(value AS DECIMAL(18,2)) AS STRING) AS amt_s",
+        "CAST(value AS DECIMAL(18,2)) AS amt",
+        "CAST(CAST(get_json_object(props, '$.k') AS BIGINT) * 10 AS DECIMAL(18,2)) AS old",
+        f"replace({_type_case_sql('event_type')}, '_', '-') AS ttype",
+        "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") AS ts_text",
     )
-    return events.select("event_id", "ts", raw.alias("raw"))
+    body = """concat('{', concat_ws(',',
+        concat('"event_id":"', CAST(event_id AS STRING), '"'),
+        CASE WHEN m <> 17 THEN concat('"timestamp":',
+          CASE WHEN m = 3 THEN CAST(event_id AS STRING)
+               WHEN m = 7 THEN '"not-a-date"'
+               WHEN m = 15 THEN concat('"', ts_text, '+05:00"')
+               ELSE concat('"', ts_text, 'Z"') END) END,
+        CASE WHEN m <> 1 THEN concat('"user_id":',
+          CASE WHEN m = 6 THEN '""' WHEN m = 12 THEN 'null'
+               ELSE concat('"C', CAST(user_id AS STRING), '"') END) END,
+        concat('"type":', CASE WHEN m = 2 THEN '"WIRE"' WHEN m = 13 THEN '"CASH_OUT"'
+                               ELSE concat('"', ttype, '"') END),
+        concat('"amount":', CASE WHEN m = 4 THEN concat('-', amt_s) WHEN m = 9 THEN concat('"', amt_s, '"')
+                                 WHEN m = 10 THEN 'true' ELSE amt_s END),
+        concat('"old_balance_orig":', CAST(old AS STRING)),
+        CASE WHEN m <> 17 THEN concat('"new_balance_orig":',
+          CAST(greatest(old - amt, CAST(0 AS DECIMAL(18,2))) AS STRING)) END,
+        CASE WHEN m = 8 THEN '"is_fraud":1,"isFraud":1,"label":"fraud"' END,
+        CASE WHEN m = 16 THEN concat('"amount":', amt_s) END
+      ), '}')"""
+    raw = f"""CASE WHEN m = 5 THEN '{{bad json}}'
+                   WHEN m = 11 THEN concat('[', {body}, ']')
+                   WHEN m = 14 THEN concat({body}, ' x')
+                   ELSE {body} END AS raw"""
+    return base.selectExpr("event_id", "ts", raw)
 
 
 def _dec6(c: Column) -> Column:

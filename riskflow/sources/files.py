@@ -38,9 +38,9 @@ def missing_columns(df: DataFrame) -> list[str]:
 
 def read_feedback_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """One record per non-blank line; lines that do not decode to an object are dropped."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    v, err = parse_strict(F.trim(F.col("value")))
-    return lines.select(F.trim("value").alias("raw"), err.alias("_e")).where(F.col("_e").isNull()).drop("_e")
+    lines = spark.read.text(path).select(F.trim("value").alias("raw")).where(F.col("raw") != "")
+    _, err = parse_strict("raw")
+    return lines.select("raw", err.alias("_e")).where(F.col("_e").isNull()).drop("_e")
 
 
 def publish_json(df: DataFrame, path: str) -> None:
