@@ -13,6 +13,9 @@ import math
 from dataclasses import dataclass
 from typing import Callable, Protocol
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,3 +81,27 @@ def clip_sql(z: str, lo: float, hi: float) -> str:
 def dot_sql(x: list[str], w: list[float], b: float) -> str:
     terms = " + ".join(f"({xi}) * {fmt(wi)}" for xi, wi in zip(x, w))
     return f"({terms} + {fmt(b)})"
+
+
+class PandasModel:
+    """A user model on the ordered (n, 7) feature matrix, run as an Arrow ``pandas_udf``.
+
+    ``fn`` takes a float ndarray of shape (n, 7) (contract order) and returns
+    n scores - e.g. ``lambda x: model.decision_function(x)`` or
+    ``lambda x: model.predict_proba(x)[:, 1]``.  Rows travel in Arrow batches.
+    """
+
+    def __init__(self, fn):
+        self.fn = fn
+
+    def column(self, x: list[str]) -> Column:
+        from pyspark.sql import types as T
+
+        fn = self.fn
+
+        @F.pandas_udf(T.DoubleType())
+        def user_model(*cols: pd.Series) -> pd.Series:
+            m = np.column_stack([c.to_numpy(dtype=float) for c in cols])
+            return pd.Series(np.asarray(fn(m), dtype=float).reshape(-1))
+
+        return user_model(*[F.expr(c) if isinstance(c, str) else c for c in x])
