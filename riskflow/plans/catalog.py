@@ -20,18 +20,18 @@ def _wrap(fn):
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from riskflow.plans import events_queries, feedback_queries, model_queries, monitoring_queries, stream_queries, table_queries, training_queries
+    from riskflow.plans import events_queries, feedback_queries, io_queries, model_queries, monitoring_queries, stream_queries, table_queries, training_queries
 
     out: dict[str, Callable] = {}
-    for mod in (events_queries, table_queries, model_queries, feedback_queries, monitoring_queries, stream_queries, training_queries):
+    for mod in (events_queries, table_queries, model_queries, feedback_queries, monitoring_queries, io_queries, stream_queries, training_queries):
         out.update(mod.QUERIES)
     return {k: _wrap(v) for k, v in out.items()}
 
 
 def all_oracle_sql() -> dict[str, str]:
-    from riskflow.plans import events_oracle, feedback_oracle, model_oracle, monitoring_oracle, stream_oracle, table_oracle
+    from riskflow.plans import events_oracle, feedback_oracle, io_oracle, model_oracle, monitoring_oracle, stream_oracle, table_oracle
 
     out: dict[str, str] = {}
-    for mod in (events_oracle, table_oracle, model_oracle, feedback_oracle, monitoring_oracle, stream_oracle):
+    for mod in (events_oracle, table_oracle, model_oracle, feedback_oracle, monitoring_oracle, io_oracle, stream_oracle):
         out.update(mod.oracle())
     return out
