@@ -105,7 +105,10 @@ def exact_quantiles(df: DataFrame, value_col: str, qs: list[float], by: list[str
     d = df.select(*by, F.col(value_col).cast("double").alias("_x")).where(
         F.col("_x").isNotNull() & ~F.isnan("_x")
     )
-    idx = global_row_index(d, [*by, "_x"], "_r")
+    # A per-row tiebreaker keeps a heavily repeated value from landing in one
+    # range partition; tied rows carry the same value, so quantiles are unchanged.
+    d = d.withColumn("_tb", F.monotonically_increasing_id())
+    idx = global_row_index(d, [*by, "_x", "_tb"], "_r")
     counts = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     if by:
         before = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)

@@ -41,3 +41,15 @@ def test_exact_quantiles_grouped_vs_numpy(spark):
         assert q[g]["n"] == len(a)
         for i, p in enumerate([0.0, 0.5, 0.995, 1.0]):
             assert q[g][f"q_{i}"] == pytest.approx(np.quantile(a, p), rel=1e-12)
+
+
+def test_quantiles_with_a_hot_value_spread_over_partitions(spark):
+    # a third of the rows share one value; ranks still give numpy's answer
+    vals = [5.0] * 300 + [float(i) for i in range(600)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    q = exact_quantiles(df, "x", [0.25, 0.5, 0.9]).first()
+    for i, p in enumerate([0.25, 0.5, 0.9]):
+        assert q[f"q_{i}"] == pytest.approx(np.quantile(np.array(vals), p))
+    idx = global_row_index(df.withColumn("t", F.monotonically_increasing_id()), ["x", "t"], "r", num_partitions=6)
+    sizes = [r["count"] for r in idx.groupBy(F.floor(F.col("r") / 150)).count().collect()]
+    assert max(sizes) <= 150
