@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskflow.contract import FEATURES_V1
 from riskflow.functions import features as FX
 from riskflow.operators.ordering import grouped_row_number
+from riskflow.session import target_partitions
 
 
 def add_training_features(txn: DataFrame, ingest_col: str = "event_id") -> DataFrame:
@@ -34,7 +35,7 @@ def add_training_features(txn: DataFrame, ingest_col: str = "event_id") -> DataF
 
 def write_feature_table(features: DataFrame, path: str, partitions: int | None = None) -> None:
     """S2 + K1: write ordered by (nameOrig, timestamp): range partitions, sorted inside."""
-    n = partitions or int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or target_partitions(features)
     (
         features.repartitionByRange(n, "nameOrig", "timestamp")
         .sortWithinPartitions("nameOrig", "timestamp")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskflow.session import cut_lineage
+from riskflow.session import cut_lineage, target_partitions
 
 BUCKET_ROWS = 1 << 20
 
@@ -42,8 +42,7 @@ def grouped_row_number(df: DataFrame, keys: list[str], order_col: str, name: str
 
 
 def _ranged(df: DataFrame, order: list[Column], num_partitions: int | None) -> DataFrame:
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or target_partitions(df)
     ranged = (
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)

@@ -71,3 +71,35 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+MAX_RANGE_PARTITIONS = 100_000
+
+
+def target_partitions(df, bytes_per_partition: int = TARGET_PARTITION_BYTES) -> int:
+    """Partition count for a full-data shuffle: Catalyst's size estimate / target size,
+    never fewer than ``spark.sql.shuffle.partitions``."""
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # no estimate available
+        return base
+    if size >= 1 << 62:  # "unknown" (the planner's default for unbounded estimates)
+        return base
+    return int(min(MAX_RANGE_PARTITIONS, max(base, -(-size // bytes_per_partition))))
+
+
+# Settings for large clusters (applied by the deployment, not by library code):
+# AQE coalesces small shuffle partitions and splits skewed join partitions at
+# run time; file splits of 256 MB keep scan tasks large.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TARGET_PARTITION_BYTES),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.files.maxPartitionBytes": str(TARGET_PARTITION_BYTES),
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.variant.allowDuplicateKeys": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
