@@ -46,12 +46,20 @@ def stream_location(spark: SparkSession, name: str, run_id: str | None = None) -
 def event_source(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None,
                  file_glob: str = "events.parquet", schema=None) -> DataFrame:
     """Streaming scan of the events files in a folder (file source; schema from a footer)."""
+    static = spark.read.option("pathGlobFilter", file_glob).parquet(sf_dir)
     if schema is None:
-        schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
+        schema = static.schema
     r = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(sf_dir)
+    stream = r.parquet(sf_dir)
+    # Same rule as the batch scan: a landing folder with fewer splits than task
+    # slots (one small file) would put all per-row work in one task; many
+    # files (or a partitioned log source) already exceed the slots.
+    slots = spark.sparkContext.defaultParallelism
+    if static.rdd.getNumPartitions() < slots:
+        stream = stream.repartition(slots)
+    return stream
 
 
 def scoring_stream(events_stream: DataFrame, models: ModelSet | None, threshold: float = 0.5) -> DataFrame:
