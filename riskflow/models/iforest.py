@@ -76,27 +76,37 @@ def _tree_builder(seed: int, height_limit: int):
 def fit_isolation_forest(features: DataFrame, id_col: str = "event_id", n_trees: int = IF_TREES,
                          max_samples: int = IF_SUBSAMPLE, contamination: float = IF_CONTAMINATION,
                          sample_size: int = IF_SAMPLE_SIZE, seed: int = SEED) -> tuple[ForestParams, dict]:
-    normal = features.where(F.col("isFraud") == 0) if "isFraud" in features.columns else features
+    label = F.col("isFraud") == 0 if "isFraud" in features.columns else F.lit(True)
+    totals = features.agg(F.count(F.lit(1)).alias("rows"), F.count_if(label).alias("normal")).first()
+    normal = features.where(label)
     train = seeded_sample(normal.select(id_col, *FEATURES_V1), id_col, sample_size, seed)
-    n_train = train.count()
+    n_train = min(sample_size, int(totals["normal"]))
     psi = min(max_samples, n_train)
     height = int(math.ceil(math.log2(max(psi, 2))))
     keep_frac = min(1.0, 4.0 * psi / n_train)
     cut = int(keep_frac * (1 << 31))
-    per_tree = train.select(id_col, *FEATURES_V1, F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-    per_tree = per_tree.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed), F.col("tree")))
-    cand = per_tree.where(F.pmod(F.col("_h"), F.lit(1 << 31)) < cut) if keep_frac < 1.0 else per_tree
+    all_trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
+    # Each row's trees are chosen inside one higher-order expression, so only
+    # the selected (row, tree) pairs (~4 x psi per tree) are ever materialised.
+    chosen = all_trees if keep_frac >= 1.0 else F.filter(
+        all_trees, lambda t: F.pmod(F.xxhash64(F.col(id_col), F.lit(seed), t), F.lit(1 << 31)) < cut)
+
+    def pairs(trees):
+        d = train.select(id_col, *FEATURES_V1, F.explode(trees).alias("tree"))
+        return d.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed), F.col("tree")))
+
     from pyspark.sql import Window
 
     w = Window.partitionBy("tree").orderBy("_h", id_col)
-    picked = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r")
+    picked = pairs(chosen).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r").cache()
     short = [r["tree"] for r in picked.groupBy("tree").count().where(F.col("count") < psi).collect()]
     if short:  # exact fallback for trees the pre-filter left short
-        redo = per_tree.where(F.col("tree").isin(short)).withColumn("_r", F.row_number().over(w)).where(
+        redo = pairs(F.array(*[F.lit(int(t)) for t in short])).withColumn("_r", F.row_number().over(w)).where(
             F.col("_r") <= psi).drop("_r")
         picked = picked.where(~F.col("tree").isin(short)).unionByName(redo)
     nodes = picked.groupBy("tree").applyInPandas(_tree_builder(seed, height), NODE_SCHEMA)
     rows = nodes.orderBy("tree", "node").collect()  # n_trees x <= 2 * psi rows: bounded by parameters
+    picked.unpersist()
     forest = ForestParams([[] for _ in range(n_trees)], [[] for _ in range(n_trees)], [[] for _ in range(n_trees)],
                           [[] for _ in range(n_trees)], [[] for _ in range(n_trees)], psi, 0.0)
     for r in rows:
@@ -109,7 +119,8 @@ def fit_isolation_forest(features: DataFrame, id_col: str = "event_id", n_trees:
     scored = train.withColumn("_s", ForestUDF(forest, samples_only=True).column([F.col(c) for c in FEATURES_V1]))
     q = exact_quantiles(scored, "_s", [contamination]).first()
     forest.offset = float(q["q_0"])
-    info = {"rows_normal": normal.count(), "rows_train": n_train, "max_samples": psi, "n_trees": n_trees,
+    info = {"rows_total": int(totals["rows"]), "rows_normal": int(totals["normal"]), "rows_train": n_train,
+            "sample_size_requested": sample_size, "max_samples": psi, "n_trees": n_trees,
             "contamination": contamination, "random_state": seed, "offset": forest.offset}
     return forest, info
 

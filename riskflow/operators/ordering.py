@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,15 +44,22 @@ def grouped_row_number(df: DataFrame, keys: list[str], order_col: str, name: str
 
 def _ranged(df: DataFrame, order: list[Column], num_partitions: int | None) -> DataFrame:
     n = num_partitions or target_partitions(df)
-    ranged = (
-        df.repartitionByRange(n, *order)
-        .sortWithinPartitions(*order)
-        .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_mid", F.monotonically_increasing_id())
-    )
-    # Fix range boundaries and in-partition order once (reliable checkpoint in
-    # the shared checkpoint folder), so recomputation cannot move rows.
-    return cut_lineage(ranged)
+    # The range partitioner samples its input in a separate pass before the
+    # shuffle; keeping the input for the duration of the cut means an expensive
+    # upstream (parsing, model UDFs) is evaluated once, not twice.
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ranged = (
+            df.repartitionByRange(n, *order)
+            .sortWithinPartitions(*order)
+            .withColumn("_pid", F.spark_partition_id())
+            .withColumn("_mid", F.monotonically_increasing_id())
+        )
+        # Fix range boundaries and in-partition order once (reliable checkpoint
+        # in the shared checkpoint folder), so recomputation cannot move rows.
+        return cut_lineage(ranged)
+    finally:
+        df.unpersist()
 
 
 def _offsets(ranged: DataFrame, value_cols: list[str]) -> DataFrame:
@@ -108,7 +116,7 @@ def exact_quantiles(df: DataFrame, value_col: str, qs: list[float], by: list[str
     # range partition; tied rows carry the same value, so quantiles are unchanged.
     d = d.withColumn("_tb", F.monotonically_increasing_id())
     idx = global_row_index(d, [*by, "_x", "_tb"], "_r")
-    counts = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    counts = idx.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))  # from the checkpointed index
     if by:
         before = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
         counts = counts.withColumn("_start", F.coalesce(F.sum("n").over(before), F.lit(0)))
