@@ -114,3 +114,21 @@ def route_events(
         route_topic(F.col("ensemble_score"), threshold, anomaly_topic, normal_topic)
     )
     return s.withColumn("topic", topic)
+
+
+def sink_records(routed: DataFrame, raw_col: str = "raw", key_col: str = "event_id") -> DataFrame:
+    """One (topic, key, value) record per event, value as JSON text.
+
+    Dead-letter rows carry {error, raw_event, received_at}; the others carry the
+    sanitised event with its nested ``features`` (and ``scores`` when scored).
+    """
+    has_scores = "ensemble_score" in routed.columns
+    features = F.struct(*[F.col(n) for n in FEATURES_V1])
+    scores = F.struct(*[F.col(c) for c in ("if_score", "ae_score", "sgd_score", "ensemble_score")]) if has_scores else None
+    event_fields = [F.col(f"event.{n}").alias(n) for n in EVENT_FIELDS]
+    payload = F.struct(*event_fields, F.col("event.extras").alias("extras"), features.alias("features"),
+                       *([scores.alias("scores")] if has_scores else []))
+    value = F.when(F.col("error").isNotNull(), F.to_json(dead_letter(F.col("error"), F.col(raw_col)))) \
+        .otherwise(F.to_json(payload))
+    return routed.select("topic", F.col(key_col).cast("string").alias("key"), value.alias("value"),
+                         F.col(key_col), "error")

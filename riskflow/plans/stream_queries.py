@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from riskflow.models.demo import demo_models
+from riskflow.operators.events import sink_records
 from riskflow.streaming import jobs
 
 
@@ -10,7 +11,7 @@ def q_stream_scoring(spark, sf_dir):
     """The routed event flow as a stream; sink partitioned by topic."""
     out, ckpt = jobs.stream_location(spark, "scoring")
     stream = jobs.scoring_stream(jobs.event_source(spark, sf_dir), demo_models(), threshold=0.5)
-    jobs.run_available_now(stream.select("event_id", "error", "topic"), out, ckpt, partition_by=["topic"])
+    jobs.run_available_now(sink_records(stream), out, ckpt, partition_by=["topic"])
     return spark.read.parquet(out).select("event_id", "topic", "error")
 
 

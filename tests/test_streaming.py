@@ -60,3 +60,20 @@ def test_stream_velocity_two_batches_equals_batch(spark):
     want = jobs.keyed_velocity_batch(parse_events(adapters.raw_event(ev))).select("ingest_id", "txn_velocity_1h")
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0
+
+
+def test_sink_records_carry_dead_letter_and_enriched_payloads(spark):
+    import json
+
+    from riskflow.operators.events import sink_records
+
+    base = {"event_id": "e1", "timestamp": "2026-02-16T08:15:00Z", "user_id": "C1", "type": "TRANSFER",
+            "amount": 900.0, "old_balance_orig": 1000.0, "new_balance_orig": 100.0, "isFraud": 1}
+    df = spark.createDataFrame([(1, json.dumps(base)), (2, "{bad json}")], "event_id long, raw string")
+    rec = {r["event_id"]: r for r in sink_records(route_events(df, demo_models())).collect()}
+    good = json.loads(rec[1]["value"])
+    assert rec[1]["topic"] == "anomalies" and "isFraud" not in good
+    assert good["features"]["is_transfer"] == 1 and good["scores"]["ensemble_score"] >= 0.7
+    dlq = json.loads(rec[2]["value"])
+    assert rec[2]["topic"] == "dead-letter"
+    assert dlq["error"] == "Invalid JSON payload" and dlq["raw_event"] == "{bad json}" and dlq["received_at"]
