@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 
 from riskflow.contract import MSG_INVALID_JSON, MSG_MISSING_FIELDS, MSG_NOT_OBJECT
 
-NUMERIC_KINDS = ("BIGINT", "DOUBLE")
-
-
 def _lit(text: str) -> str:
     """Spark SQL string literal."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -48,23 +45,6 @@ def parse_strict(raw_col: str) -> tuple[Column, Column]:
     return F.expr(v), F.expr(err)
 
 
-def field(v: Column, name: str) -> Column:
-    return F.variant_get(v, f"$.{name}", "variant")
-
-
-def kind_of(v: Column, name: str) -> Column:
-    """Variant type name of a member (NULL when the member is absent)."""
-    return F.schema_of_variant(field(v, name))
-
-
-def is_numeric_kind(kind: Column) -> Column:
-    return kind.isin(*NUMERIC_KINDS) | kind.startswith("DECIMAL")
-
-
-def is_integer_kind(kind: Column) -> Column:
-    return (kind == "BIGINT") | kind.rlike(r"^DECIMAL\(\d+,0\)$")
-
-
 def py_list_text(names: Column) -> Column:
     """Render an array<string> the way Python prints a list of str: ['a', 'b']."""
     quoted = F.transform(names, lambda x: F.concat(F.lit("'"), x, F.lit("'")))

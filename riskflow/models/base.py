@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from typing import Callable, Protocol
+from typing import Callable
 
 import numpy as np
 import pandas as pd
@@ -34,10 +34,6 @@ def feature_refs(prefix: str = "") -> list[str]:
     return [f"CAST({prefix}{n} AS DOUBLE)" for n in FEATURES_V1]
 
 
-class Scorer(Protocol):
-    def sql(self, x: list[str]) -> str: ...
-
-
 @dataclass
 class SqlScorer:
     """A scorer defined by an SQL expression builder over the ordered feature refs."""
@@ -60,15 +56,6 @@ class ModelSet:
     ae_threshold: float
     proba: object
 
-    @staticmethod
-    def to_column(model, x: list[str]) -> Column:
-        if hasattr(model, "column"):
-            return model.column(x)
-        return F.expr(model.sql(x))
-
-    def has_sql(self) -> bool:
-        return all(hasattr(m, "sql") for m in (self.if_decision, self.ae_mse, self.proba))
-
 
 def sigmoid_sql(z: str) -> str:
     return f"(1.0 / (1.0 + exp(-({z}))))"

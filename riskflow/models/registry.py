@@ -13,7 +13,6 @@ import json
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskflow.session import checkpoint_dir

@@ -29,7 +29,6 @@ from riskflow.models.base import ModelSet
 from riskflow.operators.scoring import route_topic, score
 
 EVENT_FIELDS = ["event_id", "timestamp", "user_id", "type", "amount", "old_balance_orig", "new_balance_orig"]
-STRING_FIELDS = ["event_id", "timestamp", "user_id", "type"]
 
 
 def parse_events(df: DataFrame, raw_col: str = "raw", schema: dict = EVENT_SCHEMA_V1) -> DataFrame:
@@ -123,7 +122,7 @@ def sink_records(routed: DataFrame, raw_col: str = "raw", key_col: str = "event_
     sanitised event with its nested ``features`` (and ``scores`` when scored).
     """
     has_scores = "ensemble_score" in routed.columns
-    features = F.struct(*[F.col(n) for n in FEATURES_V1])
+    features = FX.features_struct(*[F.col(n) for n in FEATURES_V1])
     scores = F.struct(*[F.col(c) for c in ("if_score", "ae_score", "sgd_score", "ensemble_score")]) if has_scores else None
     event_fields = [F.col(f"event.{n}").alias(n) for n in EVENT_FIELDS]
     payload = F.struct(*event_fields, F.col("event.extras").alias("extras"), features.alias("features"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskflow.contract import ALERT_RULES, ONLINE_BATCH_SIZE
+from riskflow.contract import ALERT_RULES
 from riskflow.plans import feedback_oracle as FO
 from riskflow.plans.events_oracle import FEATURES_CTE as EVENT_FEATURES_CTE
 from riskflow.plans.events_oracle import PARSED, _scored_cte
