@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from riskflow.contract import CASHOUT_SPELLINGS, FEATURE_TYPES, FEATURES_V1, STEP_BASE
 
-# ISO-8601 date or date-time as accepted by Python's datetime.fromisoformat
-# (extended format; date, then optional 'T' or ' ' and HH[:MM[:SS[.f+]]],
-# then optional Z or +-HH[:MM[:SS[.f+]]]).  Fixed pattern.
+# ISO-8601 forms accepted by Python's datetime.fromisoformat for a date-time:
+# YYYY-MM-DD, then any one separator character and HH[:MM[:SS[.f+]]] or the
+# basic HHMM[SS[.f+]], then optionally Z or +-HH[[:]MM[[:]SS[.f+]]].  Fixed pattern.
 ISO_DATETIME = (
     r"^\d{4}-\d{2}-\d{2}"
-    r"([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?"
+    r"(.(\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?|\d{4}(\d{2}([.,]\d+)?)?)"
     r"(Z|[+-]\d{2}(:?\d{2}(:?\d{2}([.,]\d+)?)?)?)?)?$"
 )
+# Minutes / seconds of the time part (colon or basic form), offset hours and minutes.
+TIME_MM = r"^.{13}:?(\d{2})"
+TIME_SS = r"^.{13}:?\d{2}:?(\d{2})"
+OFFSET_HH = r"[+-](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,]\d+)?)?)?$"
 
 
 def timestamp_from_step(step: Column) -> Column:
@@ -30,17 +34,20 @@ def normalize_txn_type(t: Column) -> Column:
 def iso_valid(ts: Column) -> Column:
     """True when the text is an ISO date/date-time with real calendar and clock values."""
     date_ok = F.try_to_date(F.substring(ts, 1, 10), "yyyy-MM-dd").isNotNull()
-    hh = F.substring(ts, 12, 2).try_cast("int")
-    mm = F.substring(ts, 15, 2)
-    ss = F.substring(ts, 18, 2)
     has_time = F.length(ts) >= 13
-    clock_ok = (
-        ~has_time
-        | (
-            (hh <= 23)
-            & (~F.substring(ts, 14, 1).eqNullSafe(":") | (mm.try_cast("int") <= 59))
-            & (~F.substring(ts, 17, 1).eqNullSafe(":") | (ss.try_cast("int") <= 59))
-        )
+    hh = F.substring(ts, 12, 2).try_cast("int")
+    mm = F.nullif(F.regexp_extract(ts, TIME_MM, 1), F.lit("")).try_cast("int")
+    ss = F.nullif(F.regexp_extract(ts, TIME_SS, 1), F.lit("")).try_cast("int")
+    tail = F.substring(ts, 14, 1000)
+    def off(i: int) -> Column:
+        return F.coalesce(F.nullif(F.regexp_extract(tail, OFFSET_HH, i), F.lit("")).try_cast("int"), F.lit(0))
+
+    off_s = off(1) * 3600 + off(2) * 60 + off(3)  # strictly less than a day
+    clock_ok = ~has_time | (
+        (hh <= 23)
+        & F.coalesce(mm <= 59, F.lit(True))
+        & F.coalesce(ss <= 59, F.lit(True))
+        & (off_s < 86400)
     )
     return F.coalesce(ts.rlike(ISO_DATETIME) & date_ok & clock_ok, F.lit(False))
 

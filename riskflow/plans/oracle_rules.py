@@ -87,20 +87,23 @@ def parsed_events_cte(source: str = "raw_event", name: str = "parsed") -> str:
 
 
 # ISO date-time check in DuckDB (twin of riskflow.functions.features.iso_valid).
-ISO_RE = (
-    r"^\d{4}-\d{2}-\d{2}"
-    r"([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?"
-    r"(Z|[+-]\d{2}(:?\d{2}(:?\d{2}([.,]\d+)?)?)?)?)?$"
-)
+from riskflow.functions.features import ISO_DATETIME as ISO_RE  # noqa: E402
+from riskflow.functions.features import OFFSET_HH, TIME_MM, TIME_SS  # noqa: E402
 
 
 def iso_valid_sql(ts: str) -> str:
+    def grp(text: str, pattern: str, i: int) -> str:
+        return f"TRY_CAST(nullif(regexp_extract({text}, '{pattern}', {i}), '') AS INTEGER)"
+
+    tail = f"substr({ts}, 14)"
     return (
         f"coalesce(regexp_full_match({ts}, '{ISO_RE}') "
         f"AND try_strptime(substr({ts}, 1, 10), '%Y-%m-%d') IS NOT NULL "
         f"AND (length({ts}) < 13 OR (TRY_CAST(substr({ts}, 12, 2) AS INTEGER) <= 23 "
-        f"AND (substr({ts}, 14, 1) IS DISTINCT FROM ':' OR TRY_CAST(substr({ts}, 15, 2) AS INTEGER) <= 59) "
-        f"AND (substr({ts}, 17, 1) IS DISTINCT FROM ':' OR TRY_CAST(substr({ts}, 18, 2) AS INTEGER) <= 59))), false)"
+        f"AND coalesce({grp(ts, TIME_MM, 1)} <= 59, true) "
+        f"AND coalesce({grp(ts, TIME_SS, 1)} <= 59, true) "
+        f"AND coalesce({grp(tail, OFFSET_HH, 1)}, 0) * 3600 + coalesce({grp(tail, OFFSET_HH, 2)}, 0) * 60 "
+        f"+ coalesce({grp(tail, OFFSET_HH, 3)}, 0) < 86400)), false)"
     )
 
 

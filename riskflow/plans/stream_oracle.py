@@ -10,9 +10,10 @@ from riskflow.plans.oracle_views import with_views
 def oracle() -> dict[str, str]:
     velocity = f"""
 SELECT event_id, user_id,
-  CAST(row_number() OVER (PARTITION BY user_id, floor(epoch(CAST(timestamp AS TIMESTAMPTZ)) / 3600) ORDER BY event_id) AS INTEGER)
+  CAST(row_number() OVER (PARTITION BY user_id, floor(epoch(TRY_CAST(timestamp AS TIMESTAMPTZ)) / 3600) ORDER BY event_id) AS INTEGER)
     AS txn_velocity_1h
-FROM parsed WHERE error IS NULL AND {iso_valid_sql('timestamp')}"""
+FROM parsed WHERE error IS NULL AND {iso_valid_sql('timestamp')}
+  AND TRY_CAST(timestamp AS TIMESTAMPTZ) IS NOT NULL"""
     return {
         "stream_scoring": events_oracle.oracle()["event_routing"],
         "stream_velocity": with_views(["raw_event"], [events_oracle.PARSED], velocity),

@@ -139,7 +139,7 @@ def keyed_velocity(parsed: DataFrame, ingest_col: str = "event_id") -> DataFrame
         F.col(ingest_col).cast("long").alias("ingest_id"),
         F.col("event.user_id").alias("user_id"),
         F.try_to_timestamp(ts).alias("event_time"),
-    ).withColumn("hour_start", F.date_trunc("hour", F.col("event_time")))
+    ).where(F.col("event_time").isNotNull()).withColumn("hour_start", F.date_trunc("hour", F.col("event_time")))
     return (
         e.withWatermark("event_time", VELOCITY_WATERMARK)
         .groupBy("user_id")
@@ -161,7 +161,7 @@ def keyed_velocity_batch(parsed: DataFrame, ingest_col: str = "event_id") -> Dat
         F.col(ingest_col).cast("long").alias("ingest_id"),
         F.col("event.user_id").alias("user_id"),
         F.date_trunc("hour", F.try_to_timestamp(ts)).alias("hour_start"),
-    )
+    ).where(F.col("hour_start").isNotNull())
     return grouped_row_number(e, ["user_id", "hour_start"], "ingest_id", "txn_velocity_1h")
 
 
