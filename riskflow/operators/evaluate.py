@@ -202,3 +202,23 @@ def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int, min_rows: int =
     if take < min_rows:
         raise ValueError("No rows available for training." if min_rows <= 1 else "Not enough rows for training.")
     return ranked.where(F.col("_sr") < take).drop("_h", "_sr")
+
+
+def evaluate_model_on_holdout(spark, model, holdout_path: str, threshold: float = 0.5,
+                              label_col: str = "isFraud") -> DataFrame:
+    """M9: score a holdout table with a model (SQL builder or Column builder) and evaluate it.
+
+    The required columns are checked on the driver from the table schema,
+    before any job runs.
+    """
+    from riskflow.models.base import feature_refs
+
+    df = spark.read.parquet(holdout_path)
+    missing = [c for c in FEATURES_V1 if c not in df.columns]
+    if missing:
+        raise ValueError(f"Holdout data is missing required feature columns: {missing}")
+    if label_col not in df.columns:
+        raise ValueError(f"Holdout data must include `{label_col}` target column.")
+    x = feature_refs()
+    score_col = model.column(x) if hasattr(model, "column") else F.expr(model.sql(x))
+    return holdout_evaluation(df.withColumn("_score", score_col), "_score", label_col, threshold)

@@ -93,3 +93,22 @@ def test_balanced_weights(spark):
     df = spark.createDataFrame([(0,)] * 8 + [(1,)] * 2, "y int")
     w = {r["y"]: r["weight"] for r in EV.balanced_weights(df, "y").collect()}
     assert w == {0: pytest.approx(10 / 16), 1: pytest.approx(10 / 4)}
+
+
+def test_evaluate_model_on_holdout_checks_columns(spark):
+    import tempfile
+
+    from conftest import SF_SMALL
+    from riskflow.models.fixed import FIXED_LOGIT
+    from riskflow.plans.model_queries import feats
+
+    d = tempfile.mkdtemp(prefix="riskflow-hold-", dir="/tmp")
+    feats(spark, SF_SMALL).write.parquet(f"{d}/ok")
+    r = EV.evaluate_model_on_holdout(spark, FIXED_LOGIT, f"{d}/ok").first()
+    assert 0.0 <= r["pr_auc"] <= 1.0 and r["rows_holdout"] == 1000
+    feats(spark, SF_SMALL).drop("hour_of_day").write.parquet(f"{d}/no_feature")
+    with pytest.raises(ValueError, match="missing required feature columns: \\['hour_of_day'\\]"):
+        EV.evaluate_model_on_holdout(spark, FIXED_LOGIT, f"{d}/no_feature")
+    feats(spark, SF_SMALL).drop("isFraud").write.parquet(f"{d}/no_label")
+    with pytest.raises(ValueError, match="target column"):
+        EV.evaluate_model_on_holdout(spark, FIXED_LOGIT, f"{d}/no_label")
