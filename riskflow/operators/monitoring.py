@@ -144,3 +144,22 @@ def readiness(checks: list[tuple[str, DataFrame]]) -> DataFrame:
         u = part if u is None else u.unionByName(part)
     overall = u.agg(F.lit("overall_ok").alias("check"), F.bool_and("ok").alias("ok"))
     return u.unionByName(overall)
+
+
+def feedback_metrics(accepted: DataFrame, batch_size: int, ts_col: str = "ts") -> DataFrame:
+    """O1 for the learning loop: received / accepted / skipped counters and the
+    pending-buffer gauge (accepted rows not yet in a full batch), one aggregation."""
+    a = accepted.agg(
+        F.max(ts_col).alias("ts"),
+        F.count(F.lit(1)).cast("double").alias("r"),
+        F.count_if("accepted").cast("double").alias("a"),
+    )
+    rows = F.array(
+        F.struct(F.lit("online_feedback_received_total").alias("name"), F.lit("counter").alias("kind"), F.col("r").alias("value")),
+        F.struct(F.lit("online_feedback_accepted_total").alias("name"), F.lit("counter").alias("kind"), F.col("a").alias("value")),
+        F.struct(F.lit("online_feedback_skipped_total").alias("name"), F.lit("counter").alias("kind"),
+                 (F.col("r") - F.col("a")).alias("value")),
+        F.struct(F.lit("online_updater_buffer_size").alias("name"), F.lit("gauge").alias("kind"),
+                 (F.col("a") % F.lit(float(batch_size))).alias("value")),
+    )
+    return a.select("ts", F.inline(rows))

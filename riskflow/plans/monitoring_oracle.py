@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskflow.contract import ALERT_RULES
+from riskflow.contract import ALERT_RULES, ONLINE_BATCH_SIZE
 from riskflow.plans import feedback_oracle as FO
 from riskflow.plans.events_oracle import FEATURES_CTE as EVENT_FEATURES_CTE
 from riskflow.plans.events_oracle import PARSED, _scored_cte
@@ -44,6 +44,20 @@ counters AS (
 )"""
 
 
+FB_METRICS = f"""
+fb_agg AS (
+  SELECT max(t.ts) AS ts, CAST(count(*) AS DOUBLE) AS r, CAST(count(*) FILTER (WHERE a.accepted) AS DOUBLE) AS a
+  FROM fba a JOIN feedback_text t ON a.event_id = t.event_id
+),
+all_metrics AS (
+  SELECT ts, name, kind, value FROM counters
+  UNION ALL SELECT ts, 'online_feedback_received_total', 'counter', r FROM fb_agg
+  UNION ALL SELECT ts, 'online_feedback_accepted_total', 'counter', a FROM fb_agg
+  UNION ALL SELECT ts, 'online_feedback_skipped_total', 'counter', r - a FROM fb_agg
+  UNION ALL SELECT ts, 'online_updater_buffer_size', 'gauge', a % {float(ONLINE_BATCH_SIZE)} FROM fb_agg
+)"""
+
+
 def _alerts_sql() -> str:
     parts = []
     for alert, metric, range_s, op, hold_s, severity, service in ALERT_RULES:
@@ -84,15 +98,15 @@ UNION ALL SELECT 'benchmark_quality_fields_present', (SELECT count(*) FROM (SELE
 SELECT * FROM r UNION ALL SELECT 'overall_ok', bool_and(ok) FROM r"""
     return {
         "stream_counters": _events_w([COUNTERS], "SELECT ts, name, kind, value FROM counters"),
-        "metrics_exposition": _events_w([COUNTERS], """
+        "metrics_exposition": _events_w([COUNTERS, FO.FB_PARSED, FO.ACCEPT, FB_METRICS], """
 SELECT r * 2 AS line_no, '# TYPE ' || name || ' ' || kind AS line FROM (
   SELECT name, kind, value, row_number() OVER (ORDER BY CASE WHEN kind = 'counter' THEN 0 ELSE 1 END, name) - 1 AS r
-  FROM (SELECT name, kind, max_by(value, ts) AS value FROM counters GROUP BY name, kind) a) b
+  FROM (SELECT name, kind, max_by(value, ts) AS value FROM all_metrics GROUP BY name, kind) a) b
 UNION ALL
 SELECT r * 2 + 1, name || ' ' || CASE WHEN value = floor(value) AND abs(value) < 1e16
                                       THEN CAST(CAST(value AS BIGINT) AS VARCHAR) || '.0' ELSE CAST(value AS VARCHAR) END FROM (
   SELECT name, kind, value, row_number() OVER (ORDER BY CASE WHEN kind = 'counter' THEN 0 ELSE 1 END, name) - 1 AS r
-  FROM (SELECT name, kind, max_by(value, ts) AS value FROM counters GROUP BY name, kind) a) b"""),
+  FROM (SELECT name, kind, max_by(value, ts) AS value FROM all_metrics GROUP BY name, kind) a) b""", ["feedback_text"]),
         "event_rate_sliding": with_views(["metric_samples"], [DELTAS], f"""
 SELECT name, ts, round({_inc(RATE_RANGE_S)}, {R}) AS increase_5m,
   round({_inc(RATE_RANGE_S)} / {float(RATE_RANGE_S)}, {R}) AS rate_per_s FROM deltas"""),

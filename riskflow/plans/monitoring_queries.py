@@ -31,7 +31,12 @@ def q_stream_counters(spark, sf_dir):
 
 
 def q_metrics_exposition(spark, sf_dir):
-    return MON.exposition(counters(spark, sf_dir))
+    from riskflow.contract import ONLINE_BATCH_SIZE
+    from riskflow.operators import feedback as FB
+
+    fb = FB.accept_for_learning(FQ.feedback_raw(spark, sf_dir))
+    metrics = counters(spark, sf_dir).unionByName(MON.feedback_metrics(fb, ONLINE_BATCH_SIZE))
+    return MON.exposition(metrics)
 
 
 def q_event_rate_sliding(spark, sf_dir):
