@@ -72,3 +72,13 @@ def test_jsonl_and_csv_sources_and_publish(spark):
     assert (c["feedback_requests_total"], c["feedback_published_total"]) == (2.0, 1.0)
     line = json.loads(spark.read.text(f"{d}/published").first()[0])
     assert line["anomaly_id"] == "e1" and line["received_at"].endswith("Z")
+
+
+def test_report_sink_writes_one_json_row(spark):
+    from riskflow.plans.table_queries import q_profile_overall
+    from riskflow.sources.files import write_report
+
+    d = tempfile.mkdtemp(prefix="riskflow-report-", dir="/tmp")
+    write_report(q_profile_overall(spark, SF_SMALL), f"{d}/eda")
+    rows = [json.loads(line) for line in (r[0] for r in spark.read.text(f"{d}/eda").collect())]
+    assert len(rows) == 1 and rows[0]["rows"] == 1000 and rows[0]["cols"] == 11
