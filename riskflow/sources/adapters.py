@@ -67,14 +67,6 @@ def txn(events: DataFrame) -> DataFrame:
     )
 
 
-def _q(s: Column) -> Column:
-    return F.concat(F.lit('"'), s, F.lit('"'))
-
-
-def _kv(key: str, value: Column) -> Column:
-    return F.concat(F.lit(f'"{key}":'), value)
-
-
 def _type_case_sql(col: str) -> str:
     whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TYPE_MAP)
     return f"CASE {col} {whens} ELSE 'CASH_OUT' END"
@@ -117,45 +109,31 @@ def raw_event(events: DataFrame) -> DataFrame:
     return base.selectExpr("event_id", "ts", raw)
 
 
-def _dec6(c: Column) -> Column:
-    return F.round(c, 6).cast("decimal(24,6)").cast("string")
-
-
 def feedback_text(events: DataFrame) -> DataFrame:
-    """Analyst feedback JSON per transaction; ``event_id % 23`` picks a corruption."""
-    t = txn(events)
-    m = F.col("event_id") % 23
-    amt = F.col("amount").cast("decimal(18,2)")
-    old = F.col("oldbalanceOrg").cast("decimal(18,2)")
-    new = F.greatest(old - amt, F.lit(0).cast("decimal(18,2)"))
-    ratio = F.col("amount") / (F.col("oldbalanceOrg") + F.lit(1.0))
-    label = F.when(m == 1, F.lit("maybe")).when(
-        (F.col("isFraud") == 1) | (F.col("event_id") % 10 == 0), F.lit("true_positive")
-    ).otherwise(F.lit("false_positive"))
-    is_transfer = F.when(F.col("type") == "TRANSFER", 1).otherwise(0)
-    is_cashout = F.when(F.col("type").isin("CASH-OUT", "CASH_OUT"), 1).otherwise(0)
-    hour = (F.col("step") % 24).cast("string")
-    velocity = F.lit(1).cast("string")
-    feats = [
-        _kv("amount", F.when(m == 4, _q(amt.cast("string"))).otherwise(amt.cast("string"))),
-        _kv("amount_ratio", _dec6(ratio)),
-        _kv("balance_diff_orig", (old - new - amt).cast("string")),
-        _kv("is_transfer", F.when(m == 6, F.when(is_transfer == 1, F.lit("true")).otherwise(F.lit("false")))
-            .otherwise(is_transfer.cast("string"))),
-        _kv("is_cashout", is_cashout.cast("string")),
-        _kv("hour_of_day", F.when(m == 5, F.lit("null")).otherwise(hour)),
-        F.when(m != 3, _kv("txn_velocity_1h", velocity)),
-    ]
-    features = F.when(m == 2, F.lit("null")).otherwise(F.concat(F.lit("{"), F.concat_ws(",", *feats), F.lit("}")))
-    parts = [
-        _kv("anomaly_id", _q(F.col("event_id").cast("string"))),
-        _kv("label", _q(label)),
-        _kv("analyst_id", F.when(m == 8, F.lit('""')).otherwise(_q(F.concat(F.lit("a"), (F.col("event_id") % 5).cast("string"))))),
-        _kv("features", features),
-        F.when(m == 7, F.lit('"priority":"high"')),
-    ]
-    body = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
-    return t.select("event_id", "ts", body.alias("raw"))
+    """Analyst feedback JSON per transaction; ``event_id % 23`` picks a corruption (SQL text)."""
+    t = txn(events).selectExpr(
+        "*", "event_id % 23 AS m", "CAST(amount AS DECIMAL(18,2)) AS amt", "CAST(oldbalanceOrg AS DECIMAL(18,2)) AS old",
+    )
+    features = """concat('{', concat_ws(',',
+        concat('"amount":', CASE WHEN m = 4 THEN concat('"', CAST(amt AS STRING), '"') ELSE CAST(amt AS STRING) END),
+        concat('"amount_ratio":', CAST(CAST(round(amount / (oldbalanceOrg + 1.0), 6) AS DECIMAL(24,6)) AS STRING)),
+        concat('"balance_diff_orig":', CAST(old - greatest(old - amt, CAST(0 AS DECIMAL(18,2))) - amt AS STRING)),
+        concat('"is_transfer":', CASE WHEN m = 6 THEN CASE WHEN type = 'TRANSFER' THEN 'true' ELSE 'false' END
+                                      ELSE CASE WHEN type = 'TRANSFER' THEN '1' ELSE '0' END END),
+        concat('"is_cashout":', CASE WHEN type IN ('CASH-OUT', 'CASH_OUT') THEN '1' ELSE '0' END),
+        concat('"hour_of_day":', CASE WHEN m = 5 THEN 'null' ELSE CAST(step % 24 AS STRING) END),
+        CASE WHEN m <> 3 THEN '"txn_velocity_1h":1' END
+      ), '}')"""
+    body = f"""concat('{{', concat_ws(',',
+        concat('"anomaly_id":"', CAST(event_id AS STRING), '"'),
+        concat('"label":"', CASE WHEN m = 1 THEN 'maybe'
+                                 WHEN isFraud = 1 OR event_id % 10 = 0 THEN 'true_positive'
+                                 ELSE 'false_positive' END, '"'),
+        concat('"analyst_id":', CASE WHEN m = 8 THEN '""' ELSE concat('"a', CAST(event_id % 5 AS STRING), '"') END),
+        concat('"features":', CASE WHEN m = 2 THEN 'null' ELSE {features} END),
+        CASE WHEN m = 7 THEN '"priority":"high"' END
+      ), '}}') AS raw"""
+    return t.selectExpr("event_id", "ts", body)
 
 
 def metric_samples(events: DataFrame) -> DataFrame:
