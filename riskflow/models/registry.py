@@ -96,3 +96,31 @@ class ModelRegistry:
               dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))], schema)
         df.coalesce(1).write.mode("append").parquet(f"{self.root}/_training_runs")
         return df
+
+
+def save_model_set(reg: ModelRegistry, version: int, forest, net, logit) -> None:
+    """The three ensemble members as parameter tables, made live together."""
+    from dataclasses import asdict
+
+    reg.save("isolation_forest", version, "isolation_forest", asdict(forest))
+    reg.save("autoencoder", version, "autoencoder",
+             {"mins": net.mins, "maxs": net.maxs, "layers": net.layers, "threshold": net.threshold})
+    reg.save("logit", version, "logistic", {"weights": logit.weights, "bias": logit.bias})
+    for name in ("isolation_forest", "autoencoder", "logit"):
+        reg.set_live(name, version)
+
+
+def load_model_set(reg: ModelRegistry):
+    """Load the live members (missing ones raise) into a scoring ModelSet."""
+    from riskflow.models.base import ModelSet
+    from riskflow.models.iforest import ForestUDF
+    from riskflow.models.params import AutoencoderParams, ForestParams, LogitParams
+
+    reg.require(["isolation_forest", "autoencoder", "logit"])
+    f = reg.load("isolation_forest")["params"]
+    a = reg.load("autoencoder")["params"]
+    lg = reg.load("logit")["params"]
+    forest = ForestParams(**f)
+    net = AutoencoderParams(a["mins"], a["maxs"], [(w, b) for w, b in a["layers"]], a["threshold"])
+    return ModelSet(if_decision=ForestUDF(forest), ae_mse=net, ae_threshold=net.threshold,
+                    proba=LogitParams(lg["weights"], lg["bias"]))

@@ -80,3 +80,20 @@ def test_registry_roundtrip_and_run_log(spark):
     run = reg.log_run("logit", "r1", {"a": 1, "b": None, "c": [1, 2], "d": True}, {"m": 0.5, "ok": True, "s": "x"}).first()
     assert run["params"] == {"a": "1", "c": "[1, 2]", "d": "True"}
     assert run["metrics"] == {"m": 0.5, "ok": 1.0}
+
+
+def test_model_set_round_trip_scores_the_same(spark, features):
+    from riskflow.models.base import ModelSet
+    from riskflow.models.registry import load_model_set, save_model_set
+    from riskflow.operators.scoring import score
+
+    forest, _ = fit_isolation_forest(features, n_trees=10, max_samples=32)
+    net, _ = fit_autoencoder(features, max_epochs=2)
+    logit, _ = train_logit(features, SPLIT_ORDER)
+    reg = ModelRegistry(spark, tempfile.mkdtemp(prefix="riskflow-set-", dir="/tmp"))
+    save_model_set(reg, 1, forest, net, logit)
+    loaded = load_model_set(reg)
+    direct = ModelSet(if_decision=ForestUDF(forest), ae_mse=net, ae_threshold=net.threshold, proba=logit)
+    a = score(features, direct).select("event_id", F.col("ensemble_score").alias("a"))
+    b = score(features, loaded).select("event_id", F.col("ensemble_score").alias("b"))
+    assert a.join(b, "event_id").agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] < 1e-12
