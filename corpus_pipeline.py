@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import personal_data, quality_classifier, sentence_pieces
+from riskflow.llm import decontaminate, near_duplicates, personal_data, quality_classifier, sentence_pieces
 from riskflow.llm.blocks import stored
 from riskflow.session import ensure_conf
 from riskflow.sources.tables import table
@@ -22,6 +22,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(kept, "doc_id", "left_semi")
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least doc_id of each near-duplicate group (five-word shingles, similarity 0.8)."""
+    ensure_conf(spark)
+    return near_duplicates.keep_first(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a passage of the benchmark."""
+    ensure_conf(spark)
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data in the texts; n_chars follows."""
     ensure_conf(spark)
@@ -35,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(docs)
 
 
-STAGES = [("quality", quality), ("private", private), ("encode", encode)]
+STAGES = [("quality", quality), ("near", near), ("decontaminated", decontaminated), ("private", private), ("encode", encode)]
 
 # The classifier, the sketches and the lattice have no SQL form.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskflow.llm import personal_data, quality_classifier, quality_rules, sentence_pieces, token_counts, url_filters
+from riskflow.llm import decontaminate, near_duplicates, personal_data, quality_classifier, quality_rules, repeated_passages, sentence_pieces, token_counts, url_filters
 from riskflow.session import ensure_conf
 from riskflow.sources.tables import table
 
@@ -23,6 +23,10 @@ def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,11 +35,21 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.link(table(spark, sf_dir, "documents"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_sentence_pieces, op5_quality_rules, op6_quality_classifier, op9_personal_data)}
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages.dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_url_filters, op2_token_counts, op3_sentence_pieces, op4_decontaminate, op5_quality_rules, op6_quality_classifier,
+    op7_near_duplicates, op9_personal_data, op10_repeated_passages)}
 
 
 def _wrap(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
