@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskflow.llm import decontaminate, near_duplicates, personal_data, quality_classifier, quality_rules, repeated_passages, sentence_pieces, token_counts, url_filters
+from riskflow.llm import (
+    decontaminate,
+    language_model,
+    near_duplicates,
+    personal_data,
+    quality_classifier,
+    quality_rules,
+    repeated_passages,
+    sentence_pieces,
+    token_counts,
+    url_filters,
+)
 from riskflow.session import ensure_conf
 from riskflow.sources.tables import table
 
@@ -39,6 +50,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.link(table(spark, sf_dir, "documents"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(table(spark, sf_dir, "documents"))
 
@@ -49,7 +64,7 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_token_counts, op3_sentence_pieces, op4_decontaminate, op5_quality_rules, op6_quality_classifier,
-    op7_near_duplicates, op9_personal_data, op10_repeated_passages)}
+    op7_near_duplicates, op8_language_model, op9_personal_data, op10_repeated_passages)}
 
 
 def _wrap(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
