@@ -11,9 +11,10 @@ plus COORDS log COORDS.
 Sets that are equal form one class; only a class's representative (least doc_id) is compared.
 ``BANDS`` bands of ``ROWS`` coordinates make the candidates: a pair at similarity 0.8 shares no band
 with probability (1 - 0.8^6)^48 = 5e-7.  Inside a bucket every member is first verified against
-the bucket's most connected member; then all pairs that share a bucket but are still in different
-components are verified.  So no pair is emitted inside what is already one component, and no
-candidate goes unverified.  Verification compares the full sets.
+the bucket's most connected member.  Where a bucket still holds several components, its members
+are joined by an exact prefix filter over their shingles, and what passes is verified.  So no pair
+is emitted inside what is already one component, and no candidate that could be a link goes
+unverified.  Verification compares the full sets.
 
 Null and empty texts have empty sets and stand alone.  A text with fewer words than a shingle is
 one shingle.  Repeated rows fall into one class; rows of one doc_id with different texts are
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskflow.llm.blocks import LOWER, Block, Prefix, blocks, mix, stored, words
@@ -142,6 +144,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return got.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("u", "v")
 
 
+def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs u, v of different components that may be similar enough; none that is gets lost.
+
+    With the shingles of every set in one order, rare ones first, similar sets share one of their first ones;
+    the place of the first shared one bounds the overlap.
+    """
+    size = F.size("set")
+    rows = sets.select("id", "component", size.alias("size"), F.explode("set").alias("g"))
+    often = rows.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = W.partitionBy("id")
+    before = F.col("size") - F.count(F.lit(1)).over(own)  # shingles of no other set come first
+    placed = rows.join(often, "g").select("id", "component", "size", "g", (before + F.row_number().over(own.orderBy("df", "g"))).alias("at"))
+    placed = stored(placed.where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1))
+    room = f"(1 + least(x.size - x.at, y.size - y.at)) * {100 + percent} >= {percent} * (x.size + y.size)"
+    met = placed.alias("x").join(placed.alias("y"), F.expr(f"x.g = y.g and x.component <> y.component and x.id < y.id and {room}"))
+    return met.select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
+
+
 def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     sk = stored(sketched(docs, width))
@@ -162,8 +182,7 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFra
     of = components(edges)
     left = near.join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     open_ = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = stored(left.join(open_, "key").distinct())
-    rest = left.alias("x").join(left.alias("y"), "key").where("x.component <> y.component and x.id < y.id").select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
+    rest = _prefix_pairs(sets.join(left.join(open_, "key").select("id", "component").distinct(), "id"), percent)
     more = stored(_verified(rest, sets, percent))
     of = components(edges.unionByName(more)) if not more.isEmpty() else of
 
