@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from riskflow.session import checkpoint_dir
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = (2 << 20) - 2  # the tables of powers then have 2 ** 21 entries
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

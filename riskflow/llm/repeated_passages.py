@@ -36,7 +36,7 @@ from riskflow.llm.blocks import Block, Prefix, blocks, flat, mix, repeated, stor
 
 SPAN = 400
 GRAM = 200
-SEGMENT = 4 << 20
+SEGMENT = 2 << 20
 HOT = 50_000
 CHUNK_ROWS = 20_000
 _U = np.uint64
