@@ -166,11 +166,11 @@ def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFra
     """doc_id, n_shingles, component_id and kept of every row."""
     sk = stored(sketched(docs, width))
     some = sk.where("n > 0 and doc_id is not null")
-    reps = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
+    reps = stored(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))  # tables: the joins can then split a hot class or bucket
     members = stored(some.select("doc_id", "n", "s1", "s2").join(reps, ["s1", "s2"]).select("doc_id", "n", "rep", (F.col("doc_id") == F.col("rep")).alias("first"), "s1", "s2"))
     own = members.where("first").select("doc_id", "s1", "s2").distinct()
     rows = some.join(own, ["doc_id", "s1", "s2"], "left_semi").select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     near = stored(rows.join(shared, "key").select("key", "id", "c"))
 
     ids = near.groupBy("id").agg(F.sum("c").alias("degree"))

@@ -237,7 +237,7 @@ def _counted_matches(pieces: DataFrame) -> DataFrame:
 def removed(docs: DataFrame) -> DataFrame:
     """rk (row key) and the removed byte ranges of every changed row, as found (they may overlap)."""
     a = stored(_anchors(docs))
-    many = a.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    many = stored(a.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))  # a table: the join can then split a hot gram
     some = stored(a.join(many, "h"))
     owned = stored(some.groupBy("h", "o").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rk", "at")).alias("one")))
     whole = some.join(owned.where("c > 1").select("h", "o"), ["h", "o"], "left_semi")
