@@ -57,7 +57,7 @@ def _luhn(digits: Column) -> Column:
 def _mod97(s: Column) -> Column:
     """The country and check characters moved to the end, letters as 10 to 35: the number is 1 modulo 97."""
     plain = F.regexp_replace(s, "\\x20", "")
-    turned = F.concat(F.substring(plain, 5, 1000), F.substring(plain, 1, 4))  # an IBAN has 34 characters at most
+    turned = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
 
     def step(a: Column, c: Column) -> Column:
         v = F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
