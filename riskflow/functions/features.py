@@ -38,7 +38,7 @@ def iso_valid(ts: Column) -> Column:
     hh = F.substring(ts, 12, 2).try_cast("int")
     mm = F.nullif(F.regexp_extract(ts, TIME_MM, 1), F.lit("")).try_cast("int")
     ss = F.nullif(F.regexp_extract(ts, TIME_SS, 1), F.lit("")).try_cast("int")
-    tail = F.substring(ts, 14, 1000)
+    tail = F.substring(ts, F.lit(14), F.length(ts))
     def off(i: int) -> Column:
         return F.coalesce(F.nullif(F.regexp_extract(tail, OFFSET_HH, i), F.lit("")).try_cast("int"), F.lit(0))
 

@@ -12,6 +12,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,8 +38,12 @@ def grouped_row_number(df: DataFrame, keys: list[str], order_col: str, name: str
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select(*keys, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     w = Window.partitionBy(*keys, "_piece").orderBy(order_col)
+    # null keys form a group like any other: null-safe equality, which is still an equi-join
+    sides = [*keys, "_piece"]
+    offsets = offsets.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(sides)], "_off")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(sides)])
     return (
-        d.join(offsets, [*keys, "_piece"])
+        d.join(offsets, same).drop(*[f"_o{i}" for i in range(len(sides))])
         .withColumn(name, (F.row_number().over(w) + F.col("_off")).cast("int"))
         .drop("_piece", "_off")
     )

@@ -23,6 +23,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskflow.streaming.jobs import await_end
 from riskflow.contract import FEATURES_V1, ONLINE_BATCH_SIZE, PROMOTION_MIN
 from riskflow.models.base import feature_refs
 from riskflow.models.fixed import FIXED_LOGIT
@@ -133,16 +134,10 @@ class FeedbackLoop:
             F.col("failed").alias("rollbacks"), F.col("update_count").alias("online_update_count"),
         )
 
-    def run_stream(self, feedback_stream: DataFrame, checkpoint: str, timeout_s: int = 900) -> None:
+    def run_stream(self, feedback_stream: DataFrame, checkpoint: str, timeout_s: int | None = None) -> None:
         q = (feedback_stream.writeStream.foreachBatch(lambda df, bid: self.process(df, bid))
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-        try:
-            q.awaitTermination(timeout_s)
-        finally:
-            if q.isActive:
-                q.stop()
-        if q.exception() is not None:
-            raise RuntimeError(str(q.exception()))
+        await_end(q, timeout_s)
 
 
 def run_updater_once(loop: FeedbackLoop, feedback: DataFrame, force_flush: bool = True) -> DataFrame:

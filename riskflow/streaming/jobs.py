@@ -80,20 +80,29 @@ def scoring_stream(events_stream: DataFrame, models: ModelSet | None, threshold:
 
 
 def run_available_now(df: DataFrame, out: str, ckpt: str, partition_by: list[str] | None = None,
-                      timeout_s: int = 900) -> str:
-    """T4 + S7: run a stream over the available input, exactly-once file sink, then stop."""
+                      timeout_s: int | None = None) -> str:
+    """T4 + S7: run a stream over the available input, exactly-once file sink, then stop.
+
+    Without a limit the stream runs to the end of its input; a limit that is hit raises.
+    """
     w = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).outputMode("append")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    q = w.trigger(availableNow=True).start()
+    await_end(w.trigger(availableNow=True).start(), timeout_s)
+    return out
+
+
+def await_end(q, timeout_s: int | None = None) -> None:
+    """Wait until a bounded stream has read its whole input; raise if it fails or an explicit limit is hit."""
     try:
-        q.awaitTermination(timeout_s)
+        ended = q.awaitTermination(timeout_s) if timeout_s is not None else q.awaitTermination() or True
     finally:
         if q.isActive:
             q.stop()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return out
+    if not ended:
+        raise TimeoutError(f"the stream had not read its input after {timeout_s} s; its output is incomplete")
 
 
 VELOCITY_OUT = "ingest_id long, user_id string, hour_start timestamp, txn_velocity_1h int"

@@ -53,3 +53,11 @@ def test_quantiles_with_a_hot_value_spread_over_partitions(spark):
     idx = global_row_index(df.withColumn("t", F.monotonically_increasing_id()), ["x", "t"], "r", num_partitions=6)
     sizes = [r["count"] for r in idx.groupBy(F.floor(F.col("r") / 150)).count().collect()]
     assert max(sizes) <= 150
+
+
+def test_null_keys_are_numbered(spark):
+    from riskflow.operators.ordering import grouped_row_number
+
+    df = spark.createDataFrame([(1, None, 1), (2, None, 1), (3, "a", None), (4, "a", None), (5, "a", 2)], "id long, k string, step int")
+    got = {r.id: r.rn for r in grouped_row_number(df, ["k", "step"], "id").collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 2, 5: 1}

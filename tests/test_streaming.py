@@ -77,3 +77,17 @@ def test_sink_records_carry_dead_letter_and_enriched_payloads(spark):
     dlq = json.loads(rec[2]["value"])
     assert rec[2]["topic"] == "dead-letter"
     assert dlq["error"] == "Invalid JSON payload" and dlq["raw_event"] == "{bad json}" and dlq["received_at"]
+
+
+def test_explicit_stream_limit_raises(spark, tmp_path):
+    import pytest
+
+    from riskflow.streaming.jobs import run_available_now
+
+    src = tmp_path / "in"
+    spark.range(20).repartition(4).write.parquet(str(src))
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(src))
+    with pytest.raises(TimeoutError):
+        run_available_now(stream, str(tmp_path / "out"), str(tmp_path / "ck"), timeout_s=0.001)
+    run_available_now(stream, str(tmp_path / "out2"), str(tmp_path / "ck2"))
+    assert spark.read.parquet(str(tmp_path / "out2")).count() == 20
