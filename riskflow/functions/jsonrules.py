@@ -29,12 +29,13 @@ def parse_strict_sql(raw: str) -> tuple[str, str]:
     fooled by a premature close (']' resp. '}'), never both at once.  The
     value is taken from the member wrapper, so a row costs two parses; once
     the text is a single valid JSON value it is an object iff it opens with '{'.
+    Bytes that are not UTF-8 are no JSON text.
     """
     arr = f"try_parse_json(concat('[', {raw}, ']'))"
     mem = f"try_parse_json(concat('{{\"r\":', {raw}, '}}'))"
     v = f"variant_get({mem}, '$.r', 'variant')"
     valid = f"({arr} IS NOT NULL AND {mem} IS NOT NULL AND variant_get({arr}, '$[1]', 'variant') IS NULL)"
-    err = (f"CASE WHEN {raw} IS NULL OR NOT {valid} THEN {_lit(MSG_INVALID_JSON)} "
+    err = (f"CASE WHEN {raw} IS NULL OR NOT is_valid_utf8({raw}) OR NOT {valid} THEN {_lit(MSG_INVALID_JSON)} "
            f"WHEN NOT ({raw} RLIKE '^[ \\\\t\\\\r\\\\n]*[{{]') THEN {_lit(MSG_NOT_OBJECT)} END")
     return v, err
 
@@ -79,6 +80,24 @@ def _numeric_sql(k: str) -> str:
     return f"({k} IN ('BIGINT', 'DOUBLE') OR startswith({k}, 'DECIMAL'))"
 
 
+def _enum_sql(name: str, values: list) -> str:
+    """SQL text: the member equals one of ``values`` (text, numbers, booleans or null)."""
+    k, s = f"`_k_{name}`", f"`_s_{name}`"
+    tests = []
+    text = [_lit(a) for a in values if isinstance(a, str)]
+    flags = [_lit(str(a).lower()) for a in values if isinstance(a, bool)]
+    numbers = [f"CAST({float(a)!r} AS DOUBLE)" for a in values if isinstance(a, (int, float)) and not isinstance(a, bool)]
+    if text:
+        tests.append(f"{k} = 'STRING' AND {s} IN ({', '.join(text)})")
+    if flags:
+        tests.append(f"{k} = 'BOOLEAN' AND {s} IN ({', '.join(flags)})")
+    if numbers:
+        tests.append(f"{_numeric_sql(k)} AND try_cast({s} AS DOUBLE) IN ({', '.join(numbers)})")
+    if None in values:
+        tests.append(f"{k} = 'VOID'")
+    return " OR ".join(f"({t})" for t in tests) or "false"
+
+
 def schema_error(schema: dict) -> str:
     """SQL text: first failing rule over the :func:`field_facts` columns (NULL when all pass)."""
     required = list(schema.get("required", []))
@@ -115,8 +134,7 @@ def schema_error(schema: dict) -> str:
             checks.append(f"CASE WHEN {present} AND {k(name)} <> 'BOOLEAN' THEN {_lit(f'Field {name!r} must be a boolean.')} END")
     for name, spec in props.items():
         if isinstance(spec, dict) and "enum" in spec:
-            allowed = ", ".join(_lit(a) for a in spec["enum"])
-            checks.append(f"CASE WHEN {k(name)} IS NOT NULL AND NOT coalesce(`_s_{name}` IN ({allowed}), false) "
+            checks.append(f"CASE WHEN {k(name)} IS NOT NULL AND NOT coalesce({_enum_sql(name, spec['enum'])}, false) "
                           f"THEN concat({_lit(f'Invalid value for {name!r}: ')}, coalesce(`_s_{name}`, 'None')) END")
     for name, spec in props.items():
         if isinstance(spec, dict) and "minimum" in spec:

@@ -1,10 +1,13 @@
 """Autoencoder training (M3): 7-5-3-5-7, relu hidden layers, identity output, Adam.
 
-Data-parallel epochs: the weights (120 numbers) go to every task with the
-function; each partition runs Adam mini-batch steps over its rows in
-``mapInPandas`` and returns (rows, weights, loss) - one row per partition;
-the driver averages the weights by row count (model averaging) and starts the
-next epoch.  Scaling is min-max fitted on the training part (A10); the
+Data-parallel epochs over fixed shards of the training sample: row i of the
+sample order belongs to shard i mod (number of shards), and a shard holds at
+most ``rows_per_shard`` rows, so the result depends on rows and seed and never
+on the partitioning.  Weights and Adam moments (120 numbers each) go to every
+task with the function; each shard runs mini-batch steps (squared error plus
+L2 penalty) in ``mapInPandas`` and returns (rows, weights, moments, loss) -
+one row per shard; the driver averages them by row count in shard order and
+starts the next epoch.  Scaling is min-max fitted on the training part (A10); the
 threshold is the 0.99 linear quantile of validation row MSE (A11).
 Weights are not expected to equal any other implementation's; shape,
 threshold rule and seed reproducibility are the contract.
@@ -21,12 +24,15 @@ from riskflow.contract import AE_LAYERS, AE_MAX_EPOCHS, AE_SAMPLE_SIZE, FEATURES
 from riskflow.models.params import AutoencoderParams, ae_apply
 from riskflow.operators.evaluate import minmax_fit, minmax_transform, seeded_sample
 from riskflow.operators.ordering import exact_quantiles, global_row_index
+from riskflow.session import cut_lineage
 
 LEARNING_RATE = 1e-3
 BATCH_SIZE = 200
 TOL = 1e-4
 N_ITER_NO_CHANGE = 10
 MIN_ROWS = 11
+L2 = 1e-4
+ROWS_PER_SHARD = 25_000
 
 
 def _init(seed: int) -> list[np.ndarray]:
@@ -78,39 +84,42 @@ def _grads(ws, x):
     return grads, loss
 
 
-def _local_epoch(flat: np.ndarray, epoch: int, seed: int, cols: list[str]):
-    def run(it):
-        ws = _unflatten(flat.copy())
-        m = [np.zeros_like(w) for w in ws]
-        v = [np.zeros_like(w) for w in ws]
+def _shard_epoch(state: dict, epoch: int, seed: int):
+    """One epoch over the shards of a partition, each from the same weights and moments."""
+    def one(shard: int, x: np.ndarray) -> dict:
+        ws, m, v = (_unflatten(state[k].copy()) for k in ("w", "m", "v"))
         b1, b2, eps = 0.9, 0.999, 1e-8
-        step, rows, loss_sum = 0, 0, 0.0
+        step, loss_sum = state["step"], 0.0
+        order = np.random.default_rng([seed, epoch, shard]).permutation(len(x))
+        for s in range(0, len(x), BATCH_SIZE):
+            xb = x[order[s:s + BATCH_SIZE]]
+            g, loss = _grads(ws, xb)
+            step += 1
+            for i in range(len(ws)):
+                if i % 2 == 0:  # weights, not biases
+                    g[i] = g[i] + L2 * ws[i] / len(xb)
+                m[i] = b1 * m[i] + (1 - b1) * g[i]
+                v[i] = b2 * v[i] + (1 - b2) * g[i] ** 2
+                mh = m[i] / (1 - b1 ** step)
+                vh = v[i] / (1 - b2 ** step)
+                ws[i] = ws[i] - LEARNING_RATE * mh / (np.sqrt(vh) + eps)
+            loss_sum += loss * len(xb)
+        return {"shard": shard, "rows": len(x), "steps": step, "loss": loss_sum / len(x),
+                "w": _flatten(ws).tolist(), "m": _flatten(m).tolist(), "v": _flatten(v).tolist()}
+
+    def run(it):
         for pdf in it:
-            x = pdf[cols].to_numpy(dtype=float)
-            if len(x) == 0:
-                continue
-            rng = np.random.default_rng([seed, epoch, int(pdf["_pid"].iloc[0]), rows])
-            order = rng.permutation(len(x))
-            for s in range(0, len(x), BATCH_SIZE):
-                xb = x[order[s:s + BATCH_SIZE]]
-                g, loss = _grads(ws, xb)
-                step += 1
-                for i in range(len(ws)):
-                    m[i] = b1 * m[i] + (1 - b1) * g[i]
-                    v[i] = b2 * v[i] + (1 - b2) * g[i] ** 2
-                    mh = m[i] / (1 - b1 ** step)
-                    vh = v[i] / (1 - b2 ** step)
-                    ws[i] = ws[i] - LEARNING_RATE * mh / (np.sqrt(vh) + eps)
-                loss_sum += loss * len(xb)
-            rows += len(x)
-        if rows:
-            yield pd.DataFrame({"rows": [rows], "loss": [loss_sum / rows], "w": [_flatten(ws).tolist()]})
+            for shard, flat in zip(pdf["_shard"], pdf["_x"]):
+                yield pd.DataFrame([one(int(shard), np.asarray(flat, dtype=float).reshape(-1, AE_LAYERS[0]))])
     return run
 
 
+EPOCH_SCHEMA = "shard long, rows long, steps long, loss double, w array<double>, m array<double>, v array<double>"
+
+
 def fit_autoencoder(features: DataFrame, id_col: str = "event_id", sample_size: int = AE_SAMPLE_SIZE,
                     max_epochs: int = AE_MAX_EPOCHS, seed: int = SEED,
-                    fraction: float = TRAIN_FRACTION) -> tuple[AutoencoderParams, dict]:
+                    fraction: float = TRAIN_FRACTION, rows_per_shard: int = ROWS_PER_SHARD) -> tuple[AutoencoderParams, dict]:
     normal = features.where(F.col("isFraud") == 0) if "isFraud" in features.columns else features
     sample = seeded_sample(normal.select(id_col, *FEATURES_V1), id_col, sample_size, seed, min_rows=MIN_ROWS)
     sample = sample.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
@@ -123,16 +132,19 @@ def fit_autoencoder(features: DataFrame, id_col: str = "event_id", sample_size:
     val = idx.where(F.col("_i") >= cut)
     mins, maxs = minmax_fit(train)
     sc = [f"{c}_s" for c in FEATURES_V1]
-    train_s = minmax_transform(train, mins, maxs, suffix="_s").select(*sc).withColumn("_pid", F.spark_partition_id())
-    from riskflow.session import cut_lineage
-
-    train_s = cut_lineage(train_s)
-    flat = _flatten(_init(seed))
+    shards = -(-cut // rows_per_shard)
+    scaled = minmax_transform(train, mins, maxs, suffix="_s").select(
+        (F.col("_i") % shards).alias("_shard"), F.struct("_i", F.array(*sc).alias("x")).alias("_r"))
+    train_s = cut_lineage(scaled.repartition(shards, "_shard").groupBy("_shard").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list("_r")), lambda r: r["x"])).alias("_x")))
+    start = _flatten(_init(seed))
+    state = {"w": start, "m": np.zeros_like(start), "v": np.zeros_like(start), "step": 0}
     best, stall, losses = np.inf, 0, []
     for epoch in range(max_epochs):
-        parts = train_s.mapInPandas(_local_epoch(flat, epoch, seed, sc), "rows long, loss double, w array<double>").collect()
-        total = sum(p["rows"] for p in parts)  # one row per partition
-        flat = sum(np.array(p["w"]) * p["rows"] for p in parts) / total
+        parts = sorted(train_s.mapInPandas(_shard_epoch(state, epoch, seed), EPOCH_SCHEMA).collect(), key=lambda p: p["shard"])
+        total = sum(p["rows"] for p in parts)  # one row per shard
+        state = {k: sum(np.array(p[k]) * p["rows"] for p in parts) / total for k in ("w", "m", "v")}
+        state["step"] = max(p["steps"] for p in parts)
         loss = sum(p["loss"] * p["rows"] for p in parts) / total
         losses.append(loss)
         if loss > best - TOL:
@@ -142,7 +154,7 @@ def fit_autoencoder(features: DataFrame, id_col: str = "event_id", sample_size:
         else:
             stall = 0
         best = min(best, loss)
-    ws = _unflatten(flat)
+    ws = _unflatten(state["w"])
     layers = [(ws[2 * i].tolist(), ws[2 * i + 1].tolist()) for i in range(len(ws) // 2)]
     net = AutoencoderParams(mins, maxs, layers, 0.0)
     scored = ae_apply(net, val, [f"CAST({c} AS DOUBLE)" for c in FEATURES_V1], "_mse")

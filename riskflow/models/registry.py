@@ -12,7 +12,9 @@ from __future__ import annotations
 import json
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskflow.session import checkpoint_dir
@@ -22,6 +24,16 @@ def default_root(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/registry"
 
 
+def read_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The Parquet table at ``path``; None if there is no such folder.  Any other failure raises."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 class ModelRegistry:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
@@ -36,9 +48,8 @@ class ModelRegistry:
         self.spark.createDataFrame(row, schema).coalesce(1).write.mode("overwrite").parquet(self._path(name, version))
 
     def versions(self, name: str) -> list[int]:
-        try:
-            df = self.spark.read.parquet(self._path(name))
-        except Exception:  # no versions yet
+        df = read_or_none(self.spark, self._path(name), "name string, version long")
+        if df is None:
             return []
         return sorted(int(r[0]) for r in df.select("version").distinct().collect())
 
@@ -50,16 +61,22 @@ class ModelRegistry:
         return {"name": name, "version": v, "model_type": r["model_type"], "params": json.loads(r["params"])}
 
     def set_live(self, name: str, version: int) -> None:
-        self.spark.createDataFrame([(name, int(version))], "name string, version long").coalesce(1) \
-            .write.mode("overwrite").parquet(f"{self.root}/{name}/_live")
+        """Point to ``version``: a new entry of the pointer table, so a failed write leaves the former one."""
+        pointers = self._pointers(name)
+        last = None if pointers is None else pointers.agg(F.max("seq")).first()[0]
+        self.spark.createDataFrame([(int(version),)], "live long").coalesce(1) \
+            .write.mode("overwrite").parquet(f"{self.root}/{name}/_live/seq={0 if last is None else last + 1}")
+
+    def _pointers(self, name: str) -> DataFrame | None:
+        return read_or_none(self.spark, f"{self.root}/{name}/_live", "live long, seq long")
 
     def live_version(self, name: str) -> int | None:
-        try:
-            r = self.spark.read.parquet(f"{self.root}/{name}/_live").first()
-        except Exception:
-            vs = self.versions(name)
-            return vs[-1] if vs else None
-        return int(r["version"]) if r else None
+        pointers = self._pointers(name)
+        r = None if pointers is None else pointers.orderBy(F.col("seq").desc()).first()
+        if r is not None:
+            return int(r["live"])
+        vs = self.versions(name)
+        return vs[-1] if vs else None
 
     def validate(self, names: list[str]) -> dict[str, bool]:
         """Presence of each named model."""

@@ -15,9 +15,14 @@ from riskflow.contract import ADAPTIVE_DEFAULTS, FEATURES_V1, TRAIN_FRACTION
 from riskflow.operators.ordering import exact_quantiles, global_row_index, running_sums
 
 
+def _hit(score: Column, threshold: float) -> Column:
+    """``score >= threshold``; false for a missing score and for NaN (which Spark orders last)."""
+    return F.coalesce((score >= F.lit(threshold)) & ~F.isnan(score.cast("double")), F.lit(False))
+
+
 def confusion_at(df: DataFrame, score_col: str, label_col: str, threshold: float = 0.5) -> DataFrame:
     """Precision and recall of ``score >= threshold`` (zero division -> 0)."""
-    pred = F.col(score_col) >= F.lit(threshold)
+    pred = _hit(F.col(score_col), threshold)
     y = F.col(label_col) == 1
     a = df.agg(
         F.count(F.lit(1)).alias("rows_holdout"),
@@ -67,7 +72,7 @@ def holdout_evaluation(df: DataFrame, score_col: str, label_col: str, threshold:
         F.sum(F.when(F.col(label_col) == 1, 0).otherwise(1)).cast("long").alias("neg"),
     )
     cum = running_sums(per_score, [F.col("_s").desc()], ["pos", "neg"])
-    hit = F.col("_s") >= F.lit(threshold)
+    hit = _hit(F.col("_s"), threshold)
     a = cum.agg(
         F.sum(F.col("pos") * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))).alias("_num"),
         F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"),
@@ -178,7 +183,7 @@ def adaptive_threshold(df: DataFrame, score_col: str, by: list[str] | None = Non
                        min_samples: int = ADAPTIVE_DEFAULTS["min_samples"],
                        floor: float = ADAPTIVE_DEFAULTS["floor"],
                        ceiling: float = ADAPTIVE_DEFAULTS["ceiling"]) -> DataFrame:
-    """A5: too few samples keep the current threshold, else clip(quantile, floor, ceiling)."""
+    """A5: too few samples (none included) keep the current threshold, else clip(quantile, floor, ceiling)."""
     q = exact_quantiles(df, score_col, [quantile], by)
     return q.select(
         *(by or []),

@@ -35,9 +35,10 @@ def parse_events(df: DataFrame, raw_col: str = "raw", schema: dict = EVENT_SCHEM
     """V8: adds ``error`` (first failure or NULL) and ``event``, the sanitised event.
 
     ``event`` is a struct of the typed schema fields plus ``extras`` (the
-    undeclared members minus the leakage fields, V6); it is NULL on failed rows.
+    undeclared members minus the leakage fields with their JSON types, V6); it
+    is NULL on failed rows.  ``raw_col`` is text or bytes (UTF-8).
     """
-    v, decode_error = parse_strict_sql(f"`{raw_col}`")
+    v, decode_error = parse_strict_sql(f"CAST(`{raw_col}` AS STRING)")
     staged = fence(df.selectExpr("*", f"{v} AS _v", f"{decode_error} AS _decode_error"))
     staged = fence(staged.selectExpr("*", *field_facts("_v", schema)))
     props = [n for n, sp in schema.get("properties", {}).items() if isinstance(sp, dict)]
@@ -46,7 +47,7 @@ def parse_events(df: DataFrame, raw_col: str = "raw", schema: dict = EVENT_SCHEM
     error = f"coalesce(_decode_error, {schema_error(schema)})"
     event = (f"CASE WHEN error IS NULL THEN named_struct("
              + ", ".join(f"'{n}', `_t_{n}`" for n in props)
-             + f", 'extras', map_filter(try_variant_get(_v, '$', 'map<string,string>'), (k, x) -> NOT k IN ({known}))) END")
+             + f", 'extras', map_filter(try_variant_get(_v, '$', 'map<string,variant>'), (k, x) -> NOT k IN ({known}))) END")
     out = staged.selectExpr(*base, f"{error} AS error", "_v", *[f"`_t_{n}`" for n in props])
     return fence(out.selectExpr(*base, "error", f"{event} AS event"))
 
@@ -59,8 +60,15 @@ def parse_route(df: DataFrame, raw_col: str = "raw", valid_topic: str = TOPIC_PA
 
 
 def dead_letter(error: Column, raw: Column) -> Column:
-    """V7: {error, raw_event, received_at}."""
-    return F.struct(error.alias("error"), raw.alias("raw_event"), F.current_timestamp().alias("received_at"))
+    """V7: {error, raw_event, received_at}; bytes become text, invalid ones replaced."""
+    text = F.make_valid_utf8(raw.cast("string"))
+    return F.struct(error.alias("error"), text.alias("raw_event"), F.current_timestamp().alias("received_at"))
+
+
+def _merged(a: Column, b: Column) -> Column:
+    """JSON text of an object with the members of the objects ``a`` and ``b``."""
+    return F.when(b == "{}", a).when(a == "{}", b).otherwise(
+        F.concat(F.substr(a, F.lit(1), F.length(a) - 1), F.lit(","), F.substr(b, F.lit(2))))
 
 
 def stream_feature_columns(velocity: Column | int = 1) -> list[Column]:
@@ -118,16 +126,24 @@ def route_events(
 def sink_records(routed: DataFrame, raw_col: str = "raw", key_col: str = "event_id") -> DataFrame:
     """One (topic, key, value) record per event, value as JSON text.
 
-    Dead-letter rows carry {error, raw_event, received_at}; the others carry the
-    sanitised event with its nested ``features`` (and ``scores`` when scored).
+    Parser failures carry {error, raw_event, received_at} with the raw text;
+    feature-stage failures {error, raw_event} with the sanitised event.  The
+    others carry the sanitised event, undeclared members beside the declared
+    ones and with their types, and the nested ``features`` (and ``scores``
+    when scored), which replace members of those names.
     """
     has_scores = "ensemble_score" in routed.columns
     features = FX.features_struct(*[F.col(n) for n in FEATURES_V1])
     scores = F.struct(*[F.col(c) for c in ("if_score", "ae_score", "sgd_score", "ensemble_score")]) if has_scores else None
     event_fields = [F.col(f"event.{n}").alias(n) for n in EVENT_FIELDS]
-    payload = F.struct(*event_fields, F.col("event.extras").alias("extras"), features.alias("features"),
-                       *([scores.alias("scores")] if has_scores else []))
-    value = F.when(F.col("error").isNotNull(), F.to_json(dead_letter(F.col("error"), F.col(raw_col)))) \
-        .otherwise(F.to_json(payload))
+    added = F.struct(features.alias("features"), *([scores.alias("scores")] if has_scores else []))
+    names = ["features", "scores"] if has_scores else ["features"]
+    declared = F.to_json(F.struct(*event_fields))
+    event = _merged(declared, F.to_json("event.extras"))
+    kept = _merged(declared, F.to_json(F.map_filter("event.extras", lambda k, v: ~k.isin(*names))))
+    parse_failure = F.to_json(dead_letter(F.col("error"), F.col(raw_col)), {"ignoreNullFields": "false"})
+    stage_failure = _merged(F.to_json(F.struct("error")), F.concat(F.lit('{"raw_event":'), event, F.lit("}")))
+    value = (F.when(F.col("error").isNull(), _merged(kept, F.to_json(added)))
+             .when(F.col("event").isNull(), parse_failure).otherwise(stage_failure))
     return routed.select("topic", F.col(key_col).cast("string").alias("key"), value.alias("value"),
                          F.col(key_col), "error")

@@ -111,6 +111,7 @@ def running_sums(df: DataFrame, order: list[Column | str], value_cols: list[str]
 def exact_quantiles(df: DataFrame, value_col: str, qs: list[float], by: list[str] | None = None) -> DataFrame:
     """Linear-interpolated quantiles per group: columns ``by + [q_<i>] + [n]``.
 
+    Without ``by`` there is one row even for no values (n = 0, NULL quantiles).
     pos = q * (n - 1); value = v[floor] + (v[ceil] - v[floor]) * (pos - floor),
     with ranks taken from :func:`global_row_index` over (by..., value).  Only
     the rank rows that are needed are joined back (2 per quantile per group).
@@ -146,8 +147,8 @@ def exact_quantiles(df: DataFrame, value_col: str, qs: list[float], by: list[str
     lo = vals.select(F.col("_r").alias("_lo"), F.col("_x").alias("_a"))
     hi = vals.select(F.col("_r").alias("_hi"), F.col("_x").alias("_b"))
     picked = (
-        targets.join(lo, "_lo")
-        .join(hi, "_hi")
+        targets.join(lo, "_lo", "left")
+        .join(hi, "_hi", "left")
         .withColumn("_v", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_t"))
     )
     wide = picked.groupBy(*by, "n").pivot("_qi", list(range(len(qs)))).agg(F.first("_v"))

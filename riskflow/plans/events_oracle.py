@@ -14,6 +14,8 @@ KNOWN_SQL = ", ".join(f"'{k}'" for k in KNOWN)
 
 PARSED = parsed_events_cte()
 
+SANITISED = f"list_filter(json_keys(j_ok), lambda k: k NOT IN ({', '.join(repr(k) for k in LEAKAGE_FIELDS)}))"
+
 FEATURES_CTE = f"""
 efeat AS (
   SELECT p.*,
@@ -92,6 +94,23 @@ def oracle() -> dict[str, str]:
             [FEATURES_CTE, _scored_cte(BENCH_THRESHOLD)],
         ),
         "event_routing": _w("SELECT event_id, topic, error FROM scored", [FEATURES_CTE, _scored_cte(0.5)]),
+        "sink_contents": _w(
+            f"""SELECT s.event_id, s.topic, CAST(s.event_id AS VARCHAR) AS key,
+                 CASE WHEN p.error IS NOT NULL THEN 'error,raw_event,received_at'
+                      WHEN s.error IS NOT NULL THEN 'error,raw_event'
+                      ELSE array_to_string(list_sort(list_distinct(list_concat({SANITISED}, ['features', 'scores']))), ',') END AS members,
+                 s.error, CASE WHEN s.error IS NULL THEN p.user_id END AS user_id, s.amount,
+                 CASE WHEN s.error IS NULL THEN json_extract_string(j_ok, '$.channel') END AS channel,
+                 CASE WHEN s.error IS NULL THEN CAST(json_extract_string(j_ok, '$.device.n') AS INTEGER) END AS device_n,
+                 coalesce(s.error IS NULL AND json_type(j_ok::JSON, '$.risk') = 'UBIGINT', false) AS risk_is_number,
+                 round(s.balance_diff_orig, {d}) + 0.0 AS balance_diff_orig, s.hour_of_day,
+                 round(s.ensemble_score, {d}) AS ensemble_score,
+                 CASE WHEN p.error IS NOT NULL THEN p.raw END AS raw_text,
+                 CASE WHEN p.error IS NULL AND s.error IS NOT NULL
+                      THEN array_to_string(list_sort(list_distinct({SANITISED})), ',') END AS raw_members
+               FROM scored s JOIN parsed p USING (event_id)""",
+            [FEATURES_CTE, _scored_cte(0.5)],
+        ),
         "route_counts": _w(
             """SELECT count(*) AS events_in,
                  count(*) FILTER (WHERE topic <> 'dead-letter') AS scored,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskflow.contract import TOPIC_ANOMALY, TOPIC_DLQ, TOPIC_NORMAL
 from riskflow.functions import features as FX
 from riskflow.models.demo import demo_models
-from riskflow.operators.events import parse_events, parse_route, route_events
+from riskflow.operators.events import parse_events, parse_route, route_events, sink_records
 from riskflow.sources import adapters
 from riskflow.sources.tables import events
 
@@ -95,7 +95,28 @@ def q_route_counts(spark, sf_dir):
     )
 
 
+def q_sink_contents(spark, sf_dir):
+    """The members of every sink record (without the value of ``received_at``)."""
+    s = sink_records(routed(spark, sf_dir))
+    text = lambda path: F.get_json_object("value", path)
+    return s.select(
+        "event_id", "topic", "key",
+        F.array_join(F.array_sort(F.json_object_keys("value")), ",").alias("members"),
+        text("$.error").alias("error"), text("$.user_id").alias("user_id"),
+        text("$.amount").cast("double").alias("amount"),
+        text("$.channel").alias("channel"), text("$.device.n").cast("int").alias("device_n"),
+        F.coalesce(F.col("value").contains('"risk":2'), F.lit(False)).alias("risk_is_number"),
+        (F.round(text("$.features.balance_diff_orig").cast("double"), SCORE_DIGITS) + F.lit(0.0)).alias("balance_diff_orig"),
+        text("$.features.hour_of_day").cast("int").alias("hour_of_day"),
+        F.round(text("$.scores.ensemble_score").cast("double"), SCORE_DIGITS).alias("ensemble_score"),
+        F.when(text("$.received_at").isNotNull(), text("$.raw_event")).alias("raw_text"),
+        F.array_join(F.array_sort(F.json_object_keys(F.when(text("$.received_at").isNull(), text("$.raw_event")))), ",")
+        .alias("raw_members"),
+    )
+
+
 QUERIES = {
+    "sink_contents": q_sink_contents,
     "parse_route": q_parse_route,
     "parse_valid": q_parse_valid,
     "dlq_by_error": q_dlq_by_error,

@@ -12,7 +12,7 @@ from riskflow.operators.profile import validate_table
 from riskflow.plans.feedback_queries import feedback_raw
 from riskflow.plans.table_queries import txn
 from riskflow.session import checkpoint_dir
-from riskflow.sources.files import read_feedback_jsonl, read_transactions_csv
+from riskflow.sources.files import feedback_dead_letters, read_feedback_jsonl, read_transactions_csv
 from riskflow.streaming.feedback_loop import publish_feedback
 
 R = 9
@@ -38,12 +38,29 @@ def q_feedback_jsonl_accept(spark, sf_dir):
 
 
 def q_feedback_publish(spark, sf_dir):
-    """T7 + S8: validated requests published as JSON lines; request/publish/reject counters."""
+    """T7 + S8: validated requests published as JSON lines; request/publish/error counters."""
     return publish_feedback(feedback_raw(spark, sf_dir), _scratch(spark, "published"))
 
 
+def q_feedback_publish_accept(spark, sf_dir):
+    """T7 -> S4 -> V11: what was published, read back and accepted for learning."""
+    path = _scratch(spark, "published")
+    publish_feedback(feedback_raw(spark, sf_dir), path)
+    a = FB.accept_for_learning(read_feedback_jsonl(spark, path))
+    return a.select("anomaly_id", "accepted", "y", "skip_reason", *[F.round(c, R).alias(c) for c in FEATURES_V1])
+
+
+def q_feedback_dead_lines(spark, sf_dir):
+    """The lines of a feedback file that do not decode to an object, with their error."""
+    path = _scratch(spark, "feedback-jsonl")
+    feedback_raw(spark, sf_dir).select("raw").write.text(path)
+    return feedback_dead_letters(spark, path)
+
+
 QUERIES = {
     "txn_csv_validation": q_txn_csv_validation,
     "feedback_jsonl_accept": q_feedback_jsonl_accept,
     "feedback_publish": q_feedback_publish,
+    "feedback_publish_accept": q_feedback_publish_accept,
+    "feedback_dead_lines": q_feedback_dead_lines,
 }

@@ -58,8 +58,9 @@ raw_event AS (
                             WHEN m = 10 THEN 'true' ELSE amt_s END,
         '"old_balance_orig":' || CAST(old AS VARCHAR),
         CASE WHEN m <> 17 THEN '"new_balance_orig":' || CAST(greatest(old - amt, CAST(0 AS DECIMAL(18,2))) AS VARCHAR) END,
-        CASE WHEN m = 8 THEN '"is_fraud":1,"isFraud":1,"label":"fraud"' END,
-        CASE WHEN m = 16 THEN '"amount":' || amt_s END
+        CASE WHEN m IN (7, 8) THEN '"is_fraud":1,"isFraud":1,"label":"fraud"' END,
+        CASE WHEN m = 16 THEN '"amount":' || amt_s END,
+        CASE WHEN m = 18 THEN '"channel":"web","device":{"os":"x","n":5},"risk":2,"features":"own"' END
       ) || '}' AS body
     FROM (
       SELECT event_id, ts, user_id, event_id % 50 AS m,
@@ -76,14 +77,15 @@ raw_event AS (
 FEEDBACK_TEXT = """
 feedback_text AS (
   SELECT event_id, ts,
-    '{' || concat_ws(',',
+    CASE WHEN m = 9 THEN '[' WHEN m = 10 THEN '{' ELSE '' END || '{' || concat_ws(',',
       '"anomaly_id":"' || CAST(event_id AS VARCHAR) || '"',
-      '"label":"' || CASE WHEN m = 1 THEN 'maybe'
+      CASE WHEN m <> 11 THEN '"label":"' || CASE WHEN m = 1 THEN 'maybe'
                           WHEN isFraud = 1 OR event_id % 10 = 0 THEN 'true_positive'
-                          ELSE 'false_positive' END || '"',
+                          ELSE 'false_positive' END || '"' END,
       '"analyst_id":' || CASE WHEN m = 8 THEN '""' ELSE '"a' || CAST(event_id % 5 AS VARCHAR) || '"' END,
       '"features":' || CASE WHEN m = 2 THEN 'null' ELSE '{' || concat_ws(',',
-          '"amount":' || CASE WHEN m = 4 THEN '"' || CAST(amt AS VARCHAR) || '"' ELSE CAST(amt AS VARCHAR) END,
+          '"amount":' || CASE WHEN m = 4 THEN '"' || CAST(amt AS VARCHAR) || '"'
+                              WHEN m = 12 THEN '"' || CAST(amt AS VARCHAR) || 'd"' ELSE CAST(amt AS VARCHAR) END,
           '"amount_ratio":' || CAST(CAST(round(amount / (oldbalanceOrg + 1.0), 6) AS DECIMAL(24,6)) AS VARCHAR),
           '"balance_diff_orig":' || CAST(old - greatest(old - amt, CAST(0 AS DECIMAL(18,2))) - amt AS VARCHAR),
           '"is_transfer":' || CASE WHEN m = 6 THEN CASE WHEN type = 'TRANSFER' THEN 'true' ELSE 'false' END
@@ -93,7 +95,7 @@ feedback_text AS (
           CASE WHEN m <> 3 THEN '"txn_velocity_1h":1' END
         ) || '}' END,
       CASE WHEN m = 7 THEN '"priority":"high"' END
-    ) || '}' AS raw
+    ) || '}' || CASE WHEN m = 9 THEN ']' ELSE '' END AS raw
   FROM (
     SELECT *, event_id % 23 AS m, CAST(amount AS DECIMAL(18,2)) AS amt,
            CAST(oldbalanceOrg AS DECIMAL(18,2)) AS old

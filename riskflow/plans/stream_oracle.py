@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from riskflow.contract import ONLINE_BATCH_SIZE
 from riskflow.plans import events_oracle
+from riskflow.plans import feedback_oracle as FO
 from riskflow.plans.oracle_rules import iso_valid_sql
 from riskflow.plans.oracle_views import with_views
 
@@ -14,7 +16,15 @@ SELECT event_id, user_id,
     AS txn_velocity_1h
 FROM parsed WHERE error IS NULL AND {iso_valid_sql('timestamp')}
   AND TRY_CAST(timestamp AS TIMESTAMPTZ) IS NOT NULL"""
+    b = ONLINE_BATCH_SIZE
     return {
+        "feedback_loop_counts": with_views(["feedback_text"], [FO.FB_PARSED, FO.ACCEPT], f"""
+SELECT count(*) AS messages_seen, count(*) FILTER (WHERE accepted) AS accepted,
+  count(*) FILTER (WHERE NOT accepted) AS skipped,
+  CAST((count(*) FILTER (WHERE accepted) + {b - 1}) // {b} AS BIGINT) AS updates,
+  CASE WHEN count(*) FILTER (WHERE accepted) % {b} = 0 THEN least(count(*) FILTER (WHERE accepted), {b})
+       ELSE count(*) FILTER (WHERE accepted) % {b} END AS last_batch_size
+FROM fba"""),
         "stream_scoring": events_oracle.oracle()["event_routing"],
         "stream_velocity": with_views(["raw_event"], [events_oracle.PARSED], velocity),
     }

@@ -24,7 +24,7 @@ def q_stream_velocity(spark, sf_dir):
 
 
 def q_feedback_stream_loop(spark, sf_dir):
-    """T5 as a stream: feedback -> acceptance -> batch updates with promotion guard -> summary."""
+    """T5 as a stream: feedback -> acceptance -> batch updates with promotion guard, a last one from the remainder."""
     from riskflow.models.registry import ModelRegistry
     from riskflow.plans.model_queries import feats
     from riskflow.sources import adapters
@@ -39,7 +39,13 @@ def q_feedback_stream_loop(spark, sf_dir):
     return loop.summary()
 
 
+def q_feedback_loop_counts(spark, sf_dir):
+    """T5: the counts of the stream loop that do not depend on the model."""
+    return q_feedback_stream_loop(spark, sf_dir).select("messages_seen", "accepted", "skipped", "updates", "last_batch_size")
+
+
 QUERIES = {
+    "feedback_loop_counts": q_feedback_loop_counts,
     "feedback_stream_loop": q_feedback_stream_loop,
     "stream_scoring": q_stream_scoring,
     "stream_velocity": q_stream_velocity,

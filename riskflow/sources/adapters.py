@@ -99,8 +99,9 @@ def raw_event(events: DataFrame) -> DataFrame:
         concat('"old_balance_orig":', CAST(old AS STRING)),
         CASE WHEN m <> 17 THEN concat('"new_balance_orig":',
           CAST(greatest(old - amt, CAST(0 AS DECIMAL(18,2))) AS STRING)) END,
-        CASE WHEN m = 8 THEN '"is_fraud":1,"isFraud":1,"label":"fraud"' END,
-        CASE WHEN m = 16 THEN concat('"amount":', amt_s) END
+        CASE WHEN m IN (7, 8) THEN '"is_fraud":1,"isFraud":1,"label":"fraud"' END,
+        CASE WHEN m = 16 THEN concat('"amount":', amt_s) END,
+        CASE WHEN m = 18 THEN '"channel":"web","device":{"os":"x","n":5},"risk":2,"features":"own"' END
       ), '}')"""
     raw = f"""CASE WHEN m = 5 THEN '{{bad json}}'
                    WHEN m = 11 THEN concat('[', {body}, ']')
@@ -115,7 +116,8 @@ def feedback_text(events: DataFrame) -> DataFrame:
         "*", "event_id % 23 AS m", "CAST(amount AS DECIMAL(18,2)) AS amt", "CAST(oldbalanceOrg AS DECIMAL(18,2)) AS old",
     )
     features = """concat('{', concat_ws(',',
-        concat('"amount":', CASE WHEN m = 4 THEN concat('"', CAST(amt AS STRING), '"') ELSE CAST(amt AS STRING) END),
+        concat('"amount":', CASE WHEN m = 4 THEN concat('"', CAST(amt AS STRING), '"')
+                                 WHEN m = 12 THEN concat('"', CAST(amt AS STRING), 'd"') ELSE CAST(amt AS STRING) END),
         concat('"amount_ratio":', CAST(CAST(round(amount / (oldbalanceOrg + 1.0), 6) AS DECIMAL(24,6)) AS STRING)),
         concat('"balance_diff_orig":', CAST(old - greatest(old - amt, CAST(0 AS DECIMAL(18,2))) - amt AS STRING)),
         concat('"is_transfer":', CASE WHEN m = 6 THEN CASE WHEN type = 'TRANSFER' THEN 'true' ELSE 'false' END
@@ -124,15 +126,15 @@ def feedback_text(events: DataFrame) -> DataFrame:
         concat('"hour_of_day":', CASE WHEN m = 5 THEN 'null' ELSE CAST(step % 24 AS STRING) END),
         CASE WHEN m <> 3 THEN '"txn_velocity_1h":1' END
       ), '}')"""
-    body = f"""concat('{{', concat_ws(',',
+    body = f"""concat(CASE WHEN m = 9 THEN '[' WHEN m = 10 THEN '{{' ELSE '' END, '{{', concat_ws(',',
         concat('"anomaly_id":"', CAST(event_id AS STRING), '"'),
-        concat('"label":"', CASE WHEN m = 1 THEN 'maybe'
+        CASE WHEN m <> 11 THEN concat('"label":"', CASE WHEN m = 1 THEN 'maybe'
                                  WHEN isFraud = 1 OR event_id % 10 = 0 THEN 'true_positive'
-                                 ELSE 'false_positive' END, '"'),
+                                 ELSE 'false_positive' END, '"') END,
         concat('"analyst_id":', CASE WHEN m = 8 THEN '""' ELSE concat('"a', CAST(event_id % 5 AS STRING), '"') END),
         concat('"features":', CASE WHEN m = 2 THEN 'null' ELSE {features} END),
         CASE WHEN m = 7 THEN '"priority":"high"' END
-      ), '}}') AS raw"""
+      ), '}}', CASE WHEN m = 9 THEN ']' ELSE '' END) AS raw"""
     return t.selectExpr("event_id", "ts", body)
 
 

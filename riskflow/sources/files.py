@@ -1,10 +1,12 @@
 """File sources and sinks.
 
 * S1  transaction CSV with a header, explicit schema (no inference); the header
-      is read first so missing columns are reported (V9) before any job.
-* S4  feedback JSON lines: blank lines skipped, non-objects dropped.
+      is read first so missing columns are reported (V9) before any job, and
+      a file with another header fails the read.
+* S4  feedback JSON lines: blank lines skipped; lines that do not decode to an
+      object go to the dead letter with their error.
 * S8  feedback publish: ``to_json(struct(*))`` lines.
-* S9  model-update signals appended as rows.
+* S9  model-update signals, one folder per update.
 * S10 report sinks: one-row DataFrames written as JSON.
 """
 
@@ -19,17 +21,20 @@ from riskflow.functions.jsonrules import parse_strict
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names from the header line (reads one line)."""
-    first = spark.read.text(path).limit(1).collect()
-    return [c.strip() for c in first[0][0].split(",")] if first else []
+    """Column names of the header line, as the CSV reader takes them (quotes included)."""
+    return spark.read.option("header", True).csv(path).columns
 
 
 def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV -> typed transaction table; columns absent from the file stay absent."""
+    """Header CSV -> typed transaction table; columns absent from the file stay absent.
+
+    Every file's header is compared with the schema: one with other columns or
+    another order raises instead of being read by position.
+    """
     header = csv_header(spark, path)
     fields = {f.name: f for f in TXN_SCHEMA.fields}
     schema = T.StructType([fields.get(c, T.StructField(c, T.StringType())) for c in header])
-    return spark.read.option("header", True).option("mode", "PERMISSIVE").schema(schema).csv(path)
+    return spark.read.option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE").schema(schema).csv(path)
 
 
 def missing_columns(df: DataFrame) -> list[str]:
@@ -37,24 +42,36 @@ def missing_columns(df: DataFrame) -> list[str]:
 
 
 def read_feedback_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """One record per non-blank line; lines that do not decode to an object are dropped."""
+    """One record per non-blank line that decodes to an object (see :func:`feedback_dead_letters`)."""
+    return _feedback_lines(spark, path).where(F.col("error").isNull()).drop("error")
+
+
+def feedback_dead_letters(spark: SparkSession, path: str) -> DataFrame:
+    """The non-blank lines that do not decode to an object: (raw, error)."""
+    return _feedback_lines(spark, path).where(F.col("error").isNotNull())
+
+
+def _feedback_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(F.trim("value").alias("raw")).where(F.col("raw") != "")
     _, err = parse_strict("raw")
-    return lines.select("raw", err.alias("_e")).where(F.col("_e").isNull()).drop("_e")
+    return lines.select("raw", err.alias("error"))
 
 
 def publish_json(df: DataFrame, path: str) -> None:
-    """Each row as one JSON object per line (append)."""
-    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("append").text(path)
+    """Each row as one JSON object per line, nulls included (append)."""
+    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)
 
 
 def append_signal(spark: SparkSession, path: str, model_type: str, model_path: str, update_count: int,
                   batch_size: int) -> DataFrame:
-    """One model-update signal row, ``updated_at`` set by the engine."""
+    """One model-update signal row, ``updated_at`` set by the engine.
+
+    ``path`` is the folder of this update, so a retried update replaces its own signal.
+    """
     row = spark.createDataFrame([(model_type, model_path, int(update_count), int(batch_size))],
                                 "model_type string, model_path string, online_update_count long, batch_size int")
     sig = row.withColumn("updated_at", F.current_timestamp())
-    sig.select(*[f.name for f in SIGNAL_SCHEMA.fields]).write.mode("append").parquet(path)
+    sig.select(*[f.name for f in SIGNAL_SCHEMA.fields]).coalesce(1).write.mode("overwrite").parquet(path)
     return sig
 
 

@@ -8,7 +8,8 @@ Per micro-batch (``foreachBatch``):
      logistic model; the candidate is evaluated on the holdout (M9/M10)
      before it goes live (M11) - a failing candidate never becomes live, so
      the rollback is "the pointer stays"; each update emits a signal (S9);
-  4. the remainder is written as the new pending table.
+  4. the remainder is written as the new pending table; at the end of the
+     stream it is one last update.
 Loop state (live version, update count) is stored per batch id next to the
 pending rows, so a retried batch recomputes from the previous batch's state
 (idempotent under at-least-once ``foreachBatch``); nothing buffered is lost
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.streaming.jobs import await_end
@@ -28,7 +29,7 @@ from riskflow.contract import FEATURES_V1, ONLINE_BATCH_SIZE, PROMOTION_MIN
 from riskflow.models.base import feature_refs
 from riskflow.models.fixed import FIXED_LOGIT
 from riskflow.models.params import LogitParams
-from riskflow.models.registry import ModelRegistry
+from riskflow.models.registry import ModelRegistry, read_or_none
 from riskflow.operators import evaluate as EV
 from riskflow.operators import feedback as FB
 from riskflow.sources.files import append_signal, publish_json
@@ -36,6 +37,10 @@ from riskflow.sources.files import append_signal, publish_json
 PENDING_SCHEMA = "event_id long, y int, " + ", ".join(f"{c} double" for c in FEATURES_V1)
 
 
+STATE_SCHEMA = ("live string, update_count long, messages long, accepted long, updates long, passed long, failed long, "
+                "last_batch_size long, batch_id long, step long")
+
+
 class FeedbackLoop:
     def __init__(self, spark: SparkSession, holdout: DataFrame, state_dir: str, registry: ModelRegistry,
                  batch_size: int = ONLINE_BATCH_SIZE, learning_rate: float = 1e-5,
@@ -54,39 +59,67 @@ class FeedbackLoop:
         self.initial = initial or LogitParams(list(FIXED_LOGIT.weights), FIXED_LOGIT.bias, version=0)
 
     # -- state -----------------------------------------------------------
-    def _state(self, before_batch: int) -> dict:
-        try:
-            st = self.spark.read.parquet(f"{self.state_dir}/state").where(F.col("batch_id") < before_batch)
-            row = st.orderBy(F.col("batch_id").desc()).first()
-        except Exception:
-            row = None
+    # A state row and the pending rows are written per (micro-batch, step): step 0 is the micro-batch
+    # itself, later steps are flushes and one-shot updates after it.  A retry overwrites its own folder.
+    def _state(self, before_batch: int | None = None) -> dict:
+        """The latest state (of the micro-batches before ``before_batch``); the initial one if there is none."""
+        st = read_or_none(self.spark, f"{self.state_dir}/state", STATE_SCHEMA)
+        if st is not None and before_batch is not None:
+            st = st.where(F.col("batch_id") < before_batch)
+        row = None if st is None else st.orderBy(F.col("batch_id").desc(), F.col("step").desc()).first()
         if row is None:
-            return {"batch_id": -1, "live": json.dumps({"weights": self.initial.weights, "bias": self.initial.bias,
-                                                        "version": self.initial.version}),
-                    "update_count": 0, "messages": 0, "accepted": 0, "updates": 0, "passed": 0, "failed": 0}
+            return {"batch_id": -1, "step": -1, "live": json.dumps({
+                "weights": self.initial.weights, "bias": self.initial.bias, "version": self.initial.version}),
+                "update_count": 0, "messages": 0, "accepted": 0, "updates": 0, "passed": 0, "failed": 0,
+                "last_batch_size": 0}
         return row.asDict()
 
-    def _pending(self, batch_id: int) -> DataFrame:
-        if batch_id < 0:
+    def _pending(self, state: dict) -> DataFrame:
+        if state["step"] < 0:
             return self.spark.createDataFrame([], PENDING_SCHEMA)
-        return self.spark.read.schema(PENDING_SCHEMA).parquet(f"{self.state_dir}/pending/batch_id={batch_id}")
+        return self.spark.read.schema(PENDING_SCHEMA).parquet(self._part("pending", state["batch_id"], state["step"]))
+
+    def _part(self, table: str, batch_id: int, step: int) -> str:
+        return f"{self.state_dir}/{table}/batch_id={batch_id}/step={step}"
 
     # -- one micro-batch -------------------------------------------------
     def process(self, batch_df: DataFrame, batch_id: int, force_flush: bool = False) -> dict:
-        prev = self._state(batch_id)
+        """One micro-batch: an update per full batch, the remainder kept (or flushed too)."""
+        return self._advance(self._state(batch_id), batch_df, batch_id, 0, force_flush)
+
+    def flush(self) -> dict:
+        """Update from the rows still pending, if there are any."""
+        prev = self._state()
+        return self._advance(prev, None, prev["batch_id"], prev["step"] + 1, True)
+
+    def update_once(self, feedback: DataFrame, force_flush: bool = True) -> dict:
+        """One update from everything buffered and given; without the force only from ``batch_size`` rows on."""
+        prev = self._state()
+        return self._advance(prev, feedback, prev["batch_id"], prev["step"] + 1, force_flush, whole=True)
+
+    def _advance(self, prev: dict, batch_df: DataFrame | None, batch_id: int, step: int, force_flush: bool,
+                 whole: bool = False) -> dict:
         live_d = json.loads(prev["live"])
         live = LogitParams(live_d["weights"], live_d["bias"], version=live_d["version"])
-        acc = FB.accept_for_learning(batch_df)
-        counts = acc.agg(F.count(F.lit(1)).alias("m"), F.count_if("accepted").alias("a")).first()
-        new_rows = acc.where("accepted").select(F.col("event_id").cast("long"), F.col("y").cast("int"),
-                                                *[F.col(c).cast("double") for c in FEATURES_V1])
-        rows = self._pending(prev["batch_id"]).unionByName(new_rows)
-        numbered = FB.cut_batches(rows, "event_id", self.batch_size).cache()
-        sizes = {int(r["batch_no"]): int(r["count"]) for r in numbered.groupBy("batch_no").count().collect()}
-        full = sorted(b for b, n in sizes.items() if n == self.batch_size or force_flush)
+        rows, messages, accepted = self._pending(prev), 0, 0
+        if batch_df is not None:
+            acc = FB.accept_for_learning(batch_df)
+            counts = acc.agg(F.count(F.lit(1)).alias("m"), F.count_if("accepted").alias("a")).first()
+            messages, accepted = int(counts["m"]), int(counts["a"])
+            rows = rows.unionByName(acc.where("accepted").select(
+                F.col("event_id").cast("long"), F.col("y").cast("int"), *[F.col(c).cast("double") for c in FEATURES_V1]))
+        if whole:
+            numbered = rows.withColumn("batch_no", F.lit(0).cast("long")).cache()
+        else:
+            numbered = FB.cut_batches(rows, "event_id", self.batch_size).cache()
+        n = numbered.count()
+        if whole:
+            n_updates = int(n > 0 and (force_flush or n >= self.batch_size))
+        else:
+            n_updates = -(-n // self.batch_size) if force_flush else n // self.batch_size
         stats = {"updates": 0, "passed": 0, "failed": 0}
-        update_count = int(prev["update_count"])
-        for b in full:
+        update_count, last_size = int(prev["update_count"]), int(prev["last_batch_size"])
+        for b in range(n_updates):
             g = FB.gradient_step(numbered.where(F.col("batch_no") == b), live.weights, live.bias).first()
             cand = LogitParams([w - self.lr * g[f"grad_{i}"] for i, w in enumerate(live.weights)],
                                live.bias - self.lr * g["grad_bias"], version=live.version + 1)
@@ -95,6 +128,9 @@ class FeedbackLoop:
             ok = (m["precision_at_0_5"] >= self.minimums["precision"] and m["recall_at_0_5"] >= self.minimums["recall"]
                   and m["pr_auc"] >= self.minimums["pr_auc"])
             stats["updates"] += 1
+            last_size = int(g["n"])
+            append_signal(self.spark, f"{self._part('signals', batch_id, step)}/update={b}", "logistic",
+                          f"{self.registry.root}/{self.model_name}", update_count + 1, last_size)
             if ok:
                 update_count += 1
                 stats["passed"] += 1
@@ -102,63 +138,68 @@ class FeedbackLoop:
                                    {"weights": cand.weights, "bias": cand.bias, "online_update_count": update_count})
                 self.registry.set_live(self.model_name, cand.version)
                 live = cand
-                append_signal(self.spark, f"{self.state_dir}/signals", "logistic",
-                              f"{self.registry.root}/{self.model_name}/version={cand.version}", update_count,
-                              int(g["n"]))
             else:
                 stats["failed"] += 1
-        remainder = numbered.where(~F.col("batch_no").isin(full) if full else F.lit(True)).drop("batch_no")
-        remainder.write.mode("overwrite").parquet(f"{self.state_dir}/pending/batch_id={batch_id}")
+        remainder = numbered.where(F.col("batch_no") >= n_updates).drop("batch_no")
+        remainder.write.mode("overwrite").parquet(self._part("pending", batch_id, step))
         numbered.unpersist()
         state = {
-            "batch_id": batch_id,
             "live": json.dumps({"weights": live.weights, "bias": live.bias, "version": live.version}),
             "update_count": update_count,
-            "messages": int(prev["messages"]) + int(counts["m"]),
-            "accepted": int(prev["accepted"]) + int(counts["a"]),
+            "messages": int(prev["messages"]) + messages,
+            "accepted": int(prev["accepted"]) + accepted,
             "updates": int(prev["updates"]) + stats["updates"],
             "passed": int(prev["passed"]) + stats["passed"],
             "failed": int(prev["failed"]) + stats["failed"],
+            "last_batch_size": last_size,
         }
-        self.spark.createDataFrame([state]).write.mode("append").parquet(f"{self.state_dir}/state")
-        return state
+        self.spark.createDataFrame([tuple(state.values())], STATE_SCHEMA.split(", batch_id")[0]).coalesce(1) \
+            .write.mode("overwrite").parquet(self._part("state", batch_id, step))
+        return state | {"batch_id": batch_id, "step": step}
 
     def summary(self) -> DataFrame:
         """messages_seen, accepted, skipped, updates, promotion_passed/failed, rollbacks (latest state)."""
-        st = self.spark.read.parquet(f"{self.state_dir}/state")
-        last = st.orderBy(F.col("batch_id").desc()).limit(1)
+        st = self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.state_dir}/state")
+        last = st.orderBy(F.col("batch_id").desc(), F.col("step").desc()).limit(1)
         return last.select(
             F.col("messages").alias("messages_seen"), F.col("accepted"),
             (F.col("messages") - F.col("accepted")).alias("skipped"), F.col("updates"),
             F.col("passed").alias("promotion_passed"), F.col("failed").alias("promotion_failed"),
             F.col("failed").alias("rollbacks"), F.col("update_count").alias("online_update_count"),
+            "last_batch_size",
         )
 
-    def run_stream(self, feedback_stream: DataFrame, checkpoint: str, timeout_s: int | None = None) -> None:
+    def run_stream(self, feedback_stream: DataFrame, checkpoint: str, timeout_s: int | None = None,
+                   force_flush: bool = True) -> None:
+        """T5: every micro-batch, then (by default) an update from the remainder."""
         q = (feedback_stream.writeStream.foreachBatch(lambda df, bid: self.process(df, bid))
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
         await_end(q, timeout_s)
+        if force_flush:
+            self.flush()
 
 
 def run_updater_once(loop: FeedbackLoop, feedback: DataFrame, force_flush: bool = True) -> DataFrame:
-    """One update from everything given (forced), then the summary."""
-    loop.process(feedback, 0, force_flush=force_flush)
+    """One update from everything given, continuing from the saved state, then the summary."""
+    loop.update_once(feedback, force_flush)
     return loop.summary()
 
 
 def publish_feedback(requests: DataFrame, sink_path: str) -> DataFrame:
-    """Validate requests (V10), publish the accepted ones with ``received_at`` (S8, F11),
-    and return the counters (requests / published / errors)."""
-    v = FB.validate_requests(requests)
-    ok = v.where(F.col("status") == "accepted").select(
+    """Validate requests (V10), publish the accepted ones with ``received_at``.
+
+    Returns the counters: a request counts once it passed validation; a failed
+    write raises, so the errors of a finished call are 0.
+    """
+    ok = FB.validate_requests(requests).where(F.col("status") == "accepted").select(
         "anomaly_id", "label", "analyst_id",
-        F.to_json(F.variant_get(F.col("_v"), "$.features", "variant")).alias("features"),
+        F.variant_get(F.col("_v"), "$.features", "variant").alias("features"),
         F.variant_get(F.col("_v"), "$.notes", "string").alias("notes"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("received_at"),
     )
-    publish_json(ok, sink_path)
-    return v.agg(
-        F.count(F.lit(1)).cast("double").alias("feedback_requests_total"),
-        F.count_if(F.col("status") == "accepted").cast("double").alias("feedback_published_total"),
-        F.count_if(F.col("status") != "accepted").cast("double").alias("feedback_rejected_total"),
-    )
+    seen = Observation()
+    publish_json(ok.observe(seen, F.count(F.lit(1)).alias("n")), sink_path)
+    n = float(seen.get["n"])
+    return requests.sparkSession.createDataFrame(
+        [(n, n, 0.0)],
+        "feedback_requests_total double, feedback_published_total double, feedback_publish_errors_total double")

@@ -112,3 +112,20 @@ def test_evaluate_model_on_holdout_checks_columns(spark):
     feats(spark, SF_SMALL).drop("isFraud").write.parquet(f"{d}/no_label")
     with pytest.raises(ValueError, match="target column"):
         EV.evaluate_model_on_holdout(spark, FIXED_LOGIT, f"{d}/no_label")
+
+
+def test_nan_and_missing_scores_are_no_hits(spark):
+    from riskflow.operators.evaluate import confusion_at, holdout_evaluation
+
+    df = spark.createDataFrame([(0.9, 1), (float("nan"), 0), (None, 1), (0.1, 0)], "s double, y int")
+    for r in (confusion_at(df, "s", "y").first(), holdout_evaluation(df, "s", "y").first()):
+        assert (r["tp"], r["fp"], r["fn"]) == (1, 0, 1)
+
+
+def test_quantiles_of_nothing_keep_one_row(spark):
+    from riskflow.operators.evaluate import adaptive_threshold
+    from riskflow.operators.profile import amount_stats
+
+    none = spark.createDataFrame([], "amount double")
+    assert tuple(amount_stats(none).collect()[0]) == (None,) * 5
+    assert adaptive_threshold(none, "amount", current_threshold=0.4).first()["threshold"] == 0.4

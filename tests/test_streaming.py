@@ -67,9 +67,11 @@ def test_sink_records_carry_dead_letter_and_enriched_payloads(spark):
 
     from riskflow.operators.events import sink_records
 
-    base = {"event_id": "e1", "timestamp": "2026-02-16T08:15:00Z", "user_id": "C1", "type": "TRANSFER",
-            "amount": 900.0, "old_balance_orig": 1000.0, "new_balance_orig": 100.0, "isFraud": 1}
-    df = spark.createDataFrame([(1, json.dumps(base)), (2, "{bad json}")], "event_id long, raw string")
+    base = {"event_id": "p-31", "timestamp": "2025-07-03T06:40:00Z", "user_id": "U8", "type": "TRANSFER",
+            "amount": 910.0, "old_balance_orig": 1000.0, "new_balance_orig": 90.0, "isFraud": 1,
+            "risk": 5, "device": {"os": "x", "ids": [1, 2]}, "scores": "own", "none": None}
+    df = spark.createDataFrame([(1, json.dumps(base)), (2, "{bad json}"), (3, json.dumps({**base, "timestamp": "soon"})),
+                                (4, None)], "event_id long, raw string")
     rec = {r["event_id"]: r for r in sink_records(route_events(df, demo_models())).collect()}
     good = json.loads(rec[1]["value"])
     assert rec[1]["topic"] == "anomalies" and "isFraud" not in good
@@ -77,6 +79,11 @@ def test_sink_records_carry_dead_letter_and_enriched_payloads(spark):
     dlq = json.loads(rec[2]["value"])
     assert rec[2]["topic"] == "dead-letter"
     assert dlq["error"] == "Invalid JSON payload" and dlq["raw_event"] == "{bad json}" and dlq["received_at"]
+    assert good["risk"] == 5 and good["device"] == base["device"] and good["none"] is None
+    stage = json.loads(rec[3]["value"])
+    assert set(stage) == {"error", "raw_event"} and stage["error"].startswith("Invalid isoformat")
+    assert stage["raw_event"] == {k: v for k, v in base.items() if k != "isFraud"} | {"timestamp": "soon"}
+    assert json.loads(rec[4]["value"])["raw_event"] is None
 
 
 def test_explicit_stream_limit_raises(spark, tmp_path):

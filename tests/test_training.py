@@ -97,3 +97,17 @@ def test_model_set_round_trip_scores_the_same(spark, features):
     a = score(features, direct).select("event_id", F.col("ensemble_score").alias("a"))
     b = score(features, loaded).select("event_id", F.col("ensemble_score").alias("b"))
     assert a.join(b, "event_id").agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] < 1e-12
+
+
+def test_autoencoder_does_not_depend_on_the_partitioning(spark):
+    from riskflow.models.autoencoder import fit_autoencoder
+    from riskflow.plans.model_queries import feats
+
+    got = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (4, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        net, info = fit_autoencoder(feats(spark, "/root/testdata/sf0.001").repartition(n), max_epochs=2, rows_per_shard=200)
+        got.append((net.layers, net.threshold, info["rows_train"]))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
