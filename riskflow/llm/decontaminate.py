@@ -33,6 +33,7 @@ WINDOW = 13
 SAME = 0.8
 MIN_TOKENS = 8
 BLOCK_TOKENS = 1 << 20
+HITS = 1 << 18  # hits verified together
 _U = np.uint64
 
 SEPARATOR = np.ones(256, bool)
@@ -91,19 +92,32 @@ class Items:
             key, pos = key[some], pos[some]
             lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
             n = hi - lo
-            p = np.repeat(pos, n)
-            q = at[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            found.append((p, q))
-        p, q = (np.concatenate(x) for x in zip(*found, strict=True))
-        # one hit for each document, item and diagonal stretch is enough: hits are taken WINDOW apart at most once
-        key = np.stack([doc[p], self.doc[q], p - q, q]) if len(p) else np.zeros((4, 0), np.int64)
-        order = np.lexsort(key[::-1])
-        p, q, key = p[order], q[order], key[:, order]
-        if len(p):
-            new = np.ones(len(p), bool)
-            new[1:] = (key[:, 1:] != key[:, :-1]).any(0)
-            p, q = p[new], q[new]
-        return self._verify(h, doc, first, p, q)
+            ends = np.cumsum(n)
+            at_pos = 0
+            while at_pos < len(pos):  # a seed that is frequent on both sides has many hits: they are verified in parts
+                done = ends[at_pos - 1] if at_pos else 0
+                stop = max(at_pos + 1, int(np.searchsorted(ends, done + HITS, "right")))
+                part = slice(at_pos, stop)
+                p = np.repeat(pos[part], n[part])
+                q = at[np.repeat((lo - ends + n)[part], n[part]) + np.arange(done, done + len(p))]
+                found.append(self._best(*self._verify(h, doc, first, p, q)))
+                if len(found) > 64:
+                    found = [self._joined(found)]
+                at_pos = stop
+        return self._joined(found)
+
+    @staticmethod
+    def _best(d: np.ndarray, i: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One row for each document and item, with the most agreeing tokens."""
+        order = np.lexsort((-n, i, d))
+        d, i, n = d[order], i[order], n[order]
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1])
+        return d[new], i[new], n[new]
+
+    def _joined(self, found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        return self._best(*(np.concatenate([none, *x]) for x in zip(*found, strict=True))) if found else (none, none, none)
 
     def _verify(self, h, doc, first, p, q):
         d, i = doc[p], self.doc[q]

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,22 @@ def test_decontaminate(spark):
     assert decontaminate.matches(d, b.limit(0)).count() == 0 and decontaminate.matches(d.limit(0), b).count() == 0
 
 
+def test_decontaminate_frequent_seeds_in_parts(monkeypatch):
+    from riskflow.llm.blocks import Block
+
+    rnd = random.Random(5)
+    items = decontaminate.Items([7, 8, 9], ["the " * 40, " ".join(f"b{i}" for i in range(30)), "of the " * 20])
+    texts = ["the " * 500, "of the " * 300, " ".join(rnd.choice(["the", "of", "b3"]) for _ in range(400)), "c " * 50 + " ".join(f"b{i}" for i in range(10, 30))]
+    raw = [t.encode() for t in texts]
+    b = Block(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), {})
+    whole = items.match(*decontaminate.token_hashes(b))
+    monkeypatch.setattr(decontaminate, "HITS", 7)
+    parts = items.match(*decontaminate.token_hashes(b))
+    assert all((x == y).all() for x, y in zip(whole, parts, strict=True))
+    found = set(zip(whole[0].tolist(), whole[1].tolist(), whole[2].tolist(), strict=True))
+    assert {(0, 0, 13), (1, 2, 13), (3, 1, 13)} <= found
+
+
 def base_rules(t):
     t = t or ""
     w = re.findall(WORD, t)
@@ -353,6 +370,8 @@ def test_pipeline(spark):
     assert not any(personal_data.BASE[0] in (t or "") and re.search(BASE["email"], t) for t in kept.values())
     assert len(set(kept.values())) == len(kept)
     assert set(labels[labels.quality == 0].doc_id).isdisjoint(kept) or len(set(labels[labels.quality == 0].doc_id) & set(kept)) <= 2
+    odd = start.limit(20).unionByName(start.limit(1).selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "n_chars"))
+    assert cp.quality(spark, odd, sf).where("doc_id is null").count() == 1  # not judged: stays
     assert cp.run  # an empty table passes through every stage
     none = start.limit(0)
     for _, stage in cp.STAGES:
