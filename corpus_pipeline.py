@@ -16,10 +16,14 @@ from riskflow.sources.tables import table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the classifier accepts; fit on the labelled rows among them."""
+    """Keep the documents that the classifier accepts; fit on the labelled rows among them.
+
+    Rows of one doc_id stay if one of them is accepted; a null doc_id is not judged and stays.
+    """
     ensure_conf(spark)
-    kept = quality_classifier.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    judged = quality_classifier.classify(docs, table(spark, sf_dir, "labels")).where("doc_id is not null")
+    rejected = judged.groupBy("doc_id").agg(F.max("predicted").alias("best")).where("best = 0").select("doc_id")
+    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
