@@ -4,8 +4,9 @@ Fit:
   1. normal rows, seeded sample of at most ``sample_size`` rows (K3);
   2. per tree, the ``max_samples`` rows with the smallest seeded hash of
      (row id, tree) - an exact, repeatable subsample without replacement.
-     Rows are pre-filtered by hash so each tree group holds ~4 x max_samples
-     candidates; a tree left short is redrawn from all rows (exact);
+     Rows are pre-filtered on that same hash (~4 x max_samples candidates a
+     tree), which keeps the smallest ones whatever the table's size; a tree left
+     short is redrawn from all rows by the same order;
   3. ``groupBy(tree).applyInPandas`` grows each tree (random feature, uniform
      split, height limit ceil(log2(max_samples))) -> node table;
   4. offset = linear ``contamination`` quantile of the training scores.
@@ -84,12 +85,12 @@ def fit_isolation_forest(features: DataFrame, id_col: str = "event_id", n_trees:
     psi = min(max_samples, n_train)
     height = int(math.ceil(math.log2(max(psi, 2))))
     keep_frac = min(1.0, 4.0 * psi / n_train)
-    cut = int(keep_frac * (1 << 31))
+    cut = -(1 << 63) + int(keep_frac * (1 << 64))
     all_trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
     # Each row's trees are chosen inside one higher-order expression, so only
     # the selected (row, tree) pairs (~4 x psi per tree) are ever materialised.
     chosen = all_trees if keep_frac >= 1.0 else F.filter(
-        all_trees, lambda t: F.pmod(F.xxhash64(F.col(id_col), F.lit(seed), t), F.lit(1 << 31)) < cut)
+        all_trees, lambda t: F.xxhash64(F.col(id_col), F.lit(seed), t) < F.lit(cut))
 
     def pairs(trees):
         d = train.select(id_col, *FEATURES_V1, F.explode(trees).alias("tree"))

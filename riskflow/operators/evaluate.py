@@ -150,26 +150,54 @@ def budget_size(n: int, ratio: float) -> int:
 def alert_budget(df: DataFrame, score_col: str, id_col: str, ratio: float) -> DataFrame:
     """K2: the top max(1, round(n * ratio)) rows by score, ties in arrival (id) order.
 
-    The budget can be a large fraction of the input, so the cut is a rank
-    filter over a range-partitioned order, not a top-k gathered in one task.
+    The cut score comes from the counts of the distinct scores; only the rows
+    at or above it are ranked (range-partitioned: the budget can be a large
+    fraction of the input, so it is not a top-k gathered in one task).  NaN
+    ranks first and a missing score last.
     """
-    ranked = global_row_index(df, [F.col(score_col).desc(), F.col(id_col).asc()], "_rank")
-    n = ranked.count()  # read from the checkpointed ranking, not a second pass over the input
-    k = budget_size(n, ratio) if n > 0 else 0
+    cut = _budget_cut(_score_counts(df, score_col, F.lit(False)), ratio)
+    s = F.col(score_col)
+    if cut is None:
+        some = df.where(F.lit(False))
+    elif cut["_s"] is None:  # the budget reaches into the rows without a score
+        some = df
+    else:
+        some = df.where(s >= F.lit(cut["_s"]))
+    ranked = global_row_index(some, [s.desc(), F.col(id_col).asc()], "_rank")
+    k = cut["k"] if cut else 0
     return ranked.where(F.col("_rank") < k).withColumn("alert_rank", F.col("_rank") + 1).drop("_rank")
 
 
+def _score_counts(df: DataFrame, score_col: str, positive: Column) -> DataFrame:
+    """One row per distinct score with n, pos and their sums down to it, best score first."""
+    per = df.groupBy(F.col(score_col).alias("_s")).agg(F.count(F.lit(1)).alias("n"), F.count_if(positive).alias("pos"))
+    return running_sums(per, [F.col("_s").desc()], ["n", "pos"])
+
+
+def _budget_cut(counts: DataFrame, ratio: float) -> dict | None:
+    """The score at which the budget k ends, its sums, k and the totals (scalars); None for no rows."""
+    total = counts.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).first()
+    if not total["n"]:
+        return None
+    k = budget_size(total["n"], ratio)
+    at = counts.where((F.col("cum_n") >= k) & (F.col("cum_n") - F.col("n") < k)).first()
+    return {**at.asDict(), "k": k, "positives": total["pos"]}
+
+
 def quality_at_budget(scored: DataFrame, score_col: str, id_col: str, label_col: str, ratio: float) -> DataFrame:
-    """K2 quality: precision and recall inside the budget."""
-    ranked = global_row_index(scored, [F.col(score_col).desc(), F.col(id_col).asc()], "_rank")
-    n = ranked.count()
-    k = budget_size(n, ratio) if n > 0 else 0
+    """K2 quality: precision and recall inside the budget.
+
+    Scores above the cut count whole; of the rows that share the cut score the
+    first ones in id order count, and only those rows are ranked.
+    """
     y = F.col(label_col) == 1
-    a = ranked.agg(
-        F.count_if(F.col("_rank") < k).alias("alerts_sent"),
-        F.count_if((F.col("_rank") < k) & y).alias("tp"),
-        F.count_if(y).alias("positives"),
-    )
+    cut = _budget_cut(_score_counts(scored, score_col, y), ratio)
+    k, above, room, positives = (0, 0, 0, 0) if cut is None else (
+        cut["k"], cut["cum_pos"] - cut["pos"], cut["k"] - (cut["cum_n"] - cut["n"]), cut["positives"])
+    same = F.col(score_col).eqNullSafe(F.lit(None if cut is None else cut["_s"]))
+    ties = scored.where(same & F.lit(cut is not None)).select(F.col(id_col).alias("_id"), y.alias("_y"))
+    a = global_row_index(ties, ["_id"], "_rank").agg((F.count_if((F.col("_rank") < room) & F.col("_y")) + F.lit(above)).alias("tp"))
+    a = a.select(F.lit(k).cast("long").alias("alerts_sent"), "tp", F.lit(positives).cast("long").alias("positives"))
     return a.select(
         "alerts_sent", "tp", "positives",
         F.when(F.col("alerts_sent") > 0, F.col("tp") / F.col("alerts_sent")).otherwise(0.0).alias("precision"),

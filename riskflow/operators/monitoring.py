@@ -92,11 +92,16 @@ def rates(samples: DataFrame, range_s: int) -> DataFrame:
 
 
 def ratio(samples: DataFrame, num_name: str, den_name: str, range_s: int) -> DataFrame:
-    """rate(num) / clamp_min(rate(den), 1e-9) at each common sample time."""
+    """rate(num) / clamp_min(rate(den), 1e-9) at each common sample time.
+
+    Both series come from one pass; a series has one sample a time.
+    """
     r = rates(samples.where(F.col("name").isin(num_name, den_name)), range_s)
-    num = r.where(F.col("name") == num_name).select("ts", F.col("rate_per_s").alias("_num"))
-    den = r.where(F.col("name") == den_name).select("ts", F.col("rate_per_s").alias("_den"))
-    return num.join(den, "ts").select("ts", (F.col("_num") / F.greatest(F.col("_den"), F.lit(1e-9))).alias("ratio"))
+    both = r.groupBy("ts").agg(
+        F.max(F.when(F.col("name") == num_name, F.col("rate_per_s"))).alias("_num"),
+        F.max(F.when(F.col("name") == den_name, F.col("rate_per_s"))).alias("_den"),
+    ).where("_num is not null and _den is not null")
+    return both.select("ts", (F.col("_num") / F.greatest(F.col("_den"), F.lit(1e-9))).alias("ratio"))
 
 
 def alerts(samples: DataFrame, rules=ALERT_RULES) -> DataFrame:
@@ -105,21 +110,20 @@ def alerts(samples: DataFrame, rules=ALERT_RULES) -> DataFrame:
     Gaps-and-islands per rule: island = run of consecutive true samples; the
     alert fires at the first sample whose distance to the island start
     reaches the hold time (evaluation happens at sample times).
+
+    The samples are read once: the increases of all ranges share one window
+    partitioning, and each sample then meets the rules of its metric.
     """
-    d = with_deltas(samples)
-    parts = []
+    d = with_deltas(samples.where(F.col("name").isin(sorted({r[1] for r in rules}))))
+    d = d.select("name", "ts", "_t", *[increase(s).alias(f"_inc_{s}") for s in sorted({r[2] for r in rules})])
+    met = []
     for alert, metric, range_s, op, hold_s, severity, service in rules:
-        inc = increase(range_s)
-        cond = (inc > 0) if op == ">" else (inc == 0)
-        parts.append(
-            d.where(F.col("name") == metric).select(
-                F.lit(alert).alias("alertname"), F.lit(severity).alias("severity"), F.lit(service).alias("service"),
-                F.lit(hold_s).alias("_hold"), "ts", "_t", cond.alias("_cond"),
-            )
-        )
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+        inc = F.col(f"_inc_{range_s}")
+        met.append(F.struct(
+            F.lit(metric).alias("_metric"), F.lit(alert).alias("alertname"), F.lit(severity).alias("severity"),
+            F.lit(service).alias("service"), F.lit(hold_s).alias("_hold"), ((inc > 0) if op == ">" else (inc == 0)).alias("_cond"),
+        ))
+    u = d.select("name", "ts", "_t", F.inline(F.array(*met))).where("name = _metric").drop("name", "_metric")
     w_all = Window.partitionBy("alertname").orderBy("_t")
     w_cond = Window.partitionBy("alertname", "_cond").orderBy("_t")
     g = u.withColumn("_grp", F.row_number().over(w_all) - F.row_number().over(w_cond)).where("_cond")

@@ -108,13 +108,32 @@ def running_sums(df: DataFrame, order: list[Column | str], value_cols: list[str]
     return out.drop("_pid", "_mid", "_off", *[f"_off_{c}" for c in value_cols])
 
 
+def previous_value(df: DataFrame, order: list[Column | str], col: str, name: str = "prev",
+                   num_partitions: int | None = None) -> DataFrame:
+    """``col`` of the row before in a total order (NULL for the first row).
+
+    ``lag`` inside each range; a range's first row takes the last value of the
+    range before it (one row per range).
+    """
+    ranged = _ranged(df, [F.col(o) if isinstance(o, str) else o for o in order], num_partitions)
+    last = ranged.groupBy("_pid").agg(F.max_by(F.struct(col), "_mid").alias("_last"))
+    ends = last.select("_pid", F.lag("_last").over(Window.orderBy("_pid")).alias("_end"))
+    row = F.lag(F.struct(col)).over(Window.partitionBy("_pid").orderBy("_mid"))
+    return (
+        ranged.join(F.broadcast(ends), "_pid")
+        .withColumn(name, F.coalesce(row, F.col("_end"))[col])
+        .drop("_pid", "_mid", "_end")
+    )
+
+
 def exact_quantiles(df: DataFrame, value_col: str, qs: list[float], by: list[str] | None = None) -> DataFrame:
     """Linear-interpolated quantiles per group: columns ``by + [q_<i>] + [n]``.
 
     Without ``by`` there is one row even for no values (n = 0, NULL quantiles).
     pos = q * (n - 1); value = v[floor] + (v[ceil] - v[floor]) * (pos - floor),
     with ranks taken from :func:`global_row_index` over (by..., value).  Only
-    the rank rows that are needed are joined back (2 per quantile per group).
+    the rank rows that are needed are joined back (2 per quantile per group), by
+    a plain equi-join: there may be as many groups as rows.
     """
     by = by or []
     d = df.select(*by, F.col(value_col).cast("double").alias("_x")).where(
@@ -124,12 +143,8 @@ def exact_quantiles(df: DataFrame, value_col: str, qs: list[float], by: list[str
     # range partition; tied rows carry the same value, so quantiles are unchanged.
     d = d.withColumn("_tb", F.monotonically_increasing_id())
     idx = global_row_index(d, [*by, "_x", "_tb"], "_r")
-    counts = idx.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))  # from the checkpointed index
-    if by:
-        before = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.withColumn("_start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    else:
-        counts = counts.withColumn("_start", F.lit(0).cast("long"))
+    counts = idx.groupBy(*by).agg(  # from the checkpointed index; a group's rows are consecutive
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.min("_r"), F.lit(0)).alias("_start"))
     targets = counts.select(
         *by, "n", "_start",
         F.posexplode(F.array(*[F.lit(float(q)) for q in qs])).alias("_qi", "_q"),
@@ -140,10 +155,8 @@ def exact_quantiles(df: DataFrame, value_col: str, qs: list[float], by: list[str
         (F.col("_start") + F.ceil("_pos")).alias("_hi"),
         (F.col("_pos") - F.floor("_pos")).alias("_t"),
     )
-    # targets has (groups x quantiles) rows, bounded by the group count: the
-    # needed ranks are picked with a broadcast semi-join, everything after is small.
     need = targets.select(F.col("_lo").alias("_r")).union(targets.select(F.col("_hi").alias("_r"))).distinct()
-    vals = idx.select("_r", "_x").join(F.broadcast(need), "_r", "left_semi")
+    vals = idx.select("_r", "_x").join(need, "_r", "left_semi")
     lo = vals.select(F.col("_r").alias("_lo"), F.col("_x").alias("_a"))
     hi = vals.select(F.col("_r").alias("_hi"), F.col("_x").alias("_b"))
     picked = (

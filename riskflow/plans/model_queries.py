@@ -11,7 +11,7 @@ from riskflow.models.demo import demo_models
 from riskflow.models.fixed import FIXED_FOREST, FIXED_LOGIT, fixed_autoencoder
 from riskflow.models.params import AutoencoderParams, ae_apply
 from riskflow.operators import evaluate as EV
-from riskflow.operators.ordering import exact_quantiles, global_row_index
+from riskflow.operators.ordering import exact_quantiles, previous_value
 from riskflow.operators.scoring import score
 from riskflow.plans.table_queries import features
 from riskflow.sources.tables import events
@@ -138,11 +138,8 @@ def q_adaptive_threshold_by_type(spark, sf_dir):
 def q_latency_summary(spark, sf_dir):
     """A9 over a measure derived from arrivals: the gap (ms) to the previous event."""
     e = events(spark, sf_dir).select("event_id", "ts")
-    idx = global_row_index(e, ["ts", "event_id"], "i")
-    prev = idx.select((F.col("i") + 1).alias("i"), F.col("ts").alias("prev_ts"))
-    gaps = idx.join(prev, "i").select(
-        (F.timestamp_diff("MICROSECOND", F.col("prev_ts"), F.col("ts")) / F.lit(1000.0)).alias("gap_ms")
-    )
+    after = previous_value(e, ["ts", "event_id"], "ts", "prev_ts")
+    gaps = after.select((F.timestamp_diff("MICROSECOND", F.col("prev_ts"), F.col("ts")) / F.lit(1000.0)).alias("gap_ms"))
     q = exact_quantiles(gaps, "gap_ms", [0.5, 0.95, 1.0])
     return q.select("n", F.round("q_0", 6).alias("p50_ms"), F.round("q_1", 6).alias("p95_ms"), F.round("q_2", 6).alias("max_ms"))
 

@@ -76,7 +76,6 @@ def cut_lineage(df):
 
 
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
-MAX_RANGE_PARTITIONS = 100_000
 
 
 def target_partitions(df, bytes_per_partition: int = TARGET_PARTITION_BYTES) -> int:
@@ -89,7 +88,7 @@ def target_partitions(df, bytes_per_partition: int = TARGET_PARTITION_BYTES) ->
         return base
     if size >= 1 << 62:  # "unknown" (the planner's default for unbounded estimates)
         return base
-    return int(min(MAX_RANGE_PARTITIONS, max(base, -(-size // bytes_per_partition))))
+    return int(max(base, -(-size // bytes_per_partition)))
 
 
 # Settings for large clusters (applied by the deployment, not by library code):

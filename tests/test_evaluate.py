@@ -129,3 +129,28 @@ def test_quantiles_of_nothing_keep_one_row(spark):
     none = spark.createDataFrame([], "amount double")
     assert tuple(amount_stats(none).collect()[0]) == (None,) * 5
     assert adaptive_threshold(none, "amount", current_threshold=0.4).first()["threshold"] == 0.4
+
+
+def test_budget_against_sorted_rows(spark):
+    """Ties at the cut, NaN (first), missing scores (last), a budget of all rows, and no rows."""
+    import math
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice([0.9, 0.5, 0.5, 0.5, 0.1, -0.0, 0.0, float("nan"), None]), rng.choice([0, 1, None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, s double, y int")
+
+    def place(r):
+        none, nan = r[1] is None, r[1] is not None and math.isnan(r[1])
+        return (2 if none else 0 if nan else 1, 0.0 if none or nan else -r[1], r[0])
+
+    want = sorted(rows, key=place)
+    for ratio in (0.001, 0.05, 0.3, 0.95, 1.0):
+        k = EV.budget_size(300, ratio)
+        got = [r["id"] for r in EV.alert_budget(df, "s", "id", ratio).orderBy("alert_rank").collect()]
+        assert got == [r[0] for r in want[:k]]
+        q = EV.quality_at_budget(df, "s", "id", "y", ratio).first()
+        assert (q["alerts_sent"], q["tp"]) == (k, sum(r[2] == 1 for r in want[:k]))
+        assert q["positives"] == sum(r[2] == 1 for r in rows)
+    assert EV.alert_budget(df.limit(0), "s", "id", 0.1).count() == 0
+    assert tuple(EV.quality_at_budget(df.limit(0), "s", "id", "y", 0.1).first()) == (0, 0, 0, 0.0, 0.0)

@@ -41,3 +41,13 @@ def test_stalled_rule_uses_equality(spark):
     rules = [("OnlineConsumerStalled", "online_consumer_messages_total", 300, "==", 600, "warning", "online_consumer")]
     a = MON.alerts(s, rules).collect()
     assert len(a) == 1 and a[0]["fired_at"] == dt.datetime(2024, 1, 1, 0, 20)
+
+
+def test_alerts_and_ratio_read_the_samples_once(spark, tmp_path):
+    path = str(tmp_path / "samples")
+    _samples(spark, "a", [0, 1, 2]).unionByName(_samples(spark, "b", [0, 4])).write.parquet(path)
+    s = spark.read.parquet(path)
+    r = MON.ratio(s, "a", "b", 300)
+    assert [x["ratio"] for x in r.orderBy("ts").collect()] == [0.0, 0.25]  # the third sample of a has no partner
+    for df in (r, MON.alerts(s)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1

@@ -61,3 +61,21 @@ def test_null_keys_are_numbered(spark):
     df = spark.createDataFrame([(1, None, 1), (2, None, 1), (3, "a", None), (4, "a", None), (5, "a", 2)], "id long, k string, step int")
     got = {r.id: r.rn for r in grouped_row_number(df, ["k", "step"], "id").collect()}
     assert got == {1: 1, 2: 2, 3: 1, 4: 2, 5: 1}
+
+
+def test_previous_value_crosses_ranges_and_keeps_nulls(spark):
+    from riskflow.operators.ordering import previous_value
+
+    vals = [None if i % 7 == 3 else i * i for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(vals)), "k int, v int").repartition(5)
+    got = [r["p"] for r in previous_value(df, ["k"], "v", "p", num_partitions=6).orderBy("k").collect()]
+    assert got == [None, *vals[:-1]]
+
+
+def test_grouped_quantiles_of_many_groups_without_forced_broadcast(spark):
+    df = spark.range(0, 3000).selectExpr("id % 1000 as g", "cast(id as double) as x")
+    q = exact_quantiles(df, "x", [0.5], ["g"])
+    assert {r["g"]: r["q_0"] for r in q.collect()} == {g: g + 1000.0 for g in range(1000)}
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    picks = [line for line in plan.splitlines() if "Join LeftSemi" in line]
+    assert picks and not any("strategy=broadcast" in line for line in picks)
