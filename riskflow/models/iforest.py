@@ -22,7 +22,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +74,33 @@ def _tree_builder(seed: int, height_limit: int):
     return build
 
 
+def tree_samples(train: DataFrame, id_col: str, n_trees: int, psi: int, n_train: int, seed: int,
+                 spare: float = 4.0) -> DataFrame:
+    """For each tree the ``psi`` rows with the smallest seeded hash: the rows, ``tree`` and ``_h``.
+
+    Each row's trees are chosen inside one higher-order expression, so only
+    about ``spare`` x psi (row, tree) pairs a tree are ever materialised.
+    """
+    h = lambda t: F.xxhash64(F.col(id_col), F.lit(seed), t)
+    keep = min(1.0, spare * psi / n_train)
+    trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
+    if keep < 1.0:
+        cut = -(1 << 63) + int(keep * (1 << 64))
+        trees = F.filter(trees, lambda t: h(t) < F.lit(cut))
+    w = Window.partitionBy("tree").orderBy("_h", id_col)
+
+    def smallest(trees: Column) -> DataFrame:
+        d = train.select("*", F.explode(trees).alias("tree")).withColumn("_h", h(F.col("tree")))
+        return d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r")
+
+    picked = smallest(trees)
+    full = {r["tree"] for r in picked.groupBy("tree").count().where(F.col("count") >= psi).collect()}
+    short = [t for t in range(n_trees) if t not in full]
+    if short and keep < 1.0:  # too few rows passed the pre-filter: those trees choose among all rows
+        picked = picked.where(~F.col("tree").isin(short)).unionByName(smallest(F.array(*[F.lit(t) for t in short])))
+    return picked
+
+
 def fit_isolation_forest(features: DataFrame, id_col: str = "event_id", n_trees: int = IF_TREES,
                          max_samples: int = IF_SUBSAMPLE, contamination: float = IF_CONTAMINATION,
                          sample_size: int = IF_SAMPLE_SIZE, seed: int = SEED) -> tuple[ForestParams, dict]:
@@ -84,27 +111,7 @@ def fit_isolation_forest(features: DataFrame, id_col: str = "event_id", n_trees:
     n_train = min(sample_size, int(totals["normal"]))
     psi = min(max_samples, n_train)
     height = int(math.ceil(math.log2(max(psi, 2))))
-    keep_frac = min(1.0, 4.0 * psi / n_train)
-    cut = -(1 << 63) + int(keep_frac * (1 << 64))
-    all_trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
-    # Each row's trees are chosen inside one higher-order expression, so only
-    # the selected (row, tree) pairs (~4 x psi per tree) are ever materialised.
-    chosen = all_trees if keep_frac >= 1.0 else F.filter(
-        all_trees, lambda t: F.xxhash64(F.col(id_col), F.lit(seed), t) < F.lit(cut))
-
-    def pairs(trees):
-        d = train.select(id_col, *FEATURES_V1, F.explode(trees).alias("tree"))
-        return d.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed), F.col("tree")))
-
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("tree").orderBy("_h", id_col)
-    picked = pairs(chosen).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r").cache()
-    short = [r["tree"] for r in picked.groupBy("tree").count().where(F.col("count") < psi).collect()]
-    if short:  # exact fallback for trees the pre-filter left short
-        redo = pairs(F.array(*[F.lit(int(t)) for t in short])).withColumn("_r", F.row_number().over(w)).where(
-            F.col("_r") <= psi).drop("_r")
-        picked = picked.where(~F.col("tree").isin(short)).unionByName(redo)
+    picked = tree_samples(train.select(id_col, *FEATURES_V1), id_col, n_trees, psi, n_train, seed).cache()
     nodes = picked.groupBy("tree").applyInPandas(_tree_builder(seed, height), NODE_SCHEMA)
     rows = nodes.orderBy("tree", "node").collect()  # n_trees x <= 2 * psi rows: bounded by parameters
     picked.unpersist()

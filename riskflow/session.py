@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -35,6 +36,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_conf(spark)
+    ship_package(spark)
     return spark
 
 
@@ -75,6 +77,19 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once a session), for clusters on which it is not installed."""
+    import riskflow
+
+    sc = spark.sparkContext
+    if getattr(sc, "_riskflow_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(riskflow.__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="riskflow-ship-", dir=os.environ.get("RISKFLOW_LOCAL_TMP")), "riskflow")
+    sc.addPyFile(shutil.make_archive(base, "zip", root, "riskflow"))  # served by the driver to every executor
+    sc._riskflow_shipped = True
+
+
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
 
 

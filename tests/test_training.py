@@ -111,3 +111,15 @@ def test_autoencoder_does_not_depend_on_the_partitioning(spark):
         got.append((net.layers, net.threshold, info["rows_train"]))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got[0] == got[1]
+
+
+def test_tree_samples_are_the_smallest_hashes_with_and_without_the_prefilter(spark):
+    from pyspark.sql import functions as F
+    from riskflow.models.iforest import tree_samples
+
+    rows = spark.range(400).withColumnRenamed("id", "k")
+    hashes = rows.select("k", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("t")).select("k", "t", F.xxhash64("k", F.lit(9), "t").alias("h")).collect()
+    want = {(t, k) for t in range(5) for _, k in sorted((r["h"], r["k"]) for r in hashes if r["t"] == t)[:10]}
+    for spare in (0.5, 1.0, 4.0, 1e9):  # all trees short, some short, none short, no pre-filter
+        got = tree_samples(rows, "k", 5, 10, 400, 9, spare).select("tree", "k").collect()
+        assert len(got) == 50 and {(r["tree"], r["k"]) for r in got} == want
