@@ -94,16 +94,21 @@ TARGET_PARTITION_BYTES = 256 * 1024 * 1024
 
 
 def target_partitions(df, bytes_per_partition: int = TARGET_PARTITION_BYTES) -> int:
-    """Partition count for a full-data shuffle: Catalyst's size estimate / target size,
-    never fewer than ``spark.sql.shuffle.partitions``."""
-    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # no estimate available
-        return base
-    if size >= 1 << 62:  # "unknown" (the planner's default for unbounded estimates)
-        return base
-    return int(max(base, -(-size // bytes_per_partition)))
+    """Partition count for a full-data shuffle, never fewer than ``spark.sql.shuffle.partitions``.
+
+    It follows the bytes of the tables that the plan reads (the estimate of the
+    whole plan would multiply the sides of a join).  A leaf that is an RDD (a
+    checkpoint, or rows from the driver) has no size: its partition count stands.
+    """
+    n, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 0
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    for i in range(leaves.length()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() in ("LogicalRDD", "ExternalRDD"):
+            n = max(n, leaf.rdd().getNumPartitions())
+        else:
+            size += int(str(leaf.stats().sizeInBytes()))
+    return max(n, -(-size // bytes_per_partition))
 
 
 # Settings for large clusters (applied by the deployment, not by library code):

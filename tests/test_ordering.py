@@ -79,3 +79,19 @@ def test_grouped_quantiles_of_many_groups_without_forced_broadcast(spark):
     plan = q._jdf.queryExecution().optimizedPlan().toString()
     picks = [line for line in plan.splitlines() if "Join LeftSemi" in line]
     assert picks and not any("strategy=broadcast" in line for line in picks)
+
+
+def test_range_count_follows_the_tables_read(spark, tmp_path):
+    from riskflow.session import target_partitions
+
+    path = str(tmp_path / "t")
+    spark.range(0, 50000).selectExpr("id", "id % 7 as g").write.parquet(path)
+    t = spark.read.parquet(path)
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert target_partitions(t) == base
+    one = target_partitions(t, 10000)
+    assert one > base
+    both = target_partitions(t.join(t.groupBy("g").count(), "g"), 10000)
+    assert 2 * one - 1 <= both <= 2 * one  # the sum of the tables, not the product of the sides
+    rows = spark.createDataFrame([(1, 2.0)], "a int, b double").select("b").where("b > 0")
+    assert target_partitions(rows) == max(base, rows.rdd.getNumPartitions())  # no size known
