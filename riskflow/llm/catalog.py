@@ -51,7 +51,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.score(table(spark, sf_dir, "documents"))
+    return language_model.score(table(spark, sf_dir, "documents"), language_model.WHOLE)
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,59 +2,74 @@
 
 Tokens are words (A-Z lower-cased) and one end token per text.  Training counts come from all
 texts but the held-out ones.  The model: every word has its additively smoothed unigram
-probability; frequent words are states.  State contexts of one word (share of the tokens at least
-``SHARES[0]``) and of two words (``SHARES[1]`` each) have arcs to the state words and the end
-token that followed them at least ``MIN_COUNT`` times in training, with absolute discounting;
-the mass left over goes to a failure arc to the shorter context.  For any context all
-probabilities add up to one.  The shares bound the states by 1 / share, whatever the corpus.
-
-A block of texts (``BLOCK_TOKENS`` tokens) is encoded once: distinct words and their codes.  The
-blocks ask for the counts of their own words and for their own arcs by joins, so a block's
-automaton is bounded by the block and nothing grows in the driver or in a broadcast.  All texts of a
-block then run through its automaton together, from left to right: a state is carried, a missing
-arc follows failure arcs, and the log-probabilities are added up.
+probability; words seen at least ``FLOOR`` times are states.  Contexts of one and of two state words
+have arcs to the state words and the end token that followed them at least ``MIN_COUNT`` times in
+training, with absolute discounting; the mass left over goes to a failure arc to the shorter
+context.  For any context all probabilities add up to one.  With shares ``WHOLE``, as in the query,
+both limits are absolute counts, so states and arcs grow with the corpus; other ``shares`` raise the
+limit of the states, and of both words of a two-word context, to a share of the training tokens.
+
+A block of texts (``BLOCK_TOKENS`` tokens) is encoded once: distinct words and their codes.  For
+its words, and then for its n-grams, a block sends sorted hashes and counts, cut into ranges of the
+hash (``BUCKET_TOKENS`` tokens of the corpus a range); a range sums them over all blocks and answers
+in the order asked, without the hashes.  The failure weights need all arcs of a context: the first
+block that holds an n-gram adds it to its context, and the contexts' sums are asked for in the same
+way.  So a block's automaton is bounded by the block and nothing grows in the driver or in a
+broadcast.  All texts of a block then run through its automaton together,
+from left to right: a state is carried, a missing arc follows failure arcs, and the
+log-probabilities are added up.
 
 Null and empty texts consist of the end token.  A null doc_id is not held out.  Without training
 tokens every probability is 1 / 1 (score 0).  Repeated rows count and are scored each.  Only
-``doc_id`` and ``text`` are read.  Words are known by 64-bit hashes.
+``doc_id`` and ``text`` are read.  Words and n-grams are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.llm.blocks import LOWER, Prefix, blocks, mix, stored, words
 
 ADD = 0.1
-SHARES = (1e-4, 1e-3)
 FLOOR = 5  # least count of a state word
+SHARES = (1e-4, 1e-3)  # of all tokens, for states and for words of two-word contexts: a smaller model, bounded whatever the corpus
+WHOLE = (0.0, 0.0)  # what the query runs with: FLOOR alone decides
 MIN_COUNT = 2
 DISCOUNT = 0.5
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 1_500_000
+BUCKET_TOKENS = 1_000_000
 _U = np.uint64
 END = np.uint64(0x0123456789ABCDEF)
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
+    """Compressed by planes: the first bytes of all numbers, then the second ones."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpack(raw: bytes, kind, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    out = x.copy()
+    out[1:] -= x[:-1]
+    return out
 
 
 def _encoded(docs: DataFrame) -> DataFrame:
-    """One row a block: documents, their token counts, distinct words with training counts, packed codes."""
-    schema = "blk long, doc_id array<long>, held array<boolean>, size array<int>, words array<long>, train array<long>, codes binary"
+    """One row a block: documents, their token counts, distinct words with training counts and codes, packed."""
+    schema = "blk long, doc_id array<long>, held array<boolean>, size array<int>, n_words int, words binary, train binary, codes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -67,8 +82,8 @@ def _encoded(docs: DataFrame) -> DataFrame:
             one = lambda x, t: pa.array([x], pa.list_(t))
             return pa.RecordBatch.from_arrays([
                 pa.array([part << 32 | seq]), pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(pa.int64())), one(held, pa.bool_()), one(size.astype(np.int32), pa.int32()),
-                one(w.view(np.int64), pa.int64()), one(train.astype(np.int64), pa.int64()), pa.array([_pack(codes.astype(np.int32))], pa.binary()),
-            ], ["blk", "doc_id", "held", "size", "words", "train", "codes"])
+                pa.array([len(w)], pa.int32()), *(pa.array([_pack(y)], pa.binary()) for y in (_steps(w), train.astype(np.int64), codes.astype(np.int32))),
+            ], ["blk", "doc_id", "held", "size", "n_words", "words", "train", "codes"])
 
         for b in blocks(batches):
             s, e, doc = words(b)
@@ -89,152 +104,233 @@ def _encoded(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", held).mapInArrow(run, schema)
 
 
+ASKED = "blk long, bucket int, n int, keys binary, sums binary"
+ANSWER = "blk long, bucket int, n int, sums binary, first binary, total long, present long"
+
+
+def _ask(blk: int, keys: np.ndarray, columns: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Requests of a block for the sums over its sorted keys, one for each range of the hash."""
+    of = (keys >> _U(32)) * _U(buckets) >> _U(32)
+    ends = np.flatnonzero(np.append(of[1:] != of[:-1], True)) + 1 if len(of) else []
+    lo = 0
+    for hi in ends:
+        sums = _pack(np.concatenate([c[lo:hi] for c in columns]))
+        yield pa.RecordBatch.from_arrays([pa.array([blk]), pa.array([int(of[lo])], pa.int32()), pa.array([int(hi - lo)], pa.int32()), pa.array([_pack(_steps(keys[lo:hi]))], pa.binary()), pa.array([sums], pa.binary())],
+                                         ["blk", "bucket", "n", "keys", "sums"])
+        lo = hi
+
+
+def _summed(asked: DataFrame, columns: int, least: int) -> DataFrame:
+    """For each request the sums of its keys over all blocks (0 below ``least``), whether the block is the first with
+    the key, and over those keys the total of the first sum and how many have one."""
+
+    def run(x: pa.Table) -> pa.Table:
+        x = x.sort_by("blk")
+        n = x.column("n").to_pylist()
+        key = np.concatenate([np.cumsum(_unpack(r.as_py(), np.uint64, k), dtype=np.uint64) for r, k in zip(x.column("keys"), n, strict=True)])
+        got = [_unpack(r.as_py(), np.int64, k * columns).reshape(columns, k) for r, k in zip(x.column("sums"), n, strict=True)]
+        order = np.argsort(key, kind="stable")
+        new = np.ones(len(key), bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        starts = np.flatnonzero(new)
+        of = np.empty(len(key), np.int64)
+        of[order] = np.cumsum(new) - 1
+        first = np.zeros(len(key), bool)
+        first[order[starts]] = True
+        sums = np.stack([np.add.reduceat(np.concatenate([g[k] for g in got])[order], starts) for k in range(columns)])
+        sums[:, sums[0] < least] = 0
+        got = sums[0, of]
+        ends = np.cumsum(n)
+        parts = [slice(e - k, e) for e, k in zip(ends, n, strict=True)]
+        return pa.table([x.column("blk"), x.column("bucket"), x.column("n"), pa.array([_pack(np.ascontiguousarray(sums[:, of[p]]).reshape(-1)) for p in parts], pa.binary()),
+                         pa.array([_pack(first[p]) for p in parts], pa.binary()),
+                         pa.array([int(got[p][first[p]].sum()) for p in parts], pa.int64()), pa.array([int((got[p][first[p]] > 0).sum()) for p in parts], pa.int64())],
+                        ["blk", "bucket", "n", "sums", "first", "total", "present"])
+
+    return asked.groupBy("bucket").applyInArrow(run, ANSWER)
+
+
+def _answer(x: pa.Table, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums (a row each column) and first marks of a block, in the order of its keys."""
+    x = x.sort_by("bucket")
+    n = x.column("n").to_pylist()
+    sums = [_unpack(r.as_py(), np.int64, k * columns).reshape(columns, k) for r, k in zip(x.column("sums"), n, strict=True)]
+    first = [_unpack(r.as_py(), np.bool_, k) for r, k in zip(x.column("first"), n, strict=True)]
+    return np.concatenate([np.zeros((columns, 0), np.int64), *sums], 1), np.concatenate([np.zeros(0, bool), *first])
+
+
 def _match(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of each wanted key in the sorted keys, and whether it is there."""
     at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
     return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
 
 
-def _counted(enc: DataFrame, counts: DataFrame, total: int, distinct: int, shares=SHARES, floor: int = FLOOR) -> DataFrame:
+def _counted(enc: DataFrame, counts: DataFrame, total: int, distinct: int, least: float) -> DataFrame:
     """Per block: base scores of its documents, and its text over state words only (0 stands for any other word)."""
-    least = [max(floor, s * total) for s in shares]
-    schema = "blk long, doc_id array<long>, held array<boolean>, size array<int>, known array<int>, base array<double>, states array<long>, count array<long>, codes binary"
+    schema = "blk long, doc_id array<long>, held array<boolean>, size array<int>, known array<int>, base array<double>, n_states int, states binary, count binary, codes binary"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         x = {c: left.column(c)[0] for c in left.schema.names}
-        w = np.asarray(x["words"].values).view(np.uint64)
+        w = np.cumsum(_unpack(x["words"].as_py(), np.uint64, x["n_words"].as_py()), dtype=np.uint64)
         size = np.asarray(x["size"].values).astype(np.int64)
         codes = _unpack(x["codes"].as_py(), np.int32, int(size.sum()))
-        got = right.column("w").to_numpy().view(np.uint64)
-        order = np.argsort(got)
-        at, there = _match(got[order], w)
-        c = np.zeros(len(w), np.int64)
-        c[there] = right.column("c").to_numpy()[order][at[there]]
+        c = _answer(right, 1)[0][0]
         logp = np.log10((c + ADD) / (total + ADD * (distinct + 1)))
         doc = np.repeat(np.arange(len(size)), size)
         base = np.bincount(doc, logp[codes], len(size))
         known = np.bincount(doc, (c > 0)[codes], len(size)).astype(np.int32)
-        state = np.flatnonzero((c >= least[0]) | (w == END))
-        number = np.zeros(len(w), np.uint16)
+        state = np.flatnonzero((c >= least) | (w == END))
+        number = np.zeros(len(w), np.int32)
         number[state] = np.arange(1, len(state) + 1)
         one = lambda v, t: pa.array([v], pa.list_(t))
         return pa.table([pa.array([x["blk"].as_py()]), left.column("doc_id").combine_chunks(), left.column("held").combine_chunks(), left.column("size").combine_chunks(),
-                         one(known, pa.int32()), one(base, pa.float64()), one(w[state].view(np.int64), pa.int64()), one(c[state], pa.int64()), pa.array([_pack(number[codes])], pa.binary())],
-                        ["blk", "doc_id", "held", "size", "known", "base", "states", "count", "codes"])
+                         one(known, pa.int32()), one(base, pa.float64()), pa.array([len(state)], pa.int32()), *(pa.array([_pack(y)], pa.binary()) for y in (_steps(w[state]), c[state], number[codes]))],
+                        ["blk", "doc_id", "held", "size", "known", "base", "n_states", "states", "count", "codes"])
 
     left = enc.drop("train")
     return left.groupBy("blk").cogroup(counts.groupBy("blk")).applyInArrow(run, schema)
 
 
 class _Grams:
-    """The n-grams over state words that occur in a block: symbol rows, hashed keys and training counts."""
+    """The n-grams over state words that occur in a block: symbol rows, hashed keys in order and training counts.
+
+    A pair is a * base + v, a triple (row of its leading pair) * base + z; ``lead`` and ``suffix`` are the rows of a triple's pairs.
+    """
 
     def __init__(self, hashes: np.ndarray, count: np.ndarray, codes: np.ndarray, size: np.ndarray, held: np.ndarray, wide: float):
         h = np.concatenate([np.zeros(1, np.uint64), hashes])
         base = len(h)
-        doc = np.repeat(np.arange(len(size)), size)
+        doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
         trained = ~held[doc]
         word = np.zeros(base, bool)  # may stand in a context: any state word, the end token not
         word[1:] = hashes != END
-        often = np.zeros(base, bool)
-        often[1:] = word[1:] & (count >= wide)
-        x = codes.astype(np.int64)
-        ok = word[x[:-1]] & (x[1:] > 0) & (doc[1:] == doc[:-1])
-        self.two, t2 = self._distinct(x[:-1][ok] * base + x[1:][ok], trained[1:][ok])
-        a, v = self.two // base, self.two % base
-        ok = often[x[:-2]] & often[x[1:-1]] & (x[2:] > 0) & (doc[2:] == doc[:-2])
-        self.three, t3 = self._distinct((x[:-2][ok] * base + x[1:-1][ok]) * base + x[2:][ok], trained[2:][ok])
-        p, z = self.three // base, self.three % base
-        self.base, self.h = base, h
-        c = np.concatenate([np.zeros(1, np.int64), count])
-        pair = lambda i, j: mix(h[i] * _U(3) + h[j])
-        key3 = mix(pair(p // base, p % base) * _U(5) + h[z])
-        self.rows = [
-            np.concatenate([np.full(len(a), 2), np.full(len(p), 3)]), np.concatenate([h[a], pair(p // base, p % base)]), np.concatenate([pair(a, v), key3]),
-            np.concatenate([h[v], pair(p % base, z)]), np.concatenate([c[a], np.zeros(len(p), np.int64)]), np.concatenate([c[v], c[z]]), np.concatenate([t2, t3])]
+        often = word.copy()
+        often[1:] &= count >= wide
+        at = np.flatnonzero(word[codes[:-1]] & (codes[1:] > 0) & (doc[1:] == doc[:-1]))
+        two, back, t2 = self._distinct(codes[at].astype(np.int64) * base + codes[at + 1], trained[at])
+        row = np.full(len(codes), -1, np.int32)
+        row[at] = back
+        at = np.flatnonzero((row[:-1] >= 0) & (row[1:] >= 0) & often[codes[:-1]] & often[codes[1:]])
+        three, back, t3 = self._distinct(row[at].astype(np.int64) * base + codes[at + 2], trained[at])
+        self.suffix = np.zeros(len(three), np.int32)
+        self.suffix[back] = row[at + 1]
+        del back, row, at, doc
+        self.base, self.h, self.count = base, h, np.concatenate([np.zeros(1, np.int64), count])
+        self.a, self.v = (two // base).astype(np.int32), (two % base).astype(np.int32)
+        self.lead, self.z = (three // base).astype(np.int32), (three % base).astype(np.int32)
+        self.key2 = mix(h[self.a] * _U(3) + h[self.v])
+        key = np.concatenate([self.key2, mix(self.key2[self.lead] * _U(5) + h[self.z])])
+        self.order = np.argsort(key)
+        self.keys, self.t = key[self.order], np.concatenate([t2, t3])[self.order]
 
     @staticmethod
-    def _distinct(key: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _distinct(key: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         got, back = np.unique(key, return_inverse=True)
-        return got, np.bincount(back[trained], minlength=len(got)).astype(np.int64)
+        return got, back, np.bincount(back[trained], minlength=len(got)).astype(np.int64)
+
+    def counts(self, answer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An answer in the order of the keys, for the pairs and for the triples."""
+        out = np.empty_like(answer)
+        out[self.order] = answer
+        return out[:len(self.a)], out[len(self.a):]
+
+    def contexts(self, c2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols and pairs that may have arcs: any state word that leads a pair, and kept pairs that lead a triple."""
+        return np.unique(self.a), np.unique(self.lead[c2[self.lead] > 0])
 
 
 def _block(x: dict, wide: float) -> tuple[_Grams, np.ndarray, np.ndarray]:
     size = np.asarray(x["size"].values).astype(np.int64)
-    codes = _unpack(x["codes"].as_py(), np.uint16, int(size.sum()))
+    codes = _unpack(x["codes"].as_py(), np.int32, int(size.sum()))
     held = np.asarray(x["held"].values.to_numpy(zero_copy_only=False), bool)
-    return _Grams(np.asarray(x["states"].values).view(np.uint64), np.asarray(x["count"].values), codes, size, held, wide), codes, size
+    n = x["n_states"].as_py()
+    count = _unpack(x["count"].as_py(), np.int64, n)
+    return _Grams(np.cumsum(_unpack(x["states"].as_py(), np.uint64, n), dtype=np.uint64), count, codes, size, held, wide), codes, size
 
 
-def _gram_rows(counted: DataFrame, wide: float) -> DataFrame:
+def _word_requests(enc: DataFrame, buckets: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blk, n, w, t in zip(*(batch.column(c).to_pylist() for c in ("blk", "n_words", "words", "train")), strict=True):
+                yield from _ask(blk, np.cumsum(_unpack(w, np.uint64, n), dtype=np.uint64), [_unpack(t, np.int64, n)], buckets)
+
+    return enc.select("blk", "n_words", "words", "train").mapInArrow(run, ASKED)
+
+
+def _gram_requests(counted: DataFrame, buckets: int, wide: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 x = {c: batch.column(c)[i] for c in batch.schema.names}
                 g, _, _ = _block(x, wide)
-                n, ctx, key, suffix, cc, vc, t = g.rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), x["blk"].as_py())), pa.array(n.astype(np.int32)), *[pa.array(y.view(np.int64)) for y in (ctx, key, suffix)], pa.array(cc), pa.array(vc), pa.array(t)],
-                                                 ["blk", "n", "ctx", "key", "suffix", "cc", "vc", "t"])
+                yield from _ask(x["blk"].as_py(), g.keys, [g.t], buckets)
+
+    return counted.mapInArrow(run, ASKED)
+
 
-    return counted.mapInArrow(run, "blk long, n int, ctx long, key long, suffix long, cc long, vc long, t long")
+def _context_keys(g: _Grams, c2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    one, two = g.contexts(c2)
+    key = np.concatenate([g.h[one], g.key2[two]])
+    order = np.argsort(key)
+    return one, two, order, key[order]
 
 
-def _arcs(grams: DataFrame, total: int, distinct: int, discount: float = DISCOUNT, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
-    """key, w (log10 probability) of the arcs, and ctx, w (log10 weight) of the failure arcs."""
-    m = stored(grams.groupBy("n", "ctx", "key", "suffix", "cc", "vc").agg(F.sum("t").alias("c")).where(F.col("c") >= min_count))
-    two = m.where("n = 2").select("ctx", "key", "c", ((F.col("c") - discount) / F.col("cc")).alias("p"), ((F.col("vc") + ADD) / (total + ADD * (distinct + 1))).alias("low"))
-    under = two.select("key", "c", "p")
-    three = (m.where("n = 3").select("ctx", "key", "suffix", F.col("c").alias("own"))
-             .join(under.select(F.col("key").alias("ctx"), F.col("c").alias("cc")), "ctx")
-             .join(under.select(F.col("key").alias("suffix"), F.col("p").alias("low")), "suffix")
-             .select("ctx", "key", ((F.col("own") - discount) / F.col("cc")).alias("p"), "low"))
-    every = stored(two.select("ctx", "key", "p", "low").unionByName(three))
-    arcs = every.select("key", F.log10("p").alias("w"))
-    fails = every.groupBy("ctx").agg(F.log10((1 - F.sum("p")) / (1 - F.sum("low"))).alias("w"))
-    return arcs, fails
+def _context_requests(counted: DataFrame, grams: DataFrame, buckets: int, wide: float) -> DataFrame:
+    """Number of arcs, sum of their counts and sum of the counts one context shorter, of the arcs that a block holds first."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        x = {c: left.column(c)[0] for c in left.schema.names}
+        g, _, _ = _block(x, wide)
+        sums, first = _answer(right, 1)
+        c2, c3 = g.counts(sums[0])
+        own2, own3 = g.counts(first)
+        own2, own3 = own2 & (c2 > 0), own3 & (c3 > 0)
+        one, two, order, keys = _context_keys(g, c2)
+
+        def add(of: np.ndarray, own: np.ndarray, n: int, w: np.ndarray) -> np.ndarray:
+            out = np.zeros(n, np.int64)
+            np.add.at(out, of[own], w[own])
+            return out
+
+        columns = [np.concatenate([add(g.a, own2, g.base, w2)[one], add(g.lead, own3, len(g.a), w3)[two]])[order]
+                   for w2, w3 in ((np.ones_like(c2), np.ones_like(c3)), (c2, c3), (g.count[g.v], c2[g.suffix]))]
+        rows = list(_ask(x["blk"].as_py(), keys, columns, buckets))
+        return pa.Table.from_batches(rows) if rows else pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())], ["blk", "bucket", "n", "keys", "sums"])
+
+    return counted.groupBy("blk").cogroup(grams.groupBy("blk")).applyInArrow(run, ASKED)
 
 
 class Automaton:
     """States: 0 the empty context, then the state words, then the two-word contexts with arcs; failure arcs lead to
     the shorter context.  Weights are relative to the unigram log-probability of the token read."""
 
-    def __init__(self, g: _Grams, unigram: np.ndarray, keys: np.ndarray, weights: np.ndarray, is_arc: np.ndarray):
-        base, h = g.base, g.h
-        n, ctx, key, _, _, _, _ = g.rows
-        order = np.argsort(keys[is_arc])
-        akey, aw = keys[is_arc][order], weights[is_arc][order]
-        order = np.argsort(keys[~is_arc])
-        fkey, fw = keys[~is_arc][order], weights[~is_arc][order]
-        at, kept = _match(akey, key)
-        pairs = g.two
-        has, there = _match(fkey, ctx)
-        # two-word contexts that have arcs
-        deep = np.unique((g.three // base)[there[n == 3]]) if len(g.three) else np.zeros(0, np.int64)
-        states = base + len(deep)
-        self.fail = np.zeros(states, np.int64)
-        self.fail[base:] = deep % base
-        self.fail_w = np.zeros(states)
-        f1, ok = _match(fkey, h)
-        ok[0] = False
-        self.fail_w[:base][ok] = fw[f1[ok]]
-        f2, ok = _match(fkey, mix(h[deep // base] * _U(3) + h[deep % base]))
-        self.fail_w[base:][ok] = fw[f2[ok]]
+    def __init__(self, g: _Grams, c2: np.ndarray, c3: np.ndarray, sums: np.ndarray, total: int, distinct: int, discount: float = DISCOUNT):
+        base, count, z = g.base, g.count, total + ADD * (distinct + 1)
+        unigram = np.log10((count + ADD) / z)
+        one, two, order, _ = _context_keys(g, c2)
+        n, own, low = np.empty_like(sums)[:3]
+        n[order], own[order], low[order] = sums
+        arcs = n > 0
+        back = np.zeros(len(n))
+        size = np.concatenate([count[one], c2[two]])
+        short = np.concatenate([(low[:len(one)] + ADD * n[:len(one)]) / z, (low[len(one):] - discount * n[len(one):]) / count[g.v[two]]])
+        back[arcs] = np.log10((1 - (own - discount * n)[arcs] / size[arcs]) / (1 - short[arcs]))
+        deep = two[arcs[len(one):]]
+        place = np.zeros(len(g.a), np.int64)  # of a pair among the two-word contexts with arcs, from 1
+        place[deep] = np.arange(1, len(deep) + 1)
         self.base = base
+        self.fail = np.zeros(base + len(deep), np.int64)
+        self.fail[base:] = g.v[deep]
+        self.fail_w = np.zeros(base + len(deep))
+        self.fail_w[one] = back[:len(one)]
+        self.fail_w[base:] = back[len(one):][arcs[len(one):]]
+        to = np.where(place > 0, base + place - 1, g.v)  # the deepest state after a pair
+        k2, k3 = np.flatnonzero(c2), np.flatnonzero(c3)
         # arcs by state * base + symbol
-        k2, k3 = kept[n == 2], kept[n == 3]
-        src3 = base + np.searchsorted(deep, (g.three // base)[k3])
-        sym2, sym3 = pairs[k2] % base, g.three[k3] % base
-        lead2 = pairs[k2]
-        to2 = self._deepest(deep, lead2, sym2)
-        to3 = self._deepest(deep, (g.three[k3] // base) % base * base + sym3, sym3)
-        arc = np.concatenate([lead2, src3 * base + sym3])
-        wt = np.concatenate([aw[at[n == 2][k2]] - unigram[sym2], aw[at[n == 3][k3]] - unigram[sym3]])
+        arc = np.concatenate([g.a[k2].astype(np.int64) * base + g.v[k2], (base + place[g.lead[k3]] - 1) * base + g.z[k3]])
+        w = np.concatenate([np.log10((c2[k2] - discount) / count[g.a[k2]]) - unigram[g.v[k2]], np.log10((c3[k3] - discount) / c2[g.lead[k3]]) - unigram[g.z[k3]]])
         order = np.argsort(arc)
-        self.arc, self.w, self.to = arc[order], wt[order], np.concatenate([to2, to3])[order]
-
-    def _deepest(self, deep: np.ndarray, pair: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        at, there = _match(deep, pair)
-        return np.where(there, self.base + at, symbol)
+        self.arc, self.w, self.to = arc[order], w[order], np.concatenate([to[k2], to[g.suffix[k3]]])[order]
 
     def run(self, codes: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Sum of the weights of each text; texts advance together, the longest first."""
@@ -268,30 +364,47 @@ class Automaton:
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is stored meanwhile go when it is written: the tables stand for them."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def _gathered(docs: DataFrame, shares) -> tuple[DataFrame, DataFrame, int, int, int, float]:
+    """Blocks over state words, answers for their n-grams, training tokens, distinct words, ranges, least count in two-word contexts."""
+    enc = stored(_encoded(docs))
+    tokens = enc.agg(F.sum(F.expr("aggregate(size, 0L, (a, x) -> a + x)"))).first()[0] or 0
+    buckets = tokens // BUCKET_TOKENS + 1
+    counts = stored(_summed(_word_requests(enc, buckets), 1, 0))
+    n, v = counts.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("present"), F.lit(0))).first()
+    least, wide = (max(FLOOR, s * n) for s in shares)
+    counted = stored(_counted(enc, counts, n, v, least))
+    return counted, stored(_summed(_gram_requests(counted, buckets, wide), 1, MIN_COUNT)), n, v, buckets, wide
+
+
 def score(docs: DataFrame, shares=SHARES) -> DataFrame:
     """Base and model log10 probabilities of every document."""
-    enc = stored(_encoded(docs))
-    pairs = enc.select("blk", F.explode(F.arrays_zip("words", "train")).alias("x")).select("blk", F.col("x.words").alias("w"), F.col("x.train").alias("t"))
-    # rows of a word: one a block, so a frequent word has no more rows than there are blocks
-    by = W.partitionBy("w")
-    counts = stored(pairs.select("blk", "w", F.sum("t").over(by).alias("c"), (F.row_number().over(by.orderBy("blk")) == 1).alias("one")).where("c > 0 or one"))
-    n, v = counts.where("one").agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
-    wide = max(FLOOR, shares[1] * n)
-    counted = stored(_counted(enc, counts.select("blk", "w", "c"), n, v, shares))
-    grams = stored(_gram_rows(counted, wide))
-    arcs, fails = _arcs(grams, n, v)
-    asked = grams.select("blk", "key").join(arcs, "key").select("blk", "key", "w", F.lit(True).alias("arc"))
-    asked = asked.unionByName(grams.select("blk", "ctx").distinct().join(fails, "ctx").select("blk", F.col("ctx").alias("key"), "w", F.lit(False).alias("arc")))
+    with _cleaned(docs.sparkSession):
+        counted, grams, n, v, buckets, wide = _gathered(docs, shares)
+        contexts = stored(_summed(_context_requests(counted, grams, buckets, wide), 3, 0))
+    answers = grams.withColumn("arc", F.lit(True)).unionByName(contexts.withColumn("arc", F.lit(False)))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         x = {c: left.column(c)[0] for c in left.schema.names}
         g, codes, size = _block(x, wide)
-        unigram = np.zeros(g.base)
-        unigram[1:] = np.log10((np.asarray(x["count"].values) + ADD) / (n + ADD * (v + 1)))
-        model = Automaton(g, unigram, right.column("key").to_numpy().view(np.uint64), right.column("w").to_numpy(), right.column("arc").to_numpy())
+        arc = right.column("arc")
+        c2, c3 = g.counts(_answer(right.filter(arc), 1)[0][0])
+        sums, _ = _answer(right.filter(pc.invert(arc)), 3)
+        model = Automaton(g, c2, c3, sums, n, v)
         base = np.asarray(x["base"].values)
         rows = len(size)
         return pa.table([x["doc_id"].values, x["held"].values, pa.array(size), pa.array(np.asarray(x["known"].values).astype(np.int64)), pa.array(np.full(rows, n)), pa.array(base), pa.array(base + model.run(codes, size))],
                         ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return counted.groupBy("blk").cogroup(asked.groupBy("blk")).applyInArrow(run, SCHEMA)
+    return counted.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(run, SCHEMA)
