@@ -1,10 +1,9 @@
 """Quality rules: hashed n-gram log-likelihood ratio of a trusted target against the raw corpus.
 
 Byte n-grams of every text are hashed into ``BUCKETS`` bins.  Two smoothed multinomials are
-estimated: one over all documents (raw), one over trusted documents (labels with quality 1; at
-most ``TARGET_DOCS`` of them, those with the smallest id hashes).  A document's score is the
-mean over its n-grams of log p(target) - log p(raw); the same threshold decides for every
-document.  Fixed base rules come first.
+estimated: one over all documents (raw), one over all trusted documents (labels with quality 1).
+A document's score is the mean over its n-grams of log p(target) - log p(raw); the same threshold
+decides for every document.  Fixed base rules come first.
 
 Nulls and empty texts have no words and fail the base rules.  Without trusted documents every
 score is 0 and only the base rules decide.  Repeated rows are judged one by one; input columns
@@ -24,7 +23,6 @@ from riskflow.llm.blocks import SPACE, Block, Prefix, between, blocks, mix, repe
 
 BUCKETS = 1 << 16
 GRAMS = (3, 4)
-TARGET_DOCS = 20_000
 THRESHOLD = -0.4
 SMOOTH = 1.0
 
@@ -86,24 +84,22 @@ def grams(b: Block) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out), np.concatenate(docs)) if out else (np.zeros(0, np.uint32), np.zeros(0, np.int32))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, target_docs: int = TARGET_DOCS) -> np.ndarray:
+def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log p(target) - log p(raw) of every bucket; one row a bucket reaches the driver."""
     trusted = labels.where(F.col("quality") == 1).select("doc_id").where("doc_id is not null").distinct()
-    ids = np.array([r[0] for r in trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs).collect()], np.int64)
-    ids.sort()
+    marked = docs.select("doc_id", "text").join(trusted.withColumn("trusted", F.lit(True)).hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for b in blocks(batches):
             g, doc = grams(b)
             raw += np.bincount(g, minlength=BUCKETS)
-            of = np.isin(b.cols["doc_id"].fill_null(-1).to_numpy(zero_copy_only=False), ids)
-            of &= ~np.asarray(b.cols["doc_id"].is_null())
+            of = np.asarray(b.cols["trusted"].to_numpy(zero_copy_only=False), bool)
             target += np.bincount(g[of[doc]], minlength=BUCKETS)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
+    rows = marked.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for k, a, t in rows:
         raw[k], target[k] = a, t
@@ -115,9 +111,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame, target_docs: int = TARGET_DOC
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double"
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, target_docs: int = TARGET_DOCS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Base counts, base verdict, likelihood ratio per n-gram and final verdict of every document."""
-    ratio = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, labels, target_docs))
+    ratio = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, labels))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
