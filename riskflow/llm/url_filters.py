@@ -2,12 +2,13 @@
 
 ``mine`` takes labelled URLs as transactions of tokens (host labels, path segments with digits
 as ``#``, query keys) plus the label; FP-growth finds the frequent combinations, and the
-rules "tokens -> block" stay that pass support, confidence and lift.  ``judge`` matches them by an
+rules "tokens -> block" of any length stay that pass support, confidence and lift.  ``judge`` matches them by an
 inverted index: each rule is filed under its rarest token, a URL meets only the rules filed under
 one of its tokens, and the remaining tokens are then tested.
 
 A null URL, or one without ``://``, has an empty host and path, no tokens, no rule and the verdict
-allow.  Without labels nothing is mined.  Repeated rows get equal verdicts.  Pages are read by
+allow.  ``n_matched`` counts the matching rules of at most ``COUNTED_TOKENS`` tokens, as the SQL twin does; the
+verdict follows the matching rules of any length.  Without labels nothing is mined.  Repeated rows get equal verdicts.  Pages are read by
 ``page_id`` and ``url`` alone; a page is labelled by the label row whose doc_id is its page_id.
 """
 
@@ -27,7 +28,7 @@ MIN_SUPPORT = 0.002
 MIN_COUNT = 5
 MIN_CONFIDENCE = 0.6
 MIN_LIFT = 1.5
-MAX_TOKENS = 3
+COUNTED_TOKENS = 3
 LABEL = "label:block"
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -73,7 +74,7 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
     least = max(min_count, math.ceil(min_support * n))
     model = FPGrowth(itemsCol="items", minSupport=min((least - 0.5) / n, 1.0), minConfidence=min_confidence).fit(rows)
     single = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("token"), "freq")
-    rules = model.associationRules.where((F.col("consequent")[0] == LABEL) & (F.size("antecedent") <= MAX_TOKENS) & (F.col("lift") >= min_lift))
+    rules = model.associationRules.where((F.col("consequent")[0] == LABEL) & (F.col("lift") >= min_lift))
     rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "lift")
     rarest = rules.select("*", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens", "confidence", "lift").agg(F.min_by("token", F.struct("freq", "token")).alias("token"))
     return stored(rarest.select("token", "tokens", "confidence", "lift"))
@@ -84,12 +85,12 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     learned = mine(pages, labels)
     urls = pages.select("url", tokens(F.col("url")).alias("own")).where("size(own) > 0")
     met = urls.select("url", "own", F.explode("own").alias("token")).join(learned, "token")
-    met = met.where(F.size(F.array_except("tokens", "own")) == 0).select("url", "tokens").distinct().groupBy("url").agg(F.count(F.lit(1)).alias("n_matched"))
+    met = met.where(F.size(F.array_except("tokens", "own")) == 0).select("url", "tokens").distinct().groupBy("url").agg(F.count_if(F.size("tokens") <= COUNTED_TOKENS).alias("n_matched"))
     host, path = host_and_path(F.col("url"))
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
     out = pages.select("page_id", "url", host.alias("host"), path.alias("path")).join(met, "url", "left")
     n = F.coalesce(F.col("n_matched"), F.lit(0)).cast("long")
-    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(n > 0, "block").otherwise("allow")).alias("verdict"), n.alias("n_matched"))
+    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("n_matched").isNotNull(), "block").otherwise("allow")).alias("verdict"), n.alias("n_matched"))
 
 
 def oracle() -> str:
