@@ -11,8 +11,9 @@ A hit fixes a diagonal (position in the document minus position in the item).  I
 comparing tokens: among the windows of ``WINDOW`` tokens (the whole item, if shorter) on that
 diagonal that contain the hit, one must agree in at least ``SAME`` of its tokens.
 
-Null and empty texts have no tokens and match nothing; so do items of fewer than ``MIN_TOKENS``
-tokens.  Repeated documents or items are matched each for itself.  Columns other than the ids and
+Items of ``MIN_TOKENS`` to ``SHORT`` - 1 tokens are sought with ``SHORT_MASKS`` as well: all masks together meet every
+accepted replacement in items of 8 to 13 tokens.  Items of fewer than ``MIN_TOKENS`` tokens are
+found where their whole run stands.  Null and empty texts have no tokens and match nothing.  Repeated documents or items are matched each for itself.  Columns other than the ids and
 the texts are not read by ``matches``; ``keep_clean`` returns the documents' own columns.
 """
 
@@ -32,6 +33,10 @@ SPAN = max(map(len, MASKS))
 WINDOW = 13
 SAME = 0.8
 MIN_TOKENS = 8
+SHORT_MASKS = ("1111", "11011")
+SHORT = 12
+#: (mask, least and most tokens of the items it is laid over)
+LAID = (*((m, MIN_TOKENS, None) for m in MASKS), *((m, MIN_TOKENS, SHORT - 1) for m in SHORT_MASKS), *(("1" * n, n, n) for n in range(1, MIN_TOKENS)))
 BLOCK_TOKENS = 1 << 20
 HITS = 1 << 18  # hits verified together
 _U = np.uint64
@@ -73,10 +78,14 @@ class Items:
         size = np.diff(first)
         self.doc, self.first, self.end = doc, first[:-1], first[1:]
         self.seeds = []
-        for m in MASKS:
+        for m, least, most in LAID:
             key, at = seeds(h, doc, m)
-            fit = size[doc[at]] >= MIN_TOKENS
+            fit = size[doc[at]] >= least
+            if most:
+                fit &= size[doc[at]] <= most
             key, at = key[fit], at[fit]
+            if not len(key):
+                continue
             order = np.argsort(key, kind="stable")
             maybe = np.zeros(1 << 22, bool)
             maybe[key >> _U(42)] = True
