@@ -401,6 +401,7 @@ def score(docs: DataFrame, shares=SHARES) -> DataFrame:
         arc = right.column("arc")
         c2, c3 = g.counts(_answer(right.filter(arc), 1)[0][0])
         sums, _ = _answer(right.filter(pc.invert(arc)), 3)
+        del right, arc, g.keys, g.t, g.order  # their memory is wanted by the automaton
         model = Automaton(g, c2, c3, sums, n, v)
         base = np.asarray(x["base"].values)
         rows = len(size)
