@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskflow.llm import (
+    best_fit,
     decontaminate,
+    hard_negatives,
     language_model,
     near_duplicates,
     personal_data,
@@ -15,6 +17,7 @@ from riskflow.llm import (
     quality_rules,
     repeated_passages,
     sentence_pieces,
+    source_divergence,
     token_counts,
     url_filters,
 )
@@ -62,9 +65,22 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages.dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents")).drop("ids")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_token_counts, op3_sentence_pieces, op4_decontaminate, op5_quality_rules, op6_quality_classifier,
-    op7_near_duplicates, op8_language_model, op9_personal_data, op10_repeated_passages)}
+    op7_near_duplicates, op8_language_model, op9_personal_data, op10_repeated_passages,
+    op11_source_divergence, op12_hard_negatives, op13_best_fit_packing)}
 
 
 def _wrap(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -80,4 +96,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filters.oracle()}
+    return {"op1_url_filters": url_filters.oracle(), "op11_source_divergence": source_divergence.oracle(), "op12_hard_negatives": hard_negatives.oracle()}

@@ -218,21 +218,19 @@ class Counter:
             got = self.classes[points]
         return got
 
-    def count(self, b: Block) -> np.ndarray:
+    def pretokens(self, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and a mark for special strings, of every pre-token in the order of the block; they cover it."""
         text = b.data.tobytes()
-        cuts, fixed = [b.off], np.zeros(b.n, np.int64)
+        cuts = [b.off]
         for mark in self.special:
             at = text.find(mark)
             while at >= 0:
                 doc = int(np.searchsorted(b.off, at, "right")) - 1
                 if at + len(mark) <= b.off[doc + 1]:
                     cuts.append(np.array([at, at + len(mark)]))
-                    fixed[doc] += 1
                     at = text.find(mark, at + len(mark))
                 else:
                     at = text.find(mark, at + 1)
-        if len(cuts) == 1 and not len(text):
-            return fixed
         ends = np.unique(np.concatenate(cuts))
         points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         lead = np.flatnonzero((b.data & 0xC0) != 0x80)  # byte of each code point
@@ -243,14 +241,18 @@ class Counter:
         bound = scan(classes) & (classes != E)
         mark = np.zeros(len(b.data) + 1, bool)
         mark[where[bound]] = mark[ends] = True
-        inside = np.zeros(len(b.data) + 1, np.int8)  # of a special string
+        inside = np.zeros(len(b.data) + 1, bool)  # of a special string
         for first, last in cuts[1:]:
-            inside[first:last] = 1
+            inside[first:last] = True
             mark[first + 1:last] = False
         s = np.flatnonzero(mark)
-        s, e = s[:-1], s[1:]
-        s, e = s[inside[s] == 0], e[inside[s] == 0]
+        return s[:-1], s[1:], inside[s[:-1]]
+
+    def count(self, b: Block) -> np.ndarray:
+        s, e, special = self.pretokens(b)
         doc = np.searchsorted(b.off, s, "right") - 1
+        fixed = np.bincount(doc[special], minlength=b.n).astype(np.int64)
+        s, e, doc = s[~special], e[~special], doc[~special]
         h = Prefix(b.data).sub(s, e) + (e - s).astype(np.uint64)
         _, one, back = np.unique(h, return_index=True, return_inverse=True)
         n = self.automaton.counts(b.data, s[one], e[one])
