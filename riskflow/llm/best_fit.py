@@ -50,37 +50,52 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[tuple[bytes, bool], int] = {}
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes of pre-tokens, and their numbers
         self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _places(self, keys: list[tuple[bytes, bool]]) -> np.ndarray:
+    def _learn(self, raw: bytes, special: bool) -> list[int]:
+        if special:
+            return [self.lib.token_to_id(raw.decode())]
+        return [t.id for t in self.lib.model.tokenize(raw.decode("latin-1").translate(self.letter))]
+
+    def _places(self, h: np.ndarray, text: bytes, s: np.ndarray, e: np.ndarray, special: np.ndarray) -> np.ndarray:
+        """Numbers of distinct pre-tokens by their sorted hashes."""
         if len(self.ids) > KEPT_IDS:
             self.clear()
-        made = []
-        for key in keys:
-            if key not in self.known:
-                self.known[key] = len(self.known)
-                raw, special = key
-                made.append([self.lib.token_to_id(raw.decode())] if special else [t.id for t in self.lib.model.tokenize(raw.decode("latin-1").translate(self.letter))])
-        if made:
+        at = np.searchsorted(self.known, h)
+        new = np.ones(len(h), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != h[inside]
+        if new.any():
+            made = [self._learn(text[i:j], x) for i, j, x in zip(s[new].tolist(), e[new].tolist(), special[new].tolist(), strict=True)]
             size = np.array([len(x) for x in made], np.int64)
+            self.place = np.insert(self.place, at[new], len(self.size) + np.arange(len(made), dtype=np.int32))
+            self.known = np.insert(self.known, at[new], h[new])
             self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
             self.ids = np.concatenate([self.ids, np.array([i for x in made for i in x], np.uint32)])
-        return np.array([self.known[key] for key in keys], np.int64)
+            at = np.searchsorted(self.known, h)
+        return self.place[at]
 
     def encode(self, b: Block, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents in a row, each with its end id, and the number of ids of each."""
         s, e, special = self.counter.pretokens(b)
-        text = b.data.tobytes()
         h = Prefix(b.data).sub(s, e) + (2 * (e - s) + special).astype(np.uint64)
-        _, one, back = np.unique(h, return_index=True, return_inverse=True)
-        place = self._places([(text[i:j], bool(x)) for i, j, x in zip(s[one].tolist(), e[one].tolist(), special[one], strict=True)])[back]
+        h, one, back = np.unique(h, return_index=True, return_inverse=True)
+        place = self._places(h, b.data.tobytes(), s[one], e[one], special[one])[back]
         size = self.size[place]
+        last = np.searchsorted(s, b.off[1:])  # documents end between pre-tokens; their end ids go there
         n = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(self.first[place] - n[:-1], size) + np.arange(n[-1])]
-        ends = n[np.searchsorted(s, b.off)]  # documents begin and end between pre-tokens
-        return np.insert(ids, ends[1:], np.uint32(end)), np.diff(ends) + 1
+        shift = self.first[place] - n[:-1] - np.repeat(np.arange(b.n), np.diff(last, prepend=0))
+        ends = n[last] + np.arange(b.n)
+        out = np.empty(int(n[-1]) + b.n, np.uint32)
+        text = np.ones(len(out), bool)
+        text[ends] = False
+        where = np.flatnonzero(text)
+        out[ends] = end
+        where += np.repeat(shift, size)
+        out[text] = self.ids[where]
+        return out, np.diff(ends, prepend=-1)
 
 
 @lru_cache(maxsize=2)
