@@ -137,4 +137,14 @@ def stored(df: DataFrame) -> DataFrame:
     """Write a frame as Parquet in the shared checkpoint folder and read it: what follows does not depend on executors' disks."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by ``stored``, once nothing reads them any more."""
+    for df in tables:
+        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
+        at = jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        at.getFileSystem(sc.hadoopConfiguration()).delete(at, True)

@@ -5,13 +5,13 @@ texts but the held-out ones.  The model: every word has its additively smoothed
 probability; words seen at least ``FLOOR`` times are states.  Contexts of one and of two state words
 have arcs to the state words and the end token that followed them at least ``MIN_COUNT`` times in
 training, with absolute discounting; the mass left over goes to a failure arc to the shorter
-context.  For any context all probabilities add up to one.  With shares ``WHOLE``, as in the query,
-both limits are absolute counts, so states and arcs grow with the corpus; other ``shares`` raise the
-limit of the states, and of both words of a two-word context, to a share of the training tokens.
+context.  For any context all probabilities add up to one.  Both limits are absolute counts, so states
+and arcs grow with the corpus; ``shares`` (none by default) raise the limit of the states, and of both
+words of a two-word context, to a share of the training tokens, for a smaller model.
 
 A block of texts (``BLOCK_TOKENS`` tokens) is encoded once: distinct words and their codes.  For
-its words, and then for its n-grams, a block sends sorted hashes and counts, cut into ranges of the
-hash (``BUCKET_TOKENS`` tokens of the corpus a range); a range sums them over all blocks and answers
+its words, then for its pairs, then for the triples whose pairs both are kept, a block sends sorted
+hashes and counts, cut into ranges of the hash (``BUCKET_TOKENS`` tokens of the corpus a range); a range sums them over all blocks and answers
 in the order asked, without the hashes.  The failure weights need all arcs of a context: the first
 block that holds an n-gram adds it to its context, and the contexts' sums are asked for in the same
 way.  So a block's automaton is bounded by the block and nothing grows in the driver or in a
@@ -36,16 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm.blocks import LOWER, Prefix, blocks, mix, stored, words
+from riskflow.llm.blocks import LOWER, Prefix, blocks, discard, mix, stored, words
 
 ADD = 0.1
 FLOOR = 5  # least count of a state word
-SHARES = (1e-4, 1e-3)  # of all tokens, for states and for words of two-word contexts: a smaller model, bounded whatever the corpus
-WHOLE = (0.0, 0.0)  # what the query runs with: FLOOR alone decides
+WHOLE = (0.0, 0.0)  # least shares of all tokens, for states and for words of two-word contexts: FLOOR alone decides
 MIN_COUNT = 2
 DISCOUNT = 0.5
 BLOCK_TOKENS = 1_500_000
 BUCKET_TOKENS = 1_000_000
+SEGMENT = 512  # tokens that a text advances as one
 _U = np.uint64
 END = np.uint64(0x0123456789ABCDEF)
 
@@ -194,49 +194,50 @@ def _counted(enc: DataFrame, counts: DataFrame, total: int, distinct: int, least
 class _Grams:
     """The n-grams over state words that occur in a block: symbol rows, hashed keys in order and training counts.
 
-    A pair is a * base + v, a triple (row of its leading pair) * base + z; ``lead`` and ``suffix`` are the rows of a triple's pairs.
+    A pair is a * base + v, a triple (row of its leading pair) * base + z; ``lead`` and ``suffix`` are the rows of a
+    triple's pairs.  A triple occurs no more often than its pairs, so only kept pairs are put together to triples.
     """
 
     def __init__(self, hashes: np.ndarray, count: np.ndarray, codes: np.ndarray, size: np.ndarray, held: np.ndarray, wide: float):
         h = np.concatenate([np.zeros(1, np.uint64), hashes])
         base = len(h)
         doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        trained = ~held[doc]
-        word = np.zeros(base, bool)  # may stand in a context: any state word, the end token not
+        self.trained = ~held[doc]
+        word = self.word = np.zeros(base, bool)  # may stand in a context: any state word, the end token not
         word[1:] = hashes != END
-        often = word.copy()
-        often[1:] &= count >= wide
+        self.often = word.copy()
+        self.often[1:] &= count >= wide
         at = np.flatnonzero(word[codes[:-1]] & (codes[1:] > 0) & (doc[1:] == doc[:-1]))
-        two, back, t2 = self._distinct(codes[at].astype(np.int64) * base + codes[at + 1], trained[at])
-        row = np.full(len(codes), -1, np.int32)
-        row[at] = back
-        at = np.flatnonzero((row[:-1] >= 0) & (row[1:] >= 0) & often[codes[:-1]] & often[codes[1:]])
-        three, back, t3 = self._distinct(row[at].astype(np.int64) * base + codes[at + 2], trained[at])
-        self.suffix = np.zeros(len(three), np.int32)
-        self.suffix[back] = row[at + 1]
-        del back, row, at, doc
-        self.base, self.h, self.count = base, h, np.concatenate([np.zeros(1, np.int64), count])
+        two, back, t2 = self._distinct(codes[at].astype(np.int64) * base + codes[at + 1], self.trained[at])
+        self.row = np.full(len(codes), -1, np.int32)  # pair that begins at a token
+        self.row[at] = back
+        self.codes, self.base, self.h, self.count = codes, base, h, np.concatenate([np.zeros(1, np.int64), count])
         self.a, self.v = (two // base).astype(np.int32), (two % base).astype(np.int32)
-        self.lead, self.z = (three // base).astype(np.int32), (three % base).astype(np.int32)
         self.key2 = mix(h[self.a] * _U(3) + h[self.v])
-        key = np.concatenate([self.key2, mix(self.key2[self.lead] * _U(5) + h[self.z])])
-        self.order = np.argsort(key)
-        self.keys, self.t = key[self.order], np.concatenate([t2, t3])[self.order]
+        self.order2 = np.argsort(self.key2)
+        self.keys2, self.t2 = self.key2[self.order2], t2[self.order2]
+
+    def triples(self, c2: np.ndarray) -> None:
+        row, often = self.row, self.often
+        kept = np.append(c2 > 0, False)[row]  # row -1: no pair
+        at = np.flatnonzero(kept[:-1] & kept[1:] & often[self.codes[:-1]] & often[self.codes[1:]])
+        three, back, t3 = self._distinct(row[at].astype(np.int64) * self.base + self.codes[at + 2], self.trained[at])
+        self.suffix = np.zeros(len(three), np.int32)
+        self.suffix[back] = row[at + 1]
+        self.lead, self.z = (three // self.base).astype(np.int32), (three % self.base).astype(np.int32)
+        key3 = mix(self.key2[self.lead] * _U(5) + self.h[self.z])
+        self.order3 = np.argsort(key3)
+        self.keys3, self.t3 = key3[self.order3], t3[self.order3]
+        del self.row, self.trained
 
     @staticmethod
     def _distinct(key: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         got, back = np.unique(key, return_inverse=True)
         return got, back, np.bincount(back[trained], minlength=len(got)).astype(np.int64)
 
-    def counts(self, answer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """An answer in the order of the keys, for the pairs and for the triples."""
-        out = np.empty_like(answer)
-        out[self.order] = answer
-        return out[:len(self.a)], out[len(self.a):]
-
     def contexts(self, c2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols and pairs that may have arcs: any state word that leads a pair, and kept pairs that lead a triple."""
-        return np.unique(self.a), np.unique(self.lead[c2[self.lead] > 0])
+        """Symbols and pairs that a text of the block may stand behind and that may have arcs in the corpus: all state words and all kept pairs of them."""
+        return np.flatnonzero(self.word), np.flatnonzero((c2 > 0) & self.often[self.a] & self.often[self.v])
 
 
 def _block(x: dict, wide: float) -> tuple[_Grams, np.ndarray, np.ndarray]:
@@ -257,17 +258,48 @@ def _word_requests(enc: DataFrame, buckets: int) -> DataFrame:
     return enc.select("blk", "n_words", "words", "train").mapInArrow(run, ASKED)
 
 
-def _gram_requests(counted: DataFrame, buckets: int, wide: float) -> DataFrame:
+def _pair_requests(counted: DataFrame, buckets: int, wide: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 x = {c: batch.column(c)[i] for c in batch.schema.names}
                 g, _, _ = _block(x, wide)
-                yield from _ask(x["blk"].as_py(), g.keys, [g.t], buckets)
+                yield from _ask(x["blk"].as_py(), g.keys2, [g.t2], buckets)
 
     return counted.mapInArrow(run, ASKED)
 
 
+def _in_order(order: np.ndarray, answer: np.ndarray) -> np.ndarray:
+    """An answer in the order of the sorted keys, put back."""
+    out = np.empty_like(answer)
+    out[order] = answer
+    return out
+
+
+def _table(rows: list[pa.RecordBatch]) -> pa.Table:
+    return pa.Table.from_batches(rows) if rows else pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())], ["blk", "bucket", "n", "keys", "sums"])
+
+
+def _triple_requests(counted: DataFrame, pairs: DataFrame, buckets: int, wide: float) -> DataFrame:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        x = {c: left.column(c)[0] for c in left.schema.names}
+        g, _, _ = _block(x, wide)
+        g.triples(_in_order(g.order2, _answer(right, 1)[0][0]))
+        return _table(list(_ask(x["blk"].as_py(), g.keys3, [g.t3], buckets)))
+
+    return counted.groupBy("blk").cogroup(pairs.groupBy("blk")).applyInArrow(run, ASKED)
+
+
+def _known(g: _Grams, answers: pa.Table) -> tuple[np.ndarray, ...]:
+    """Counts of pairs and of triples, and whether the block is the first to hold them."""
+    of = lambda k: _answer(answers.filter(pc.equal(answers.column("kind"), k)), 1)
+    (c2,), own2 = of(2)
+    c2, own2 = _in_order(g.order2, c2), _in_order(g.order2, own2)
+    g.triples(c2)
+    (c3,), own3 = of(3)
+    return c2, own2, _in_order(g.order3, c3), _in_order(g.order3, own3)
+
+
 def _context_keys(g: _Grams, c2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     one, two = g.contexts(c2)
     key = np.concatenate([g.h[one], g.key2[two]])
@@ -281,9 +313,7 @@ def _context_requests(counted: DataFrame, grams: DataFrame, buckets: int, wide:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         x = {c: left.column(c)[0] for c in left.schema.names}
         g, _, _ = _block(x, wide)
-        sums, first = _answer(right, 1)
-        c2, c3 = g.counts(sums[0])
-        own2, own3 = g.counts(first)
+        c2, own2, c3, own3 = _known(g, right)
         own2, own3 = own2 & (c2 > 0), own3 & (c3 > 0)
         one, two, order, keys = _context_keys(g, c2)
 
@@ -294,8 +324,7 @@ def _context_requests(counted: DataFrame, grams: DataFrame, buckets: int, wide:
 
         columns = [np.concatenate([add(g.a, own2, g.base, w2)[one], add(g.lead, own3, len(g.a), w3)[two]])[order]
                    for w2, w3 in ((np.ones_like(c2), np.ones_like(c3)), (c2, c3), (g.count[g.v], c2[g.suffix]))]
-        rows = list(_ask(x["blk"].as_py(), keys, columns, buckets))
-        return pa.Table.from_batches(rows) if rows else pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())], ["blk", "bucket", "n", "keys", "sums"])
+        return _table(list(_ask(x["blk"].as_py(), keys, columns, buckets)))
 
     return counted.groupBy("blk").cogroup(grams.groupBy("blk")).applyInArrow(run, ASKED)
 
@@ -333,14 +362,22 @@ class Automaton:
         self.arc, self.w, self.to = arc[order], w[order], np.concatenate([to[k2], to[g.suffix[k3]]])[order]
 
     def run(self, codes: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Sum of the weights of each text; texts advance together, the longest first."""
-        order = np.argsort(-size, kind="stable")
-        first, left = (np.cumsum(size) - size)[order], size[order]
-        state, total = np.zeros(len(size), np.int64), np.zeros(len(size))
-        live = len(size)
+        """Sum of the weights of each text.  A state is the last two words at most, so texts are cut into segments that
+        begin two words early, which find the state and do not count; segments advance together, the longest first."""
+        many = -(-size // SEGMENT)
+        doc = np.repeat(np.arange(len(size)), many)
+        at = (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * SEGMENT
+        early = np.where(at > 0, 2, 0)
+        first, left = (np.cumsum(size) - size)[doc] + at - early, np.minimum(size[doc] - at, SEGMENT) + early
+        order = np.argsort(-left, kind="stable")
+        first, left, early = first[order], left[order], early[order]
+        state, total = np.zeros(len(doc), np.int64), np.zeros(len(doc))
+        live = len(doc)
         for k in range(int(left[0]) if len(left) else 0):
             while live and left[live - 1] <= k:
                 live = int(np.searchsorted(-left, -k, "left"))
+            if k == 2:
+                total[early == 2] = 0
             x = codes[first[:live] + k].astype(np.int64)
             now = state[:live]
             todo = np.flatnonzero(now)
@@ -356,9 +393,7 @@ class Automaton:
                 now[todo] = self.fail[now[todo]]
                 todo = todo[now[todo] > 0]
             state[:live] = now_next
-        out = np.empty(len(size))
-        out[order] = total
-        return out
+        return np.bincount(doc[order], total, len(size))
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -377,7 +412,7 @@ def _cleaned(spark: SparkSession) -> Iterator[None]:
 
 
 def _gathered(docs: DataFrame, shares) -> tuple[DataFrame, DataFrame, int, int, int, float]:
-    """Blocks over state words, answers for their n-grams, training tokens, distinct words, ranges, least count in two-word contexts."""
+    """Blocks over state words, answers for their n-grams (kind 2 and 3), training tokens, distinct words, ranges, least count in two-word contexts."""
     enc = stored(_encoded(docs))
     tokens = enc.agg(F.sum(F.expr("aggregate(size, 0L, (a, x) -> a + x)"))).first()[0] or 0
     buckets = tokens // BUCKET_TOKENS + 1
@@ -385,23 +420,25 @@ def _gathered(docs: DataFrame, shares) -> tuple[DataFrame, DataFrame, int, int,
     n, v = counts.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("present"), F.lit(0))).first()
     least, wide = (max(FLOOR, s * n) for s in shares)
     counted = stored(_counted(enc, counts, n, v, least))
-    return counted, stored(_summed(_gram_requests(counted, buckets, wide), 1, MIN_COUNT)), n, v, buckets, wide
+    discard(enc, counts)
+    pairs = stored(_summed(_pair_requests(counted, buckets, wide), 1, MIN_COUNT))
+    triples = stored(_summed(_triple_requests(counted, pairs, buckets, wide), 1, MIN_COUNT))
+    return counted, pairs.withColumn("kind", F.lit(2)).unionByName(triples.withColumn("kind", F.lit(3))), n, v, buckets, wide
 
 
-def score(docs: DataFrame, shares=SHARES) -> DataFrame:
+def score(docs: DataFrame, shares=WHOLE) -> DataFrame:
     """Base and model log10 probabilities of every document."""
     with _cleaned(docs.sparkSession):
         counted, grams, n, v, buckets, wide = _gathered(docs, shares)
         contexts = stored(_summed(_context_requests(counted, grams, buckets, wide), 3, 0))
-    answers = grams.withColumn("arc", F.lit(True)).unionByName(contexts.withColumn("arc", F.lit(False)))
+    answers = grams.unionByName(contexts.withColumn("kind", F.lit(0)))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         x = {c: left.column(c)[0] for c in left.schema.names}
         g, codes, size = _block(x, wide)
-        arc = right.column("arc")
-        c2, c3 = g.counts(_answer(right.filter(arc), 1)[0][0])
-        sums, _ = _answer(right.filter(pc.invert(arc)), 3)
-        del right, arc, g.keys, g.t, g.order  # their memory is wanted by the automaton
+        c2, _, c3, _ = _known(g, right)
+        sums, _ = _answer(right.filter(pc.equal(right.column("kind"), 0)), 3)
+        del right, g.keys2, g.t2, g.order2, g.keys3, g.t3, g.order3  # their memory is wanted by the automaton
         model = Automaton(g, c2, c3, sums, n, v)
         base = np.asarray(x["base"].values)
         rows = len(size)

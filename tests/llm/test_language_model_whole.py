@@ -32,6 +32,36 @@ def reference(rows):
     return {i: score(x) for i, x in toks.items()}, c, n
 
 
+def scored(spark, rows):
+    docs = spark.createDataFrame([(*r, 0.5, "x") for r in rows], "doc_id long, text string, score double, blk string").repartition(3)
+    return {r.doc_id: r for r in language_model.score(docs).collect()}
+
+
+def test_long_texts_are_cut_without_a_trace(spark, monkeypatch):
+    """Segments of seven tokens begin two words early and give the sums of whole texts."""
+    monkeypatch.setattr(language_model, "SEGMENT", 7)
+    rnd = random.Random(2)
+    rows = [(i, " ".join(rnd.choices([f"w{k}" for k in range(12)], k=rnd.choice([0, 1, 5, 6, 7, 8, 13, 14, 15, 300])))) for i in range(120)]
+    got, (want, _, _) = scored(spark, rows), reference(rows)
+    assert all(math.isclose(got[i].score, want[i], rel_tol=1e-9) for i in want)
+
+
+def test_contexts_before_unknown_words(spark, monkeypatch):
+    """Blocks of a few texts, where a context is followed by words without a state or by pairs that are not kept."""
+    monkeypatch.setattr(language_model, "BLOCK_TOKENS", 30)
+    monkeypatch.setattr(language_model, "BUCKET_TOKENS", 500)
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice([rnd.choice("abcdef"), f"once{rnd.randint(0, 10**6)}", rnd.choice([f"w{k}" for k in range(40)])]) for _ in range(rnd.randint(0, 12)))) for i in range(150)]
+    got, (want, _, _) = scored(spark, rows), reference(rows)
+    assert all(math.isclose(got[i].score, want[i], rel_tol=1e-9) for i in want)
+
+
+def test_no_training_texts(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    got = scored(spark, [(i, "some words here") for i in held])
+    assert len(got) == len(held) and all((r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (True, 4, 0, 0) and abs(r.score) < 1e-12 for r in got.values())
+
+
 def test_states_and_contexts_by_absolute_count(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(language_model, "BLOCK_TOKENS", 9000)
     monkeypatch.setattr(language_model, "BUCKET_TOKENS", 20_000)

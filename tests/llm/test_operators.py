@@ -296,7 +296,7 @@ def test_language_model(spark, docs, rows, empty, monkeypatch):
                 out += math.log10(q2(x[k - 1], w) if k and x[k - 1] in states else p1(w))
         return out
 
-    got = sorted(map(tuple, language_model.score(docs).collect()))
+    got = sorted(map(tuple, language_model.score(docs, shares=(1e-4, 1e-3)).collect()))
     want = sorted((i, held[i], len(x), sum(c[w] > 0 for w in x), n, sum(math.log10(p1(w)) for w in x), total(x)) for i, x in toks)
     assert p2 and p3
     for g, w in zip(got, want, strict=True):
