@@ -37,7 +37,7 @@ from riskflow.llm.blocks import LOWER, blocks, stored, words
 MIN_DOCS = 3
 SCALE = 1_000_000_000
 TOP = 200
-CHUNK = (4096, 64)  # terms in a chunk: of rare terms, which have few levels, and of others
+CHUNK = (1024, 64)  # terms in a chunk: of rare terms, which have few levels, and of others
 RARE = 5  # bits of the number of occurrences
 SOURCES = 512  # in a block
 TILE = 1024  # columns of a tile
