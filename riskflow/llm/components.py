@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.llm.blocks import stored
+from riskflow.llm.blocks import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
     mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     was = mark(now)
     while True:
-        now = stored(_star(_star(now, True), False))
+        before, now = now, stored(_star(_star(now, True), False))
+        discard(before)
         got = mark(now)
         if got == was:
             break

@@ -13,8 +13,11 @@ diagonal that contain the hit, one must agree in at least ``SAME`` of its tokens
 
 Items of ``MIN_TOKENS`` to ``SHORT`` - 1 tokens are sought with ``SHORT_MASKS`` as well: all masks together meet every
 accepted replacement in items of 8 to 13 tokens.  Items of fewer than ``MIN_TOKENS`` tokens are
-found where their whole run stands.  Null and empty texts have no tokens and match nothing.  Repeated documents or items are matched each for itself.  Columns other than the ids and
-the texts are not read by ``matches``; ``keep_clean`` returns the documents' own columns.
+found where their whole run stands; ``matches`` reports them, while ``keep_clean`` drops documents only for items of
+``least`` tokens or more, so that an item of one common word does not empty the corpus.  Null and empty texts have no
+tokens and match nothing.  An item with a null item_id is sought like any other and reported as null.  Repeated
+documents or items are matched each for itself.  Columns other than the ids and the texts are not read by ``matches``;
+``keep_clean`` returns the documents' own columns.
 """
 
 from __future__ import annotations
@@ -71,12 +74,12 @@ def hash_of(mask: str) -> np.uint64:
 class Items:
     """One block of the benchmark: its tokens, and for each mask the seeds in order with their positions."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int | None], texts: list[str]):
         data, off = flat(pa.array(texts, pa.large_string()))
         h, doc, first = token_hashes(Block(data, off, {}))
-        self.h, self.ids = h, np.array(ids, np.int64)
+        self.h, self.ids = h, pa.array(ids, pa.int64())
         size = np.diff(first)
-        self.doc, self.first, self.end = doc, first[:-1], first[1:]
+        self.doc, self.first, self.end, self.size = doc, first[:-1], first[1:], size
         self.seeds = []
         for m, least, most in LAID:
             key, at = seeds(h, doc, m)
@@ -151,7 +154,7 @@ class Items:
 def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
     """The benchmark in blocks of bounded size, in id order; the driver holds one at a time."""
     ids, texts, size = [], [], 0
-    for r in benchmark.where("text is not null and item_id is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+    for r in benchmark.where("text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         n = len(r.text) // 2 + 1  # tokens at most
         if ids and size + n > BLOCK_TOKENS:
             yield Items(ids, texts)
@@ -164,9 +167,9 @@ def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id and n_same (most agreeing tokens in a window) of every overlap found, one row a pair."""
-    spark = docs.sparkSession
-    out = spark.createDataFrame([], "doc_id long, item_id long, n_same long")
+    """doc_id, item_id, n_same (most agreeing tokens in a window) and n_item (tokens of the item) of every overlap found, one row a pair."""
+    spark, schema = docs.sparkSession, "doc_id long, item_id long, n_same long, n_item long"
+    out = spark.createDataFrame([], schema)
     for k, items in enumerate(item_blocks(benchmark)):
         sent = spark.sparkContext.broadcast(items)
 
@@ -174,18 +177,18 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for b in blocks(batches):
                 d, i, n = sent.value.match(*token_hashes(b))
                 ids = b.cols["doc_id"].cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(d)), pa.array(sent.value.ids[i]), pa.array(n)], ["doc_id", "item_id", "n_same"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(d)), sent.value.ids.take(pa.array(i)), pa.array(n), pa.array(sent.value.size[i])], ["doc_id", "item_id", "n_same", "n_item"])
 
-        part = docs.select("doc_id", "text").mapInArrow(probe, "doc_id long, item_id long, n_same long")
+        part = docs.select("doc_id", "text").mapInArrow(probe, schema)
         out = out.unionByName(part) if k else part
-    return out.groupBy("doc_id", "item_id").agg(F.max("n_same").alias("n_same"))
+    return out.groupBy("doc_id", "item_id").agg(F.max("n_same").alias("n_same"), F.max("n_item").alias("n_item"))
 
 
-def flagged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id and n_items of the contaminated documents."""
-    return matches(docs, benchmark).where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"))
+def flagged(docs: DataFrame, benchmark: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
+    """doc_id and n_items of the documents with an item of at least ``least`` tokens."""
+    return matches(docs, benchmark).where((F.col("n_item") >= least) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any overlap, all columns; a null doc_id cannot be flagged and stays."""
-    return docs.join(flagged(docs, benchmark).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
+    """The documents without any such overlap, all columns; a null doc_id cannot be flagged and stays."""
+    return docs.join(flagged(docs, benchmark, least).select("doc_id"), "doc_id", "left_anti").select(docs.columns)

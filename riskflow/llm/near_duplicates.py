@@ -18,11 +18,12 @@ unverified.  Verification compares the full sets.
 
 Null and empty texts have empty sets and stand alone.  A text with fewer words than a shingle is
 one shingle.  Repeated rows fall into one class; rows of one doc_id with different texts are
-compared each by its own text.  A null doc_id stands alone with a null component.
+compared and grouped each by its own text.  A null doc_id stands alone with a null component.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from riskflow.llm.blocks import LOWER, Block, Prefix, blocks, mix, stored, words
+from riskflow.llm.blocks import LOWER, Block, Prefix, blocks, discard, mix, stored, words
 from riskflow.llm.components import components
 
 BANDS, ROWS = 48, 6
@@ -107,7 +108,7 @@ def sums(key: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), s1 and s2 (hashes of the set) and bands of every row."""
+    """doc_id, th (hash of the text), n (set size), s1 and s2 (hashes of the set) and bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
@@ -116,23 +117,23 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
             keys = bands(sketch(key, doc, b.n))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([
-                b.cols["doc_id"].cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(sums(key, doc, b.n).view(np.int64)),
-                pa.array(sums(mix(key + _U(7)), doc, b.n).view(np.int64)), flat], ["doc_id", "n", "s1", "s2", "bands"])
+                b.cols["doc_id"].cast(pa.int64()), b.cols["th"], pa.array(n.astype(np.int64)), pa.array(sums(key, doc, b.n).view(np.int64)),
+                pa.array(sums(mix(key + _U(7)), doc, b.n).view(np.int64)), flat], ["doc_id", "th", "n", "s1", "s2", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, n long, s1 long, s2 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id and set (array of shingle hashes) of the documents in ``ids``."""
+def _sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """id and set (array of shingle hashes) of each class, from one row with its representative text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
             key, doc = shingles(b, width)
             at = np.searchsorted(doc, np.arange(b.n + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.cols["doc_id"].cast(pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(key.view(np.int64)))], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([b.cols["id"], pa.ListArray.from_arrays(pa.array(at), pa.array(key.view(np.int64)))], ["id", "set"])
 
-    some = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return some.mapInArrow(run, "id long, set array<long>")
+    some = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(classes.select(F.col("rep").alias("doc_id"), "th", "id"), ["doc_id", "th"])
+    return some.dropDuplicates(["doc_id", "th"]).select("id", "text").mapInArrow(run, "id long, set array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -162,38 +163,56 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
 
 
-def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, th, s1, s2, n_shingles, component_id and kept of every row."""
     sk = stored(sketched(docs, width))
     some = sk.where("n > 0 and doc_id is not null")
-    reps = stored(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))  # tables: the joins can then split a hot class or bucket
-    members = stored(some.select("doc_id", "n", "s1", "s2").join(reps, ["s1", "s2"]).select("doc_id", "n", "rep", (F.col("doc_id") == F.col("rep")).alias("first"), "s1", "s2"))
-    own = members.where("first").select("doc_id", "s1", "s2").distinct()
-    rows = some.join(own, ["doc_id", "s1", "s2"], "left_semi").select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    reps = some.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "th")).alias("one")).select("s1", "s2", F.col("one.doc_id").alias("rep"), "one.th")
+    # a class goes by its least doc_id; further classes with the same one, as rows may have one id and different texts, by a hash
+    lead = F.min(F.struct("s1", "s2")).over(W.partitionBy("rep")) == F.struct("s1", "s2")
+    reps = stored(reps.withColumn("id", F.when(lead, F.col("rep")).otherwise(F.xxhash64("rep", "s1", "s2"))))  # tables: the joins can then split a hot class or bucket
+    one = some.withColumnRenamed("doc_id", "rep").join(reps, ["rep", "th", "s1", "s2"]).dropDuplicates(["rep", "th", "s1", "s2"])
+    rows = one.select("id", F.explode("bands").alias("key"))
     shared = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     near = stored(rows.join(shared, "key").select("key", "id", "c"))
 
     ids = near.groupBy("id").agg(F.sum("c").alias("degree"))
-    sets = stored(_sets(docs, ids, width))
+    sets = stored(_sets(docs, reps.join(ids, "id", "left_semi"), width))
     hub = near.join(ids, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("u"))
     star = near.join(hub, "key").where("id <> u").select("u", F.col("id").alias("v")).distinct()
     edges = stored(_verified(star, sets, percent))
 
-    of = components(edges)
+    of = stored(components(edges))
     left = near.join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     open_ = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rest = _prefix_pairs(sets.join(left.join(open_, "key").select("id", "component").distinct(), "id"), percent)
     more = stored(_verified(rest, sets, percent))
     of = components(edges.unionByName(more)) if not more.isEmpty() else of
 
-    found = members.join(of.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    alone = sk.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    least = reps.join(of, "id").groupBy("component").agg(F.min("rep").alias("component_id"))
+    of = stored(of.join(stored(least), "component").select("id", "component_id"))
+    discard(shared, near, sets, edges, more)
+    row = ["doc_id", "th", "s1", "s2", F.col("n").alias("n_shingles")]
+    members = some.join(reps.select("s1", "s2", "id", "rep"), ["s1", "s2"])
+    found = members.join(of, "id", "left").select(*row, F.coalesce("component_id", "rep").alias("component_id"))
+    alone = sk.where("n = 0 or doc_id is null").select(*row, F.col("doc_id").alias("component_id"))
     out = found.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def link(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    return _linked(docs, width, percent).drop("th", "s1", "s2")
+
+
 def keep_first(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, that with the least doc_id (repeated rows of it stay one), all columns."""
-    kept = link(docs, width, percent).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group, that with the least doc_id, all columns.
+
+    Rows of one doc_id with unequal shingle sets are documents of their own and stay or go each by its own text; rows of
+    one doc_id and set stay one, that with the least text.  Rows without a doc_id stay.
+    """
+    th, s1, s2, at = (f"{c}_{uuid.uuid4().hex}" for c in ("th", "s1", "s2", "at"))  # no columns of the input
+    kept = _linked(docs, width, percent).where("kept and doc_id is not null").select("doc_id", F.col("th").alias(th), F.col("s1").alias(s1), F.col("s2").alias(s2)).distinct()
+    named = docs.where("doc_id is not null").withColumn(th, F.xxhash64("text")).join(kept, ["doc_id", th])
+    named = named.withColumn(at, F.row_number().over(W.partitionBy("doc_id", s1, s2).orderBy("text", th))).where(F.col(at) == 1)
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))

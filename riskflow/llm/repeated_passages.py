@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.llm.blocks import Block, Prefix, blocks, flat, mix, repeated, stored
+from riskflow.llm.blocks import Block, Prefix, blocks, discard, flat, mix, repeated, stored
 
 SPAN = 400
 GRAM = 200
@@ -115,14 +115,20 @@ def _pieces(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(),) * 5 + (pa.binary(),) * 2, strict=True)], ["h", "c", "k", "rk", "at", "lead", "body"])
 
     by_doc = stored(wanted.groupBy("rk").agg(F.collect_list(F.struct("h", "c", "k", "at")).alias("items")))
-    return docs.select("rk", "text").join(by_doc, "rk").mapInArrow(run, "h long, c long, k long, rk long, at long, lead binary, body binary")
+    once = docs.select("rk", "text").join(by_doc, "rk").dropDuplicates(["rk"])  # equal rows share rk and need one piece a string
+    out = stored(once.mapInArrow(run, "h long, c long, k long, rk long, at long, lead binary, body binary"))
+    discard(by_doc)
+    return out
+
 
+def multikey_order(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Order of byte strings (rows of a matrix, padded with 0): ties go on to the next eight bytes.
 
-def multikey_order(rows: np.ndarray) -> np.ndarray:
-    """Order of byte strings (rows of a matrix, padded with 0): ties go on to the next eight bytes."""
+    Rows that agree with their padding stay in order of size, so a string comes before those that go on with NUL bytes.
+    """
     n = len(rows)
     keys = np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
-    order = np.argsort(keys[:, 0], kind="stable")
+    order = np.lexsort((size, keys[:, 0]))
     start = np.ones(n, bool)
     start[1:] = keys[order[1:], 0] != keys[order[:-1], 0]
     for k in range(1, keys.shape[1]):
@@ -139,7 +145,7 @@ def multikey_order(rows: np.ndarray) -> np.ndarray:
 
 def _classes(rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted order and common prefix of each row with the one before it in that order."""
-    order = multikey_order(rows)
+    order = multikey_order(rows, size)
     common = np.zeros(len(rows), np.int64)
     for lo in range(1, len(rows), 4096):
         a, b = order[lo - 1:lo + 4095], order[lo:lo + 4096]
@@ -239,15 +245,18 @@ def removed(docs: DataFrame) -> DataFrame:
     a = stored(_anchors(docs))
     many = stored(a.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))  # a table: the join can then split a hot gram
     some = stored(a.join(many, "h"))
+    discard(a, many)
     owned = stored(some.groupBy("h", "o").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rk", "at")).alias("one")))
     whole = some.join(owned.where("c > 1").select("h", "o"), ["h", "o"], "left_semi")
     place = F.shiftright("at", 16)
     full = whole.select("rk", (place - F.expr("shiftright(at, 8) & 255")).alias("s"), (place - F.expr("at & 255") + SPAN).alias("e"))
     mixed = owned.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     wanted = owned.join(mixed, "h").select("h", "c", "k", "one.rk", "one.at")
-    pieces = stored(_pieces(docs, wanted))
+    pieces = _pieces(docs, wanted)
     found = full.unionByName(_sorted_matches(pieces.where(F.col("k") <= HOT))).unionByName(_counted_matches(pieces.where(F.col("k") > HOT)))
-    return stored(found.groupBy("rk").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("cuts")))
+    cuts = stored(found.groupBy("rk").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("cuts")))
+    discard(some, owned, pieces)
+    return cuts
 
 
 def _merged(cuts: list[dict]) -> list[tuple[int, int]]:
