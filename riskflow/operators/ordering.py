@@ -25,18 +25,23 @@ BUCKET_ROWS = 1 << 20
 
 
 def grouped_row_number(df: DataFrame, keys: list[str], order_col: str, name: str = "rn",
-                       bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+                       bucket_rows: int = BUCKET_ROWS, start: DataFrame | None = None) -> DataFrame:
     """1-based row number per group in ``order_col`` order (an integer id, unique per group).
 
     Rows are split into (group, id // bucket_rows) pieces: a piece holds at
     most ``bucket_rows`` rows however hot its group.  Piece sizes are
     pre-aggregated (partial aggregation), their prefix offsets come from a
     window over the small piece table, and the numbering window runs per piece.
+    ``start`` (keys, ``n``; one row a group, no null keys) goes on from ``n`` rows
+    numbered before: it meets the piece table, not the rows.
     """
     d = df.withColumn("_piece", F.floor(F.col(order_col) / F.lit(bucket_rows)))
     pieces = d.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select(*keys, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    if start is not None:
+        offsets = offsets.join(start.select(*keys, F.col("n").alias("_start")), keys, "left").select(
+            *keys, "_piece", (F.col("_off") + F.coalesce("_start", F.lit(0))).alias("_off"))
     w = Window.partitionBy(*keys, "_piece").orderBy(order_col)
     # null keys form a group like any other: null-safe equality, which is still an equi-join
     sides = [*keys, "_piece"]

@@ -7,15 +7,28 @@ from riskflow.plans import events_oracle
 from riskflow.plans import feedback_oracle as FO
 from riskflow.plans.oracle_rules import iso_valid_sql
 from riskflow.plans.oracle_views import with_views
+from riskflow.plans.stream_queries import PIECES
 
 
 def oracle() -> dict[str, str]:
-    velocity = f"""
-SELECT event_id, user_id,
-  CAST(row_number() OVER (PARTITION BY user_id, floor(epoch(TRY_CAST(timestamp AS TIMESTAMPTZ)) / 3600) ORDER BY event_id) AS INTEGER)
-    AS txn_velocity_1h
-FROM parsed WHERE error IS NULL AND {iso_valid_sql('timestamp')}
-  AND TRY_CAST(timestamp AS TIMESTAMPTZ) IS NOT NULL"""
+    # micro-batches are id ranges; an hour is closed once it ends an hour before the latest event of the batches before
+    arrived = f"""
+arrived AS (
+  SELECT event_id, user_id, epoch(TRY_CAST(timestamp AS TIMESTAMPTZ)) AS et,
+    floor(epoch(TRY_CAST(timestamp AS TIMESTAMPTZ)) / 3600) AS hour, event_id * {PIECES} // (SELECT max(event_id) + 1 FROM events) AS batch_id
+  FROM parsed WHERE error IS NULL AND {iso_valid_sql('timestamp')} AND TRY_CAST(timestamp AS TIMESTAMPTZ) IS NOT NULL
+),
+marks AS (
+  SELECT batch_id, max(max(et)) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3600 AS mark
+  FROM arrived GROUP BY batch_id
+),
+judged AS (
+  SELECT a.*, coalesce((a.hour + 1) * 3600 <= m.mark, false) AS late FROM arrived a JOIN marks m USING (batch_id)
+),
+velocities AS (
+  SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id, hour ORDER BY event_id) AS INTEGER) AS txn_velocity_1h
+  FROM judged WHERE NOT late
+)"""
     b = ONLINE_BATCH_SIZE
     return {
         "feedback_loop_counts": with_views(["feedback_text"], [FO.FB_PARSED, FO.ACCEPT], f"""
@@ -26,5 +39,11 @@ SELECT count(*) AS messages_seen, count(*) FILTER (WHERE accepted) AS accepted,
        ELSE count(*) FILTER (WHERE accepted) % {b} END AS last_batch_size
 FROM fba"""),
         "stream_scoring": events_oracle.oracle()["event_routing"],
-        "stream_velocity": with_views(["raw_event"], [events_oracle.PARSED], velocity),
+        "stream_scoring_velocity": with_views(
+            ["raw_event"], [events_oracle.PARSED, arrived, events_oracle.FEATURES_CTE, events_oracle._scored_cte(0.5)], """
+SELECT s.event_id, s.topic, CASE WHEN s.topic <> 'dead-letter' THEN coalesce(v.txn_velocity_1h, 1) END AS txn_velocity_1h
+FROM scored s LEFT JOIN velocities v USING (event_id)"""),
+        "stream_velocity": with_views(["raw_event"], [events_oracle.PARSED, arrived], "SELECT event_id, user_id, txn_velocity_1h FROM velocities"),
+        "stream_velocity_batches": with_views(["raw_event"], [events_oracle.PARSED, arrived], """
+SELECT batch_id, count(*) AS rows, count(*) FILTER (WHERE late) AS late FROM judged GROUP BY batch_id"""),
     }

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from riskflow.models.demo import demo_models
 from riskflow.operators.events import sink_records
+from riskflow.sources import adapters
+from riskflow.sources.tables import table
 from riskflow.streaming import jobs
+from riskflow.streaming.velocity import VelocityLog, scored_with_velocity
 
 
 def q_stream_scoring(spark, sf_dir):
@@ -15,19 +20,45 @@ def q_stream_scoring(spark, sf_dir):
     return spark.read.parquet(out).select("event_id", "topic", "error")
 
 
-def q_stream_velocity(spark, sf_dir):
-    """Keyed per-user one-hour velocity with state and watermark."""
+PIECES = 3  # micro-batches that the events arrive in, by id
+
+
+def _velocity_run(spark, sf_dir, then=None):
+    """The events landed piece by piece, each picked up by a run that goes on from the checkpoint."""
     out, ckpt = jobs.stream_location(spark, "velocity")
-    jobs.run_available_now(jobs.velocity_stream(jobs.event_source(spark, sf_dir)), out, ckpt)
-    return spark.read.parquet(out).withColumnRenamed("ingest_id", "event_id").select(
-        "event_id", "user_id", "txn_velocity_1h")
+    events = table(spark, sf_dir, "events")
+    log = VelocityLog(spark, f"{out}/velocity")
+    for k in range(PIECES):
+        jobs.land(events, f"{out}/landing", k, PIECES)
+        source = jobs.event_source(spark, f"{out}/landing", file_glob="*.parquet", schema=events.schema)
+        raw = adapters.raw_event(source)
+        log.run(raw, ckpt) if then is None else then(log, raw, f"{out}/sink", ckpt)
+    return log, f"{out}/sink"
+
+
+def q_stream_velocity(spark, sf_dir):
+    """Keyed per-user one-hour velocity over several micro-batches; late rows have none."""
+    log, _ = _velocity_run(spark, sf_dir)
+    return log.rows().where("txn_velocity_1h is not null").select("event_id", "user_id", "txn_velocity_1h")
+
+
+def q_stream_velocity_batches(spark, sf_dir):
+    """Rows with an event hour and late ones among them, by micro-batch."""
+    log, _ = _velocity_run(spark, sf_dir)
+    return log.progress().select(F.col("batch_id").cast("long").alias("batch_id"), "rows", "late")
+
+
+def q_stream_scoring_velocity(spark, sf_dir):
+    """T1 with T2 in front: the sink's features carry the streamed velocity."""
+    _, sink = _velocity_run(spark, sf_dir, lambda log, raw, out, ckpt: scored_with_velocity(log, raw, demo_models(), out, ckpt))
+    velocity = F.get_json_object("value", "$.features.txn_velocity_1h").cast("int").alias("txn_velocity_1h")
+    return spark.read.parquet(sink).select("event_id", "topic", velocity)
 
 
 def q_feedback_stream_loop(spark, sf_dir):
     """T5 as a stream: feedback -> acceptance -> batch updates with promotion guard, a last one from the remainder."""
     from riskflow.models.registry import ModelRegistry
     from riskflow.plans.model_queries import feats
-    from riskflow.sources import adapters
     from riskflow.streaming.feedback_loop import FeedbackLoop
 
     out, ckpt = jobs.stream_location(spark, "feedback-loop")
@@ -48,5 +79,7 @@ QUERIES = {
     "feedback_loop_counts": q_feedback_loop_counts,
     "feedback_stream_loop": q_feedback_stream_loop,
     "stream_scoring": q_stream_scoring,
+    "stream_scoring_velocity": q_stream_scoring_velocity,
     "stream_velocity": q_stream_velocity,
+    "stream_velocity_batches": q_stream_velocity_batches,
 }

@@ -6,12 +6,7 @@
   ``topic`` (exactly-once through the sink's commit log).  Where a Kafka
   connector is deployed, the same frame goes to ``format("kafka")`` with the
   ``topic`` column.
-* Keyed one-hour velocity (T2) is ``applyInPandasWithState`` keyed by user:
-  the state holds the counts of the user's event hours that are not yet
-  behind the watermark, and is dropped after an hour of event-time
-  inactivity.  Rows of one user inside one micro-batch are numbered per hour
-  in ingest order (vectorised); micro-batch size, and so the per-key work
-  per trigger, is bounded by the trigger options.
+* Keyed one-hour velocity (T2) is in :mod:`riskflow.streaming.velocity`.
 * ``availableNow`` runs the stream over what is there and stops (T4).
 
 All outputs and checkpoints live under the shared checkpoint folder.
@@ -21,21 +16,16 @@ from __future__ import annotations
 
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskflow.contract import TOPIC_DLQ
 from riskflow.functions import features as FX
 from riskflow.models.base import ModelSet
-from riskflow.operators.events import parse_events, route_events
+from riskflow.operators.events import route_events
 from riskflow.session import checkpoint_dir
 from riskflow.sources import adapters
 
-VELOCITY_WATERMARK = "1 hour"
-
 
 def stream_location(spark: SparkSession, name: str, run_id: str | None = None) -> tuple[str, str]:
     """(output path, checkpoint path) under the shared checkpoint folder."""
@@ -105,59 +95,11 @@ def await_end(q, timeout_s: int | None = None) -> None:
         raise TimeoutError(f"the stream had not read its input after {timeout_s} s; its output is incomplete")
 
 
-VELOCITY_OUT = "ingest_id long, user_id string, hour_start timestamp, txn_velocity_1h int"
-VELOCITY_STATE = "hours array<long>, counts array<long>"
-HOUR_MS = 3_600_000
-
-
-def _velocity(key, pdfs, state: GroupState):
-    """Per user: counts of the recent event hours; each row gets count-so-far + its rank in ingest order.
-
-    State holds only hours not yet behind the watermark (a handful per user);
-    it is dropped after an hour of event-time inactivity.
-    """
-    if state.hasTimedOut:
-        state.remove()
-        return
-    hours, counts = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
-    current = dict(zip(hours, counts))
-    batch = pd.concat(list(pdfs), ignore_index=True).sort_values("ingest_id", kind="stable")
-    hour_ms = (pd.to_datetime(batch["hour_start"]).astype("int64") // 1_000_000).to_numpy()
-    prior = np.array([current.get(int(h), 0) for h in hour_ms], dtype=np.int64)
-    rank = batch.groupby(hour_ms, sort=False).cumcount().to_numpy() + 1
-    out = pd.DataFrame({
-        "ingest_id": batch["ingest_id"].astype("int64").to_numpy(),
-        "user_id": batch["user_id"].to_numpy(),
-        "hour_start": batch["hour_start"].to_numpy(),
-        "txn_velocity_1h": (prior + rank).astype("int32"),
-    })
-    for h, n in zip(*np.unique(hour_ms, return_counts=True)):
-        current[int(h)] = current.get(int(h), 0) + int(n)
-    wm = state.getCurrentWatermarkMs()
-    kept = {h: c for h, c in current.items() if h + HOUR_MS > wm}
-    state.update((list(kept.keys()), list(kept.values())))
-    state.setTimeoutTimestamp(max(max(kept.keys(), default=0) + HOUR_MS, wm + 1))
-    yield out
-
-
-def keyed_velocity(parsed: DataFrame, ingest_col: str = "event_id") -> DataFrame:
-    """txn_velocity_1h per (user_id, event hour) with a 1-hour watermark; state keyed by user."""
-    ts = F.col("event.timestamp")
-    valid = parsed.where(F.col("error").isNull() & FX.iso_valid(ts))
-    e = valid.select(
-        F.col(ingest_col).cast("long").alias("ingest_id"),
-        F.col("event.user_id").alias("user_id"),
-        F.try_to_timestamp(ts).alias("event_time"),
-    ).where(F.col("event_time").isNotNull()).withColumn("hour_start", F.date_trunc("hour", F.col("event_time")))
-    return (
-        e.withWatermark("event_time", VELOCITY_WATERMARK)
-        .groupBy("user_id")
-        .applyInPandasWithState(_velocity, VELOCITY_OUT, VELOCITY_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
-
-
-def velocity_stream(events_stream: DataFrame) -> DataFrame:
-    return keyed_velocity(parse_events(adapters.raw_event(events_stream)))
+def land(events: DataFrame, path: str, piece: int, pieces: int) -> None:
+    """Append one of ``pieces`` id ranges of the events to a landing folder."""
+    top = events.agg(F.max("event_id")).first()[0]
+    of = F.expr(f"event_id * {pieces} div {0 if top is None else top + 1}") if top is not None else F.lit(0)
+    events.where(of == piece).write.mode("append").parquet(path)
 
 
 def keyed_velocity_batch(parsed: DataFrame, ingest_col: str = "event_id") -> DataFrame:
@@ -175,6 +117,5 @@ def keyed_velocity_batch(parsed: DataFrame, ingest_col: str = "event_id") -> Dat
 
 
 __all__ = [
-    "TOPIC_DLQ", "event_source", "scoring_stream", "run_available_now", "keyed_velocity", "velocity_stream",
-    "keyed_velocity_batch", "stream_location",
+    "TOPIC_DLQ", "event_source", "scoring_stream", "run_available_now", "keyed_velocity_batch", "land", "stream_location",
 ]

@@ -45,21 +45,64 @@ def test_stream_restart_equals_batch(spark):
     assert got.exceptAll(want).count() == 0
 
 
-def test_stream_velocity_two_batches_equals_batch(spark):
-    d, ev = _landing(spark)
-    landing = tempfile.mkdtemp(prefix="riskflow-in-", dir="/tmp")
-    import glob
-    import shutil
+def _raw(rows):
+    """(id, user, minutes after noon) as raw events."""
+    import json
+
+    return [(i, json.dumps({"event_id": str(i), "timestamp": f"2025-07-03T{12 + m // 60:02d}:{m % 60:02d}:00Z", "user_id": u, "type": "DEBIT",
+                            "amount": 1.0, "old_balance_orig": 0.0, "new_balance_orig": 0.0})) for i, u, m in rows]
+
+
+def test_velocity_over_micro_batches_with_a_hot_user(spark, tmp_path, monkeypatch):
+    import random
+
+    from riskflow.operators import ordering
+    from riskflow.streaming import velocity
+
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(ordering.grouped_row_number, "__defaults__", ("rn", 16, None))
+    rnd = random.Random(3)
+    rows = [(i, "hot" if rnd.random() < 0.4 else f"u{rnd.randint(0, 9)}", i * 400 // 600) for i in range(600)]
+    rows[450] = (450, "hot", 10)  # noon's hour is closed long before
+    rows[130] = (130, "hot", 50)  # a batch later, but its hour is open
+    log = velocity.VelocityLog(spark, str(tmp_path / "log"), compact_every=2)
+    for b in range(4):
+        part = spark.createDataFrame([*_raw(rows[b * 150:b * 150 + 150]), (1000 + b, "{bad json}")], "event_id long, raw string").repartition(3)
+        log.number(velocity.keyed_events(part), b)
+        if b == 2:
+            log.number(velocity.keyed_events(part), b)  # a retry changes nothing
+    got = {r.event_id: (r.txn_velocity_1h, r.late) for r in log.rows().collect()}
+    seen, want = {}, {}
+    for i, u, m in rows:
+        if i == 450:
+            want[i] = (None, True)
+            continue
+        seen[u, m // 60] = seen.get((u, m // 60), 0) + 1
+        want[i] = (seen[u, m // 60], False)
+    assert got == want | {1000 + b: (None, False) for b in range(4)}
+    assert sorted((r.batch_id, r.rows, r.late, r.snapshot) for r in log.progress().collect()) == [(0, 150, 0, False), (1, 150, 0, True), (2, 150, 0, False), (3, 150, 1, True)]
+    # the last snapshot holds the open hours only
+    hours = {r.hour_start.hour for r in spark.read.parquet(str(tmp_path / "log/counts/batch_id=3")).select("hour_start").distinct().collect()}
+    assert hours and min(hours) >= 15
+
+
+def test_velocity_stream_goes_on_after_a_restart(spark, tmp_path):
+    from riskflow.streaming import velocity
 
-    shutil.copy(glob.glob(f"{d}/a/*.parquet")[0], f"{landing}/part-a.parquet")
-    shutil.copy(glob.glob(f"{d}/b/*.parquet")[0], f"{landing}/part-b.parquet")
-    out, ckpt = jobs.stream_location(spark, "test-velocity")
-    src = jobs.event_source(spark, landing, max_files_per_trigger=1, file_glob="*.parquet", schema=ev.schema)
-    jobs.run_available_now(jobs.velocity_stream(src), out, ckpt)
-    got = spark.read.parquet(out).select("ingest_id", "txn_velocity_1h")
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    log = velocity.VelocityLog(spark, str(tmp_path / "log"))
+    for k in range(2):
+        jobs.land(ev, str(tmp_path / "in"), k, 2)
+        source = jobs.event_source(spark, str(tmp_path / "in"), file_glob="*.parquet", schema=ev.schema)
+        velocity.scored_with_velocity(log, adapters.raw_event(source), demo_models(), str(tmp_path / "sink"), str(tmp_path / "ck"))
+    rows = log.rows().where("txn_velocity_1h is not null")
     want = jobs.keyed_velocity_batch(parse_events(adapters.raw_event(ev))).select("ingest_id", "txn_velocity_1h")
-    assert got.count() == want.count()
-    assert got.exceptAll(want).count() == 0
+    late = log.progress().agg(F.sum("late")).first()[0]
+    assert rows.count() + late == want.count()
+    assert late or rows.select("event_id", "txn_velocity_1h").exceptAll(want).count() == 0
+    sink = spark.read.parquet(str(tmp_path / "sink"))
+    velocities = sink.select("event_id", F.get_json_object("value", "$.features.txn_velocity_1h").cast("int").alias("v")).where("v is not null")
+    assert sink.count() == 1000 and velocities.join(rows, "event_id").where("v <> txn_velocity_1h").count() == 0
 
 
 def test_sink_records_carry_dead_letter_and_enriched_payloads(spark):
