@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow.contract import ADAPTIVE_DEFAULTS, FEATURES_V1, TRAIN_FRACTION
-from riskflow.operators.ordering import exact_quantiles, global_row_index, running_sums
+from riskflow.operators.ordering import bottom_cut, exact_quantiles, global_row_index, running_sums
 
 
 def _hit(score: Column, threshold: float) -> Column:
@@ -225,16 +225,21 @@ def adaptive_threshold(df: DataFrame, score_col: str, by: list[str] | None = Non
 def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int, min_rows: int = 1) -> DataFrame:
     """K3: exactly min(n, available) rows, repeatable for a seed, without replacement.
 
-    Rows are ranked by a seeded hash of the id and the first n ranks kept
-    (rank filter over a range-partitioned order: the sample may be large).
+    The rows with the n smallest (seeded hash of the id, id): the cut between them and the rest comes from counts
+    (``bottom_cut``, which reads the id column only), so the sample is a filter of the input.
     """
     h = F.xxhash64(F.col(id_col), F.lit(seed))
-    ranked = global_row_index(df.withColumn("_h", h), [F.col("_h"), F.col(id_col)], "_sr")
-    available = ranked.count()
-    take = min(n, available)
-    if take < min_rows:
+    available, cut, equal = bottom_cut(df, id_col, h, n)
+    if min(n, available) < min_rows:
         raise ValueError("No rows available for training." if min_rows <= 1 else "Not enough rows for training.")
-    return ranked.where(F.col("_sr") < take).drop("_h", "_sr")
+    if n <= 0:
+        return df.limit(0)
+    if cut is None:
+        return df
+    same = (h == F.lit(cut[0])) & F.col(id_col).eqNullSafe(F.lit(cut[1]))
+    before = (h < F.lit(cut[0])) | ((h == F.lit(cut[0])) & (F.lit(False) if cut[1] is None else F.coalesce(F.col(id_col) < F.lit(cut[1]), F.lit(True))))
+    at = df.where(same)
+    return df.where(before).unionByName(at if at.select(id_col).limit(equal + 1).count() == equal else at.limit(equal))
 
 
 def evaluate_model_on_holdout(spark, model, holdout_path: str, threshold: float = 0.5,

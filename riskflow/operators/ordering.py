@@ -7,7 +7,9 @@
   offsets table has one row per partition, a proven size bound).
 * :func:`running_sums` - prefix sums in a total order, same scheme.
 * :func:`exact_quantiles` - linear-interpolated quantiles (NumPy ``linear``)
-  from ranks in that order; no value map is merged in one task.
+  by selection: a sketch brackets the rank, a histogram narrows it, and only the
+  values of one bucket are put in order.
+* :func:`bottom_cut` - the n-th smallest (hash, id) from counts of the hash's bits.
 """
 
 from __future__ import annotations
@@ -131,43 +133,114 @@ def previous_value(df: DataFrame, order: list[Column | str], col: str, name: str
     )
 
 
+def bottom_cut(df: DataFrame, id_col: str, h: Column, n: int) -> tuple[int, tuple | None, int]:
+    """Rows available, the n-th smallest (hash, id), and how many rows equal to it belong to the first n.
+
+    Two passes count the hash's upper 16 bits and the next 16 inside the bucket that n falls into; what is left,
+    about a 2^32-th of the distinct ids, is counted by (hash, id).  The cut is None if all rows belong.
+    """
+    d = df.select(F.col(id_col).alias("_id"), h.alias("_h"))
+
+    def step(rows: DataFrame, bits: Column, room: int) -> tuple[int, int, int]:
+        counts = sorted((r["b"], r["c"]) for r in rows.groupBy(bits.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect())  # 2^16 rows at most
+        total = sum(c for _, c in counts)
+        for b, c in counts:
+            if room <= c:
+                return total, b, room
+            room -= c
+        return total, 0, 0
+
+    total, top, room = step(d, F.shiftright("_h", 48), n)
+    if n >= total or n <= 0:
+        return total, None, 0
+    some = d.where(F.shiftright("_h", 48) == top)
+    low = F.shiftright("_h", 32).bitwiseAND(F.lit(0xFFFF))
+    _, second, room = step(some, low, room)
+    last = some.where(low == second).groupBy("_h", "_id").agg(F.count(F.lit(1)).alias("c")).orderBy("_h", "_id").limit(room).collect()
+    for r in last:
+        if room <= r["c"]:
+            return total, (r["_h"], r["_id"]), room
+        room -= r["c"]
+    raise RuntimeError("the input changed between passes")
+
+
 def exact_quantiles(df: DataFrame, value_col: str, qs: list[float], by: list[str] | None = None) -> DataFrame:
     """Linear-interpolated quantiles per group: columns ``by + [q_<i>] + [n]``.
 
     Without ``by`` there is one row even for no values (n = 0, NULL quantiles).
-    pos = q * (n - 1); value = v[floor] + (v[ceil] - v[floor]) * (pos - floor),
-    with ranks taken from :func:`global_row_index` over (by..., value).  Only
-    the rank rows that are needed are joined back (2 per quantile per group), by
-    a plain equi-join: there may be as many groups as rows.
+    pos = q * (n - 1); value = v[floor] + (v[ceil] - v[floor]) * (pos - floor).
+    The two ranks are selected, not sorted for: a sketch brackets each quantile
+    (``MARGIN`` to both sides, checked by exact counts), the bracket is cut into
+    ``CELLS`` buckets and counted, and only the values of the bucket that holds
+    the rank are put in order.  The value column is written once and scanned
+    three times; no exchange moves it.
     """
     by = by or []
-    d = df.select(*by, F.col(value_col).cast("double").alias("_x")).where(
-        F.col("_x").isNotNull() & ~F.isnan("_x")
-    )
-    # A per-row tiebreaker keeps a heavily repeated value from landing in one
-    # range partition; tied rows carry the same value, so quantiles are unchanged.
-    d = d.withColumn("_tb", F.monotonically_increasing_id())
-    idx = global_row_index(d, [*by, "_x", "_tb"], "_r")
-    counts = idx.groupBy(*by).agg(  # from the checkpointed index; a group's rows are consecutive
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.min("_r"), F.lit(0)).alias("_start"))
-    targets = counts.select(
-        *by, "n", "_start",
-        F.posexplode(F.array(*[F.lit(float(q)) for q in qs])).alias("_qi", "_q"),
-    ).withColumn("_pos", F.col("_q") * (F.col("n") - 1))
-    targets = targets.select(
-        *by, "n", "_qi",
-        (F.col("_start") + F.floor("_pos")).alias("_lo"),
-        (F.col("_start") + F.ceil("_pos")).alias("_hi"),
-        (F.col("_pos") - F.floor("_pos")).alias("_t"),
-    )
-    need = targets.select(F.col("_lo").alias("_r")).union(targets.select(F.col("_hi").alias("_r"))).distinct()
-    vals = idx.select("_r", "_x").join(need, "_r", "left_semi")
-    lo = vals.select(F.col("_r").alias("_lo"), F.col("_x").alias("_a"))
-    hi = vals.select(F.col("_r").alias("_hi"), F.col("_x").alias("_b"))
-    picked = (
-        targets.join(lo, "_lo", "left")
-        .join(hi, "_hi", "left")
-        .withColumn("_v", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_t"))
-    )
-    wide = picked.groupBy(*by, "n").pivot("_qi", list(range(len(qs)))).agg(F.first("_v"))
-    return wide.select(*by, "n", *[F.col(str(i)).alias(f"q_{i}") for i in range(len(qs))])
+    x = F.col("_x")
+    d = cut_lineage(df.select(*by, F.col(value_col).cast("double").alias("_x")).where(x.isNotNull() & ~F.isnan("_x")))
+    ends = [e for q in qs for e in (max(0.0, q - MARGIN / ACCURACY), min(1.0, q + MARGIN / ACCURACY))]
+    sketch = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
+                                F.percentile_approx("_x", ends, ACCURACY).alias("_ends"))
+    few = F.col("n") <= FEW
+
+    def bracket(i: int, q: float) -> Column:
+        a = F.col("_min") if ends[2 * i] <= 0 else F.when(few, F.col("_min")).otherwise(F.get("_ends", F.lit(2 * i)))
+        b = F.col("_max") if ends[2 * i + 1] >= 1 else F.when(few, F.col("_max")).otherwise(F.get("_ends", F.lit(2 * i + 1)))
+        pos = F.lit(float(q)) * (F.col("n") - 1)
+        return F.struct(F.lit(i).alias("i"), a.alias("a"), b.alias("b"), F.floor(pos).alias("lo"), F.ceil(pos).alias("hi"), (pos - F.floor(pos)).alias("t"))
+
+    targets = cut_lineage(sketch.select(*by, "n", "_min", "_max", F.array(*[bracket(i, q) for i, q in enumerate(qs)]).alias("_targets")))
+    found, whole = _selected(d, targets, by, len(qs))
+    if not whole:  # a bracket missed its rank: the whole range holds it
+        wide = F.transform("_targets", lambda t: t.withField("a", F.col("_min")).withField("b", F.col("_max")))
+        found, _ = _selected(d, targets.withColumn("_targets", wide), by, len(qs))
+    picked = found.groupBy(*by, "i").agg(F.max(F.when(F.col("side") == "lo", x)).alias("_a"), F.max(F.when(F.col("side") == "hi", x)).alias("_b"), F.max("t").alias("t"))
+    one = picked.select(*by, "i", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("t")).alias("_v"))
+    wide = one.groupBy(*by).agg(*[F.max(F.when(F.col("i") == i, F.col("_v"))).alias(f"q_{i}") for i in range(len(qs))])
+    cols = ["n", *[f"q_{i}" for i in range(len(qs))]]
+    if not by:  # one row each
+        return wide.withColumn("n", F.lit(targets.first()["n"])).select(*cols)
+    return _beside(targets.select(*by, "n"), wide, by).select(*by, *cols)
+
+
+ACCURACY, MARGIN = 10_000, 5  # of the sketch, whose ranks are off by n / ACCURACY at most
+FEW = 4096  # values that need no sketch
+CELLS = 1024
+
+
+def _beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Inner equi-join on group keys, null keys included."""
+    named = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], *[c for c in right.columns if c not in by])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)])
+    return left.join(named, same).drop(*[f"_k{i}" for i in range(len(by))])
+
+
+def _selected(d: DataFrame, targets: DataFrame, by: list[str], n_targets: int) -> tuple[DataFrame, bool]:
+    """(by, i, side, t, _x) of the ranks ``lo`` and ``hi`` of every target, and whether all brackets hold their ranks."""
+    x = F.col("_x")
+    if by:
+        marked = _beside(d, targets.select(*by, "_targets"), by)
+    else:  # one row of bounds
+        row = targets.first()
+        at = F.array(*[F.struct(*[F.lit(v).cast("double" if k in "abt" else "long").alias(k) for k, v in (r.asDict() if r else {}).items()]) for r in row["_targets"]])
+        marked = d.withColumn("_targets", at)
+    inside = marked.select(*by, "_x", F.explode(F.filter("_targets", lambda t: (F.col("_x") >= t["a"]) & (F.col("_x") <= t["b"]))).alias("_t"))
+    width = F.col("_t.b") - F.col("_t.a")
+    cell = F.when(width > 0, F.least(F.floor((x - F.col("_t.a")) / width * CELLS), F.lit(CELLS - 1))).otherwise(F.lit(0)).cast("int")
+    inside = inside.select(*by, F.col("_t.i").cast("int").alias("i"), cell.alias("cell"), "_x")
+    below = marked.groupBy(*by).agg(*[F.count_if(x < F.col("_targets")[i]["a"]).alias(f"_below{i}") for i in range(n_targets)])
+    below = below.select(*by, F.posexplode(F.array(*[f"_below{i}" for i in range(n_targets)])).alias("i", "_below"))
+    cells = inside.groupBy(*by, "i", "cell").agg(F.count(F.lit(1)).alias("c"))
+    run = Window.partitionBy(*by, "i").orderBy("cell")  # CELLS rows at most
+    cells = cells.withColumn("_to", F.sum("c").over(run))
+    ranks = targets.where("n > 0").select(*by, F.explode("_targets").alias("_t")).select(
+        *by, F.col("_t.i").cast("int").alias("i"), F.col("_t.t").alias("t"),
+        F.explode(F.array(F.struct(F.lit("lo").alias("side"), F.col("_t.lo").alias("r")), F.struct(F.lit("hi").alias("side"), F.col("_t.hi").alias("r")))).alias("_r"))
+    ranks = ranks.select(*by, "i", "t", "_r.side", "_r.r")
+    inner = F.col("r") - F.col("_below")
+    chosen = _beside(_beside(ranks, below, [*by, "i"]), cells, [*by, "i"]).where((inner >= F.col("_to") - F.col("c")) & (inner < F.col("_to")))
+    chosen = cut_lineage(chosen.select(*by, "i", "t", "side", "cell", (inner - (F.col("_to") - F.col("c"))).alias("r")))
+    values = _beside(inside, chosen, [*by, "i", "cell"]).groupBy(*by, "i", "side", "t", "r", "_x").agg(F.count(F.lit(1)).alias("c"))
+    values = values.withColumn("_to", F.sum("c").over(Window.partitionBy(*by, "i", "side").orderBy("_x")))
+    found = values.where((F.col("r") >= F.col("_to") - F.col("c")) & (F.col("r") < F.col("_to")))
+    return found.select(*by, "i", "side", "t", "_x"), chosen.count() == ranks.count()
