@@ -47,6 +47,13 @@ class ModelRegistry:
         schema = "name string, version long, model_type string, params string, created_at timestamp"
         self.spark.createDataFrame(row, schema).coalesce(1).write.mode("overwrite").parquet(self._path(name, version))
 
+    def save_all(self, name: str, model_type: str, made: list[tuple[int, dict]]) -> None:
+        """Several versions in one write; versions that are there already are replaced."""
+        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        rows = [(name, int(v), model_type, json.dumps(p), now) for v, p in made]
+        df = self.spark.createDataFrame(rows, "name string, version long, model_type string, params string, created_at timestamp")
+        df.coalesce(1).write.partitionBy("version").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self._path(name))
+
     def versions(self, name: str) -> list[int]:
         df = read_or_none(self.spark, self._path(name), "name string, version long")
         if df is None:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskflow.contract import FEATURES_V1
 from riskflow.models.demo import demo_models
 from riskflow.operators.events import sink_records
+from riskflow.session import cut_lineage
 from riskflow.sources import adapters
 from riskflow.sources.tables import table
 from riskflow.streaming import jobs
@@ -62,11 +64,10 @@ def q_feedback_stream_loop(spark, sf_dir):
     from riskflow.streaming.feedback_loop import FeedbackLoop
 
     out, ckpt = jobs.stream_location(spark, "feedback-loop")
-    holdout = feats(spark, sf_dir).cache()
+    holdout = cut_lineage(feats(spark, sf_dir).select(*FEATURES_V1, "isFraud"))  # read once a window of updates
     loop = FeedbackLoop(spark, holdout, out, ModelRegistry(spark, out + "/registry"))
     src = adapters.feedback_text(jobs.event_source(spark, sf_dir))
     loop.run_stream(src.select("event_id", "raw"), ckpt)
-    holdout.unpersist()
     return loop.summary()
 
 

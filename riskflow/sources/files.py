@@ -62,15 +62,13 @@ def publish_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)
 
 
-def append_signal(spark: SparkSession, path: str, model_type: str, model_path: str, update_count: int,
-                  batch_size: int) -> DataFrame:
-    """One model-update signal row, ``updated_at`` set by the engine.
+def append_signals(spark: SparkSession, path: str, signals: list[tuple[str, str, int, int]]) -> DataFrame:
+    """One row a model update (model type, path, update count, batch size), ``updated_at`` set by the engine.
 
-    ``path`` is the folder of this update, so a retried update replaces its own signal.
+    ``path`` is the folder of these updates, so a retry replaces its own signals.
     """
-    row = spark.createDataFrame([(model_type, model_path, int(update_count), int(batch_size))],
-                                "model_type string, model_path string, online_update_count long, batch_size int")
-    sig = row.withColumn("updated_at", F.current_timestamp())
+    rows = spark.createDataFrame(signals, "model_type string, model_path string, online_update_count long, batch_size int")
+    sig = rows.withColumn("updated_at", F.current_timestamp())
     sig.select(*[f.name for f in SIGNAL_SCHEMA.fields]).coalesce(1).write.mode("overwrite").parquet(path)
     return sig
 

@@ -7,32 +7,33 @@ Per micro-batch (``foreachBatch``):
   3. each full batch of ``batch_size`` rows is one update (M12) of the live
      logistic model; the candidate is evaluated on the holdout (M9/M10)
      before it goes live (M11) - a failing candidate never becomes live, so
-     the rollback is "the pointer stays"; each update emits a signal (S9);
+     the rollback is "the pointer stays"; each update emits a signal (S9).
+     Updates are computed and judged by windows (``update_chain``);
   4. the remainder is written as the new pending table; at the end of the
      stream it is one last update.
 Loop state (live version, update count) is stored per batch id next to the
 pending rows, so a retried batch recomputes from the previous batch's state
 (idempotent under at-least-once ``foreachBatch``); nothing buffered is lost
-on a crash.  Updates are sequential by nature (each starts from the model
-the previous one produced); each is a distributed aggregation.
+on a crash.
 """
 
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.streaming.jobs import await_end
 from riskflow.contract import FEATURES_V1, ONLINE_BATCH_SIZE, PROMOTION_MIN
-from riskflow.models.base import feature_refs
 from riskflow.models.fixed import FIXED_LOGIT
 from riskflow.models.params import LogitParams
 from riskflow.models.registry import ModelRegistry, read_or_none
-from riskflow.operators import evaluate as EV
 from riskflow.operators import feedback as FB
-from riskflow.sources.files import append_signal, publish_json
+from riskflow.session import cut_lineage
+from riskflow.sources.files import append_signals, publish_json
+from riskflow.streaming.update_chain import packed_batches, passes, run_chain
 
 PENDING_SCHEMA = "event_id long, y int, " + ", ".join(f"{c} double" for c in FEATURES_V1)
 
@@ -109,9 +110,9 @@ class FeedbackLoop:
             rows = rows.unionByName(acc.where("accepted").select(
                 F.col("event_id").cast("long"), F.col("y").cast("int"), *[F.col(c).cast("double") for c in FEATURES_V1]))
         if whole:
-            numbered = rows.withColumn("batch_no", F.lit(0).cast("long")).cache()
+            numbered = cut_lineage(rows.withColumn("batch_no", F.lit(0).cast("long")))
         else:
-            numbered = FB.cut_batches(rows, "event_id", self.batch_size).cache()
+            numbered = FB.cut_batches(rows, "event_id", self.batch_size)  # reads a checkpoint
         n = numbered.count()
         if whole:
             n_updates = int(n > 0 and (force_flush or n >= self.batch_size))
@@ -119,30 +120,24 @@ class FeedbackLoop:
             n_updates = -(-n // self.batch_size) if force_flush else n // self.batch_size
         stats = {"updates": 0, "passed": 0, "failed": 0}
         update_count, last_size = int(prev["update_count"]), int(prev["last_batch_size"])
-        for b in range(n_updates):
-            g = FB.gradient_step(numbered.where(F.col("batch_no") == b), live.weights, live.bias).first()
-            cand = LogitParams([w - self.lr * g[f"grad_{i}"] for i, w in enumerate(live.weights)],
-                               live.bias - self.lr * g["grad_bias"], version=live.version + 1)
-            m = EV.holdout_evaluation(self.holdout.withColumn("_s", F.expr(cand.sql(feature_refs()))),
-                                      "_s", "isFraud").first()
-            ok = (m["precision_at_0_5"] >= self.minimums["precision"] and m["recall_at_0_5"] >= self.minimums["recall"]
-                  and m["pr_auc"] >= self.minimums["pr_auc"])
-            stats["updates"] += 1
-            last_size = int(g["n"])
-            append_signal(self.spark, f"{self._part('signals', batch_id, step)}/update={b}", "logistic",
-                          f"{self.registry.root}/{self.model_name}", update_count + 1, last_size)
-            if ok:
-                update_count += 1
-                stats["passed"] += 1
-                self.registry.save(self.model_name, cand.version, "logistic",
-                                   {"weights": cand.weights, "bias": cand.bias, "online_update_count": update_count})
-                self.registry.set_live(self.model_name, cand.version)
-                live = cand
-            else:
-                stats["failed"] += 1
+        for window in self._updates(numbered, n_updates, live, whole):
+            signals, made = [], []
+            for _, size, cand, ok in window:
+                signals.append(("logistic", f"{self.registry.root}/{self.model_name}", update_count + 1, size))
+                last_size = size
+                if ok:
+                    update_count += 1
+                    live = cand
+                    made.append((cand.version, {"weights": cand.weights, "bias": cand.bias, "online_update_count": update_count}))
+            append_signals(self.spark, f"{self._part('signals', batch_id, step)}/update={window[0][0]}", signals)
+            if made:
+                self.registry.save_all(self.model_name, "logistic", made)
+                self.registry.set_live(self.model_name, live.version)
+            stats["updates"] += len(window)
+            stats["passed"] += len(made)
+            stats["failed"] += len(window) - len(made)
         remainder = numbered.where(F.col("batch_no") >= n_updates).drop("batch_no")
         remainder.write.mode("overwrite").parquet(self._part("pending", batch_id, step))
-        numbered.unpersist()
         state = {
             "live": json.dumps({"weights": live.weights, "bias": live.bias, "version": live.version}),
             "update_count": update_count,
@@ -157,6 +152,19 @@ class FeedbackLoop:
             .write.mode("overwrite").parquet(self._part("state", batch_id, step))
         return state | {"batch_id": batch_id, "step": step}
 
+    def _updates(self, numbered: DataFrame, n_updates: int, live: LogitParams, whole: bool):
+        """Windows of (batch_no, rows, candidate, passed)."""
+        if not n_updates:
+            return
+        if whole:  # one update from all rows: a distributed aggregation
+            g = FB.gradient_step(numbered, live.weights, live.bias).first()
+            cand = LogitParams([w - self.lr * g[f"grad_{i}"] for i, w in enumerate(live.weights)],
+                               live.bias - self.lr * g["grad_bias"], version=live.version + 1)
+            yield [(0, int(g["n"]), cand, passes(self.holdout, [cand], self.minimums)[0])]
+        else:
+            packed = packed_batches(numbered.where(F.col("batch_no") < n_updates))
+            yield from run_chain(packed, n_updates, live, self.lr, self.holdout, self.minimums)
+
     def summary(self) -> DataFrame:
         """messages_seen, accepted, skipped, updates, promotion_passed/failed, rollbacks (latest state)."""
         st = self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.state_dir}/state")
@@ -170,14 +178,56 @@ class FeedbackLoop:
         )
 
     def run_stream(self, feedback_stream: DataFrame, checkpoint: str, timeout_s: int | None = None,
-                   force_flush: bool = True) -> None:
-        """T5: every micro-batch, then (by default) an update from the remainder."""
-        q = (feedback_stream.writeStream.foreachBatch(lambda df, bid: self.process(df, bid))
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-        await_end(q, timeout_s)
+                   force_flush: bool = True, max_messages: int | None = None, max_idle_polls: int | None = None,
+                   poll_s: float = 1.0) -> None:
+        """T5: every micro-batch, then (by default) an update from the remainder.
+
+        Without limits the stream runs to the end of what is there.  With ``max_messages`` or ``max_idle_polls`` it
+        goes on polling every ``poll_s`` seconds, and stops behind the micro-batch that reaches the messages, or
+        after so many polls in a row without input; what it has not read stays for the next run.
+        """
+        for name, v in (("max_messages", max_messages), ("max_idle_polls", max_idle_polls), ("poll_s", poll_s)):
+            if v is not None and v <= 0:
+                raise ValueError(f"{name} must be > 0")
+        seen = {"messages": 0, "batches": 0}
+
+        def batch(df: DataFrame, batch_id: int) -> None:
+            if max_messages is not None and seen["messages"] >= max_messages:
+                raise _Enough  # not processed: its offsets are not committed
+            before = self._state(batch_id)["messages"]
+            seen["messages"] += self.process(df, batch_id)["messages"] - before
+            seen["batches"] += 1
+
+        writer = feedback_stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+        if max_messages is None and max_idle_polls is None:
+            await_end(writer.trigger(availableNow=True).start(), timeout_s)
+        else:
+            self._poll(writer.trigger(processingTime=f"{poll_s} seconds").start(), seen, max_messages, max_idle_polls, poll_s, timeout_s)
         if force_flush:
             self.flush()
 
+    @staticmethod
+    def _poll(q, seen: dict, max_messages: int | None, max_idle_polls: int | None, poll_s: float, timeout_s: int | None) -> None:
+        idle, last, began = 0, 0, time.monotonic()
+        try:
+            while q.isActive:
+                time.sleep(poll_s)
+                enough = max_messages is not None and seen["messages"] >= max_messages
+                busy = seen["batches"] > last or q.status["isTriggerActive"] or q.status["isDataAvailable"]
+                idle, last = 0 if busy else idle + 1, seen["batches"]
+                if enough or (max_idle_polls is not None and idle >= max_idle_polls):
+                    break
+                if timeout_s is not None and time.monotonic() - began > timeout_s:
+                    raise TimeoutError(f"no limit was reached in {timeout_s} s")
+        finally:
+            q.stop()
+        if q.exception() is not None and _Enough.__name__ not in str(q.exception()):
+            raise RuntimeError(str(q.exception()))
+
+
+class _Enough(Exception):
+    """The stream has more input than it may read."""
+
 
 def run_updater_once(loop: FeedbackLoop, feedback: DataFrame, force_flush: bool = True) -> DataFrame:
     """One update from everything given, continuing from the saved state, then the summary."""
