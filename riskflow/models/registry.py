@@ -1,17 +1,22 @@
 """Model parameter tables (S11), presence checks (S12) and the training-run log.
 
 Parameters are small (weights, node arrays) and are stored as one-row (or
-node-row) Parquet tables under ``<root>/<name>/version=<n>``; a pointer table
-``<root>/<name>/_live`` names the live version (M11: promotion moves the
-pointer, a rollback leaves it).  Everything is written with Spark, so the
-root can be any shared filesystem the cluster sees.
+node-row) Parquet tables under ``<root>/<name>/version=<n>``.  Which versions are
+live is in a commit log, ``<root>/_live/<n>.json`` (M11: promotion adds an entry,
+a rollback adds none): an entry is a file that is moved into place and holds the
+live version of every model, so all members of a model set move at once, and
+an entry whose number is taken is made again from the newer state, so of two
+writers neither loses its change.  The root can be any shared filesystem the
+cluster sees.
 """
 
 from __future__ import annotations
 
 import json
 import datetime as dt
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,20 +73,61 @@ class ModelRegistry:
         return {"name": name, "version": v, "model_type": r["model_type"], "params": json.loads(r["params"])}
 
     def set_live(self, name: str, version: int) -> None:
-        """Point to ``version``: a new entry of the pointer table, so a failed write leaves the former one."""
-        pointers = self._pointers(name)
-        last = None if pointers is None else pointers.agg(F.max("seq")).first()[0]
-        self.spark.createDataFrame([(int(version),)], "live long").coalesce(1) \
-            .write.mode("overwrite").parquet(f"{self.root}/{name}/_live/seq={0 if last is None else last + 1}")
-
-    def _pointers(self, name: str) -> DataFrame | None:
-        return read_or_none(self.spark, f"{self.root}/{name}/_live", "live long, seq long")
+        self.set_live_all({name: version})
+
+    def set_live_all(self, versions: dict[str, int]) -> None:
+        """Make these versions live in one entry of the commit log."""
+        while True:
+            seq, live = self._last_entry()
+            if self._commit(seq + 1, live | {k: int(v) for k, v in versions.items()}):
+                return
+
+    def _folder(self):
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_live")
+        return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _last_entry(self) -> tuple[int, dict[str, int]]:
+        """Number and content of the newest entry; -1 and nothing before the first."""
+        jvm, fs, path = self._folder()
+        if not fs.exists(path):
+            return -1, {}
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        last = max((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith(".")), default=-1)
+        if last < 0:
+            return -1, {}
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(path, f"{last}.json"))
+        try:
+            return last, json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _commit(self, seq: int, live: dict[str, int]) -> bool:
+        """Write entry ``seq`` whole, or find that it is taken."""
+        jvm, fs, path = self._folder()
+        fs.mkdirs(path)
+        draft = jvm.org.apache.hadoop.fs.Path(path, f".{uuid.uuid4().hex}.tmp")
+        out = fs.create(draft, False)
+        try:
+            out.write(bytearray(json.dumps(live, sort_keys=True).encode()))
+        finally:
+            out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        qualified = lambda p: fs.makeQualified(p)
+        try:
+            context.rename(qualified(draft), qualified(jvm.org.apache.hadoop.fs.Path(path, f"{seq}.json")), none)  # fails if the entry is there
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            fs.delete(draft, False)
+            return False
 
     def live_version(self, name: str) -> int | None:
-        pointers = self._pointers(name)
-        r = None if pointers is None else pointers.orderBy(F.col("seq").desc()).first()
-        if r is not None:
-            return int(r["live"])
+        live = self._last_entry()[1].get(name)
+        if live is not None:
+            return live
         vs = self.versions(name)
         return vs[-1] if vs else None
 
@@ -130,8 +176,7 @@ def save_model_set(reg: ModelRegistry, version: int, forest, net, logit) -> None
     reg.save("autoencoder", version, "autoencoder",
              {"mins": net.mins, "maxs": net.maxs, "layers": net.layers, "threshold": net.threshold})
     reg.save("logit", version, "logistic", {"weights": logit.weights, "bias": logit.bias})
-    for name in ("isolation_forest", "autoencoder", "logit"):
-        reg.set_live(name, version)
+    reg.set_live_all({name: version for name in ("isolation_forest", "autoencoder", "logit")})
 
 
 def load_model_set(reg: ModelRegistry):

@@ -101,7 +101,7 @@ def oracle() -> dict[str, str]:
     grads = ", ".join(
         f"round(avg((p - y) * CAST({n} AS DOUBLE)) + {1e-4 * wi!r}, 6) AS grad_{i}" for i, (n, wi) in enumerate(zip(FEATURES_V1, w))
     )
-    return {
+    out = {
         "feedback_request_validation": with_views(
             ["feedback_text"], [FB_PARSED, VALIDATED], "SELECT event_id, anomaly_id, status, error FROM fbv"),
         "feedback_accept": with_views(["feedback_text"], [FB_PARSED, ACCEPT], f"""
@@ -123,3 +123,5 @@ SELECT batch_no, count(*) AS n,
   round(avg(p - y), 6) AS grad_bias, {grads}
 FROM (SELECT *, 1.0 / (1.0 + exp(-({z}))) AS p FROM fbb) z GROUP BY batch_no"""),
     }
+    # feedback carries the time of its event, which is in reach of the time range
+    return out | {"feedback_stream_join": out["feedback_join"]}

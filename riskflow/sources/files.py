@@ -1,8 +1,8 @@
 """File sources and sinks.
 
-* S1  transaction CSV with a header, explicit schema (no inference); the header
-      is read first so missing columns are reported (V9) before any job, and
-      a file with another header fails the read.
+* S1  transaction CSV with a header, explicit schema (no inference); the headers
+      are read first so missing columns are reported (V9) before the data is read;
+      files are read by the names in their own headers.
 * S4  feedback JSON lines: blank lines skipped; lines that do not decode to an
       object go to the dead letter with their error.
 * S8  feedback publish: ``to_json(struct(*))`` lines.
@@ -12,6 +12,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,16 +28,31 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
+def _headers(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files of a folder, grouped by their header line."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("line"))
+    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    groups = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    return [[unquote(f) for f in g["files"]] for g in groups]
+
+
 def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV -> typed transaction table; columns absent from the file stay absent.
+    """Header CSV -> typed transaction table, columns by name; columns absent from all files stay absent.
 
-    Every file's header is compared with the schema: one with other columns or
-    another order raises instead of being read by position.
+    Files with equal headers are one scan; scans of different headers (another order, more or fewer columns) are
+    joined by column name, and a column that a file lacks is null for its rows.
     """
-    header = csv_header(spark, path)
+    groups = _headers(spark, path)
     fields = {f.name: f for f in TXN_SCHEMA.fields}
-    schema = T.StructType([fields.get(c, T.StructField(c, T.StringType())) for c in header])
-    return spark.read.option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE").schema(schema).csv(path)
+
+    def scan(files: str | list[str]) -> DataFrame:
+        header = csv_header(spark, files if isinstance(files, str) else files[0])
+        schema = T.StructType([fields.get(c, T.StructField(c, T.StringType())) for c in header])
+        return spark.read.option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE").schema(schema).csv(files)
+
+    if len(groups) <= 1:
+        return scan(path)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(scan, groups))
 
 
 def missing_columns(df: DataFrame) -> list[str]:

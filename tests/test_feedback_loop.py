@@ -91,14 +91,32 @@ def test_live_pointer_moves_back_and_forth(spark, tmp_path):
     assert reg.versions("nothing") == []
 
 
-def test_csv_files_with_other_headers_fail(spark, tmp_path):
-    import pytest
-
-    (tmp_path / "a.csv").write_text('"step","type",amount\n1,DEBIT,2.5\n')
-    assert read_transactions_csv(spark, str(tmp_path)).columns == ["step", "type", "amount"]
-    (tmp_path / "b.csv").write_text("amount,type,step\n7.0,DEBIT,2\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        read_transactions_csv(spark, str(tmp_path)).collect()
+def test_two_writers_of_the_pointer_lose_no_change(spark, tmp_path):
+    a, b = ModelRegistry(spark, str(tmp_path)), ModelRegistry(spark, str(tmp_path))
+    a.set_live_all({"forest": 1, "net": 1, "logit": 1})
+    seen = a._last_entry()
+    b.set_live("logit", 2)  # between a's read and its write
+    assert not a._commit(seen[0] + 1, seen[1] | {"forest": 3})  # the entry is taken
+    a.set_live("forest", 3)
+    assert [r.live_version(n) for r in (a, b) for n in ("forest", "net", "logit")] == [3, 1, 2] * 2
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: ModelRegistry(spark, str(tmp_path)).live_version("net"), range(8)))
+    assert [p.name for p in (tmp_path / "_live").iterdir() if p.name.endswith(".tmp")] == []
+
+
+def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
+    folder = tmp_path / "some files"
+    folder.mkdir()
+    (folder / "a.csv").write_text('"step","type",amount\n1,DEBIT,2.5\n2,DEBIT,3.5\n')
+    assert read_transactions_csv(spark, str(folder)).columns == ["step", "type", "amount"]
+    (folder / "b.csv").write_text("amount,type,step\n7.0,TRANSFER,3\n")
+    (folder / "c.csv").write_text("amount,step,isFraud,extra\n8.0,4,1,x\n")
+    t = read_transactions_csv(spark, str(folder))
+    got = {r["step"]: (r["type"], r["amount"], r["isFraud"], r["extra"]) for r in t.collect()}
+    assert got == {1: ("DEBIT", 2.5, None, None), 2: ("DEBIT", 3.5, None, None), 3: ("TRANSFER", 7.0, None, None), 4: (None, 8.0, 1, "x")}
+    assert t.schema["step"].dataType.typeName() == "integer"
 
 
 def test_jsonl_and_csv_sources_and_publish(spark):

@@ -141,3 +141,24 @@ def test_explicit_stream_limit_raises(spark, tmp_path):
         run_available_now(stream, str(tmp_path / "out"), str(tmp_path / "ck"), timeout_s=0.001)
     run_available_now(stream, str(tmp_path / "out2"), str(tmp_path / "ck2"))
     assert spark.read.parquet(str(tmp_path / "out2")).count() == 20
+
+
+def test_stream_join_counts_feedback_without_an_anomaly(spark, tmp_path):
+    from riskflow.streaming.feedback_join import join_streams
+
+    day = "2025-07-03 "
+
+    def run(step, anomalies, feedback):
+        for name, rows, schema in (("a", anomalies, "event_id long, t string, score double"), ("f", feedback, "anomaly_id string, t string, label string")):
+            spark.createDataFrame(rows, schema).selectExpr("*", "cast(t as timestamp) as at").drop("t").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        a = spark.readStream.schema("event_id long, score double, at timestamp").parquet(str(tmp_path / "a")).withColumnRenamed("at", "event_time")
+        f = spark.readStream.schema("anomaly_id string, label string, at timestamp").parquet(str(tmp_path / "f")).withColumnRenamed("at", "received_at")
+        jobs.run_available_now(join_streams(a, f, within="2 hours", unmatched=True), str(tmp_path / "out"), str(tmp_path / "ck"))
+
+    run(0, [(1, day + "10:00", 0.9), (2, day + "10:30", 0.8)], [("1", day + "10:05", "tp"), ("7", day + "10:10", "none")])
+    run(1, [(3, day + "13:30", 0.7)], [("2", day + "12:20", "fp"), ("3", day + "13:20", "early"), ("1", day + "12:30", "over")])
+    run(2, [(4, day + "20:00", 0.6)], [("4", day + "20:00", "tp")])
+    run(3, [(5, day + "23:00", 0.6)], [("5", day + "23:30", "tp")])
+    got = {(r["label"], r["anomaly_id"]): (r["matched"], r["event_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("tp", "1"): (True, 1), ("fp", "2"): (True, 2), ("tp", "4"): (True, 4), ("tp", "5"): (True, 5),
+                   ("none", "7"): (False, None), ("early", "3"): (False, None), ("over", "1"): (False, None)}
