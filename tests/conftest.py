@@ -16,3 +16,22 @@ def spark():
 
 
 SF_SMALL = "/root/testdata/sf0.001"
+
+
+#: A valid event of the tests' own; vary it with ``event(...)``.
+EVENT = {
+    "event_id": "p-204",
+    "timestamp": "2025-07-03T11:20:05Z",
+    "user_id": "U77",
+    "type": "TRANSFER",
+    "amount": 61.5,
+    "old_balance_orig": 80.0,
+    "new_balance_orig": 18.5,
+}
+
+
+def event(**changes):
+    """The valid event as JSON text with some members changed."""
+    import json
+
+    return json.dumps(EVENT | changes)

@@ -3,19 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import EVENT as BASE
 from riskflow.operators.events import parse_events, parse_route
 
-BASE = {
-    "event_id": "p-204",
-    "timestamp": "2025-07-03T11:20:05Z",
-    "user_id": "U77",
-    "type": "TRANSFER",
-    "amount": 61.5,
-    "old_balance_orig": 80.0,
-    "new_balance_orig": 18.5,
-}
-
-
 def _parse(spark, payloads):
     df = spark.createDataFrame([(i, p) for i, p in enumerate(payloads)], "i long, raw string")
     return {r["i"]: r for r in parse_events(df).collect()}

@@ -1,81 +1,74 @@
-import json
+"""Stream features and routing on generated events, against the formulas in plain Python."""
+
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from riskflow.functions.features import normalize_weights
+from conftest import event
+from riskflow.functions.features import feature_columns, normalize_weights
 from riskflow.models.demo import demo_models
 from riskflow.operators.events import route_events
 from riskflow.operators.scoring import route_topic
 
-BASE = {
-    "event_id": "e1",
-    "timestamp": "2026-02-16T23:45:00Z",
-    "user_id": "C1",
-    "type": "TRANSFER",
-    "amount": 100.0,
-    "old_balance_orig": 500.0,
-    "new_balance_orig": 400.0,
-}
-
-
-def _route(spark, payloads, models=None, velocity=1):
-    df = spark.createDataFrame([(i, p) for i, p in enumerate(payloads)], "i long, raw string")
-    return {r["i"]: r for r in route_events(df, models, velocity=velocity).collect()}
+TYPES = ["PAYMENT", "TRANSFER", "CASH-OUT", "DEBIT", "CASH-IN"]
 
 
-def test_extract_features(spark):
-    r = _route(spark, [json.dumps(BASE)], velocity=3)[0]
-    assert r["topic"] == "feature-events"
-    assert r["amount_ratio"] == pytest.approx(100.0 / 501.0)
-    assert r["balance_diff_orig"] == 0.0
-    assert (r["is_transfer"], r["is_cashout"], r["hour_of_day"], r["txn_velocity_1h"]) == (1, 0, 23, 3)
+def routed(spark, payloads, models=None, **how):
+    df = spark.createDataFrame(list(enumerate(payloads)), "i long, raw string")
+    return [r for _, r in sorted((r["i"], r) for r in route_events(df, models, **how).collect())]
 
 
-def test_hour_is_local_to_offset_and_date_only(spark):
-    rows = _route(spark, [json.dumps({**BASE, "timestamp": "2026-02-16T23:45:00+05:00"}),
-                          json.dumps({**BASE, "timestamp": "2026-02-16"})])
-    assert rows[0]["hour_of_day"] == 23
-    assert rows[1]["hour_of_day"] == 0
+def generated(n):
+    rnd = random.Random(20)
+    for _ in range(n):
+        yield {
+            "type": rnd.choice(TYPES), "amount": round(rnd.expovariate(1 / 300), 2), "old_balance_orig": round(rnd.uniform(0, 900), 2),
+            "new_balance_orig": round(rnd.uniform(0, 900), 2), "timestamp": f"2025-0{rnd.randint(1, 9)}-1{rnd.randint(0, 9)}T{rnd.randint(0, 23):02d}:{rnd.randint(0, 59):02d}:07" + rnd.choice(["Z", "+05:30", "-08:00", ""]),
+        }
 
 
-def test_unparsable_timestamp_goes_to_dead_letter(spark):
-    r = _route(spark, [json.dumps({**BASE, "timestamp": "not-a-date"})])[0]
-    assert r["topic"] == "dead-letter"
-    assert r["error"] == "Invalid isoformat string: 'not-a-date'"
+@pytest.mark.parametrize("velocity", [1, 4])
+def test_features_of_generated_events(spark, velocity):
+    events = list(generated(60))
+    for e, r in zip(events, routed(spark, [event(**e) for e in events], velocity=velocity), strict=True):
+        assert (r["topic"], r["error"]) == ("feature-events", None)
+        assert r["amount_ratio"] == pytest.approx(e["amount"] / (e["old_balance_orig"] + 1))
+        assert r["balance_diff_orig"] == pytest.approx(e["old_balance_orig"] - e["new_balance_orig"] - e["amount"], abs=1e-9)
+        # the hour is read as written, whatever the offset
+        assert (r["is_transfer"], r["is_cashout"], r["hour_of_day"], r["txn_velocity_1h"]) == (
+            int(e["type"] == "TRANSFER"), int(e["type"] == "CASH-OUT"), int(e["timestamp"][11:13]), velocity)
 
 
-def test_cashout_both_spellings_in_features(spark):
-    df = spark.createDataFrame([("CASH-OUT",), ("CASH_OUT",), ("PAYMENT",)], "t string")
-    from riskflow.functions.features import feature_columns
-    cols = feature_columns(F.lit(1.0), F.lit(1.0), F.lit(0.0), F.col("t"), F.lit(0), F.lit(1))
-    out = [r["is_cashout"] for r in df.select(*cols).collect()]
-    assert out == [1, 1, 0]
+def test_a_date_is_midnight_and_other_text_a_dead_letter(spark):
+    date, text = routed(spark, [event(timestamp="2025-11-30"), event(timestamp="half past nine")])
+    assert (date["hour_of_day"], date["error"]) == (0, None)
+    assert (text["topic"], text["error"], text["amount_ratio"]) == ("dead-letter", "Invalid isoformat string: 'half past nine'", None)
 
 
-def test_demo_ensemble_routes_three_ways(spark):
-    high = {**BASE, "amount": 900.0, "old_balance_orig": 1000.0, "new_balance_orig": 100.0}
-    low = {**BASE, "event_id": "e2", "type": "PAYMENT", "amount": 20.0}
-    rows = _route(spark, [json.dumps(high), json.dumps(low), "{bad json}"], demo_models())
-    assert rows[0]["topic"] == "anomalies"
-    assert rows[1]["topic"] == "metrics"
-    assert rows[2]["topic"] == "dead-letter"
+def test_spellings_of_cash_out(spark):
+    df = spark.createDataFrame([(t,) for t in ("CASH_OUT", "DEBIT", "CASH-OUT", "cash-out", None)], "t string")
+    flag = next(c for c in feature_columns(F.lit(7.0), F.lit(2.0), F.lit(0.0), F.col("t"), F.lit(13), F.lit(2)) if "is_cashout" in str(c))
+    assert [bool(r[0]) for r in df.select(flag).collect()] == [True, False, True, False, False]
 
 
-def test_weights_normalised_and_checked():
-    assert normalize_weights((4, 3, 3)) == pytest.approx((0.4, 0.3, 0.3))
-    with pytest.raises(ValueError):
-        normalize_weights((0, 0, 0))
+def test_topics_follow_the_ensemble(spark):
+    payloads = [event(**e) for e in generated(40)] + ["[]", event(timestamp="soon")]
+    for r in routed(spark, payloads, demo_models(), threshold=0.4):
+        want = "dead-letter" if r["error"] is not None else "anomalies" if r["ensemble_score"] >= 0.4 else "metrics"
+        assert r["topic"] == want
+    assert {r["topic"] for r in routed(spark, payloads, demo_models(), threshold=0.4)} == {"anomalies", "metrics", "dead-letter"}
 
 
-def test_ensemble_value(spark):
-    df = spark.createDataFrame([(0.5, 0.5, 0.8)], "a double, b double, c double")
-    w = normalize_weights((4, 3, 3))
-    v = df.select((F.lit(w[0]) * F.col("a") + F.lit(w[1]) * F.col("b") + F.lit(w[2]) * F.col("c")).alias("e")).first()[0]
-    assert v == pytest.approx(0.59)
+def test_weights_add_up_to_one():
+    for w in ((1, 1, 2), (0.2, 0.7, 0.1), (30, 0, 10)):
+        assert normalize_weights(w) == pytest.approx(tuple(x / sum(w) for x in w))
+    for w in ((0, 0, 0), (1, -2, 0)):
+        with pytest.raises(ValueError):
+            normalize_weights(w)
 
 
-def test_route_threshold_equal_and_nan(spark):
-    df = spark.createDataFrame([(0.5,), (0.49,), (float("nan"),)], "s double")
-    out = [r[0] for r in df.select(route_topic(F.col("s"), 0.5)).collect()]
-    assert out == ["anomalies", "metrics", "metrics"]
+@pytest.mark.parametrize("threshold", [0.25, 0.9])
+def test_a_score_at_the_threshold_is_an_anomaly_and_nan_is_none(spark, threshold):
+    df = spark.createDataFrame([(threshold + d,) for d in (0.0, -1e-9, 1e-9)] + [(float("nan"),)], "s double")
+    assert [r[0] for r in df.select(route_topic(F.col("s"), threshold)).collect()] == ["anomalies", "metrics", "anomalies", "metrics"]
