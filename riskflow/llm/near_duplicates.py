@@ -41,6 +41,7 @@ WORDS = 4
 PERCENT = 80
 _U = np.uint64
 _EMPTY = _U((1 << 64) - 1)
+_BLOCK = (1 << 20) - 2
 
 
 def shingles(b: Block, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +112,7 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, th (hash of the text), n (set size), s1 and s2 (hashes of the set) and bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
+        for b in blocks(batches, limit=_BLOCK):
             key, doc = shingles(b, width)
             n = np.bincount(doc, minlength=b.n)
             keys = bands(sketch(key, doc, b.n))
@@ -127,7 +128,7 @@ def _sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """id and set (array of shingle hashes) of each class, from one row with its representative text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
+        for b in blocks(batches, limit=_BLOCK):
             key, doc = shingles(b, width)
             at = np.searchsorted(doc, np.arange(b.n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.cols["id"], pa.ListArray.from_arrays(pa.array(at), pa.array(key.view(np.int64)))], ["id", "set"])
@@ -209,10 +210,10 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataF
     """One document of each group, that with the least doc_id, all columns.
 
     Rows of one doc_id with unequal shingle sets are documents of their own and stay or go each by its own text; rows of
-    one doc_id and set stay one, that with the least text.  Rows without a doc_id stay.
+    one doc_id and set stay one, that with the least hash of its text.  Rows without a doc_id stay.
     """
-    th, s1, s2, at = (f"{c}_{uuid.uuid4().hex}" for c in ("th", "s1", "s2", "at"))  # no columns of the input
-    kept = _linked(docs, width, percent).where("kept and doc_id is not null").select("doc_id", F.col("th").alias(th), F.col("s1").alias(s1), F.col("s2").alias(s2)).distinct()
-    named = docs.where("doc_id is not null").withColumn(th, F.xxhash64("text")).join(kept, ["doc_id", th])
-    named = named.withColumn(at, F.row_number().over(W.partitionBy("doc_id", s1, s2).orderBy("text", th))).where(F.col(at) == 1)
+    th = f"th_{uuid.uuid4().hex}"  # no column of the input
+    kept = _linked(docs, width, percent).where("kept and doc_id is not null")
+    kept = kept.groupBy("doc_id", "s1", "s2").agg(F.min("th").alias(th)).select("doc_id", th)
+    named = docs.where("doc_id is not null").withColumn(th, F.xxhash64("text")).join(kept, ["doc_id", th]).dropDuplicates(["doc_id", th])
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
