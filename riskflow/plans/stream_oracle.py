@@ -30,7 +30,42 @@ velocities AS (
   FROM judged WHERE NOT late
 )"""
     b = ONLINE_BATCH_SIZE
+    # messages are sent on the day of their id's last digit, and read from the third day on
+    sent = f"""
+routed_messages AS (
+  SELECT event_id, event_id * {PIECES} // (SELECT max(event_id) + 1 FROM events) AS batch_id, event_id % 50 = 19 AS bytes_replaced,
+    CASE WHEN event_id % 50 = 19 THEN 'Invalid JSON payload' ELSE error END AS error,
+    CASE WHEN event_id % 50 = 19 OR error IS NOT NULL THEN 'payments-refused'
+         WHEN ensemble_score >= 0.6 THEN 'payments-alerts' ELSE 'payments-passed' END AS topic
+  FROM scored WHERE event_id % 10 >= 2
+),
+batch_counts AS (
+  SELECT batch_id, count(*) AS stream_events_in_total, 0 AS stream_events_valid_total,
+    count(*) FILTER (WHERE topic = 'payments-alerts') AS stream_events_anomaly_total,
+    count(*) FILTER (WHERE topic = 'payments-passed') AS stream_events_normal_total,
+    count(*) FILTER (WHERE topic = 'payments-refused') AS stream_events_dlq_total
+  FROM routed_messages GROUP BY batch_id
+)"""
+    scored = [events_oracle.PARSED, events_oracle.FEATURES_CTE, events_oracle._scored_cte(0.5), sent]
+    full = f"count(*) FILTER (WHERE accepted) % {b} = 0"
     return {
+        "payload_routing": with_views(["raw_event"], scored, "SELECT event_id, topic, error, bytes_replaced FROM routed_messages"),
+        "stream_metrics": with_views(["raw_event"], scored, """
+SELECT batch_id, name, 'counter' AS kind, CAST(sum(n) OVER (PARTITION BY name ORDER BY batch_id) AS DOUBLE) AS value
+FROM (UNPIVOT batch_counts ON COLUMNS(* EXCLUDE (batch_id)) INTO NAME name VALUE n) u"""),
+        "feedback_loop_metrics": with_views(["feedback_text"], [FO.FB_PARSED, FO.ACCEPT, f"""
+loop AS (
+  SELECT CAST(count(*) AS DOUBLE) AS messages, CAST(count(*) FILTER (WHERE accepted) AS DOUBLE) AS accepted,
+    CAST((count(*) FILTER (WHERE accepted) + {b - 1}) // {b} AS DOUBLE) AS updates,
+    CAST(CASE WHEN {full} THEN least(count(*) FILTER (WHERE accepted), {b}) ELSE count(*) FILTER (WHERE accepted) % {b} END AS DOUBLE) AS last_size
+  FROM fba
+)"""], """
+SELECT unnest(['online_consumer_messages_total', 'online_feedback_received_total', 'online_feedback_accepted_total',
+    'online_feedback_skipped_total', 'online_updates_total', 'promotions_judged', 'online_updater_buffer_size',
+    'online_last_update_batch_size']) AS name,
+  unnest(['counter', 'counter', 'counter', 'counter', 'counter', 'counter', 'gauge', 'gauge']) AS kind,
+  unnest([messages, messages, accepted, messages - accepted, updates, updates, 0.0, last_size]) AS value
+FROM loop"""),
         "feedback_loop_counts": with_views(["feedback_text"], [FO.FB_PARSED, FO.ACCEPT], f"""
 SELECT count(*) AS messages_seen, count(*) FILTER (WHERE accepted) AS accepted,
   count(*) FILTER (WHERE NOT accepted) AS skipped,

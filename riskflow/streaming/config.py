@@ -1,11 +1,25 @@
-"""Run configuration for the stream jobs (T3): topics, threshold, model names; env overrides."""
+"""Run configuration of the stream jobs (T3): topics, source, threshold, weights, models; read from the environment.
+
+A value that no job could run with is refused when the configuration is made, not when a stream reaches it.
+"""
 
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+from collections.abc import Mapping
+from dataclasses import dataclass
+
+from riskflow.contract import DEFAULT_THRESHOLD, DEFAULT_WEIGHTS, TOPIC_ANOMALY, TOPIC_DLQ, TOPIC_FEATURES, TOPIC_NORMAL
+from riskflow.sources.payloads import SourceOptions
 
-from riskflow.contract import DEFAULT_THRESHOLD, TOPIC_ANOMALY, TOPIC_DLQ, TOPIC_FEATURES, TOPIC_NORMAL
+# The environment variable of each text setting.
+ENV_TOPICS = {
+    "raw_topic": "RAW_EVENTS_TOPIC",
+    "valid_topic": "FEATURE_EVENTS_TOPIC",
+    "anomaly_topic": "ANOMALIES_TOPIC",
+    "normal_topic": "METRICS_TOPIC",
+    "dlq_topic": "DLQ_TOPIC",
+}
 
 
 @dataclass(frozen=True)
@@ -16,18 +30,26 @@ class StreamConfig:
     normal_topic: str = TOPIC_NORMAL
     dlq_topic: str = TOPIC_DLQ
     score_threshold: float = DEFAULT_THRESHOLD
-    weights: tuple = (0.4, 0.3, 0.3)
-    model_names: tuple = field(default=("isolation_forest", "autoencoder", "logit"))
-    max_files_per_trigger: int | None = None
+    weights: tuple = tuple(DEFAULT_WEIGHTS)
+    model_root: str | None = None  # folder of the model registry; without it events are parsed and enriched only
+    source: SourceOptions = SourceOptions()
+
+    def __post_init__(self):
+        names = [getattr(self, f) for f in ENV_TOPICS]
+        if not all(names):
+            raise ValueError("a topic needs a name")
+        if len(set(names)) < len(names):
+            raise ValueError(f"topics must differ: {names}")
+        if not 0.0 <= self.score_threshold <= 1.0:
+            raise ValueError("score_threshold must be in [0, 1]")
 
     @staticmethod
-    def from_env(prefix: str = "RISKFLOW_") -> "StreamConfig":
-        e = os.environ
-        return StreamConfig(
-            raw_topic=e.get(prefix + "RAW_TOPIC", "raw-events"),
-            valid_topic=e.get(prefix + "VALID_TOPIC", TOPIC_FEATURES),
-            anomaly_topic=e.get(prefix + "ANOMALY_TOPIC", TOPIC_ANOMALY),
-            normal_topic=e.get(prefix + "NORMAL_TOPIC", TOPIC_NORMAL),
-            dlq_topic=e.get(prefix + "DLQ_TOPIC", TOPIC_DLQ),
-            score_threshold=float(e.get(prefix + "SCORE_THRESHOLD", DEFAULT_THRESHOLD)),
-        )
+    def from_env(env: Mapping[str, str] | None = None) -> "StreamConfig":
+        """Settings given in the environment (or another mapping); the others keep their defaults."""
+        e = os.environ if env is None else env
+        given = {f: e[name] for f, name in ENV_TOPICS.items() if name in e}
+        if "ANOMALY_THRESHOLD" in e:
+            given["score_threshold"] = float(e["ANOMALY_THRESHOLD"])
+        if "MODEL_ROOT" in e:
+            given["model_root"] = e["MODEL_ROOT"]
+        return StreamConfig(source=SourceOptions.from_env(e), **given)

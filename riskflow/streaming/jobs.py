@@ -55,22 +55,15 @@ def event_source(spark: SparkSession, sf_dir: str, max_files_per_trigger: int |
 def scoring_stream(events_stream: DataFrame, models: ModelSet | None, threshold: float = 0.5) -> DataFrame:
     """T1 on a stream: raw JSON -> parse -> features -> score -> topic.
 
-    O1: per micro-batch counters are attached with ``observe`` and arrive in
-    each ``StreamingQueryProgress.observedMetrics['stream_counters']``.
+    O1: per micro-batch counters are attached with ``observe`` (:mod:`riskflow.streaming.metrics` records them).
     """
-    routed = route_events(adapters.raw_event(events_stream), models, threshold=threshold)
-    return routed.observe(
-        "stream_counters",
-        F.count(F.lit(1)).alias("stream_events_in_total"),
-        F.count_if(F.col("topic") == "anomalies").alias("stream_events_anomaly_total"),
-        F.count_if(F.col("topic") == "metrics").alias("stream_events_normal_total"),
-        F.count_if(F.col("topic") == "feature-events").alias("stream_events_valid_total"),
-        F.count_if(F.col("topic") == TOPIC_DLQ).alias("stream_events_dlq_total"),
-    )
+    from riskflow.streaming.metrics import with_counters
+
+    return with_counters(route_events(adapters.raw_event(events_stream), models, threshold=threshold))
 
 
 def run_available_now(df: DataFrame, out: str, ckpt: str, partition_by: list[str] | None = None,
-                      timeout_s: int | None = None) -> str:
+                      timeout_s: int | None = None, name: str | None = None) -> str:
     """T4 + S7: run a stream over the available input, exactly-once file sink, then stop.
 
     Without a limit the stream runs to the end of its input; a limit that is hit raises.
@@ -78,6 +71,8 @@ def run_available_now(df: DataFrame, out: str, ckpt: str, partition_by: list[str
     w = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).outputMode("append")
     if partition_by:
         w = w.partitionBy(*partition_by)
+    if name:
+        w = w.queryName(name)
     await_end(w.trigger(availableNow=True).start(), timeout_s)
     return out
 
@@ -95,11 +90,16 @@ def await_end(q, timeout_s: int | None = None) -> None:
         raise TimeoutError(f"the stream had not read its input after {timeout_s} s; its output is incomplete")
 
 
-def land(events: DataFrame, path: str, piece: int, pieces: int) -> None:
-    """Append one of ``pieces`` id ranges of the events to a landing folder."""
+def piece_of(events: DataFrame, piece: int, pieces: int) -> DataFrame:
+    """One of ``pieces`` id ranges of the events."""
     top = events.agg(F.max("event_id")).first()[0]
     of = F.expr(f"event_id * {pieces} div {0 if top is None else top + 1}") if top is not None else F.lit(0)
-    events.where(of == piece).write.mode("append").parquet(path)
+    return events.where(of == piece)
+
+
+def land(events: DataFrame, path: str, piece: int, pieces: int) -> None:
+    """Append one of ``pieces`` id ranges of the events to a landing folder."""
+    piece_of(events, piece, pieces).write.mode("append").parquet(path)
 
 
 def keyed_velocity_batch(parsed: DataFrame, ingest_col: str = "event_id") -> DataFrame:
