@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from riskflow.contract import LEAKAGE_FIELDS, EVENT_SCHEMA_V1
-from riskflow.models.demo import demo_models
-from riskflow.operators.scoring import route_topic_sql, score_sql
+from riskflow.plans import model_sql
 from riskflow.plans.events_queries import BENCH_THRESHOLD, SCORE_DIGITS
 from riskflow.plans.oracle_rules import hour_sql, iso_valid_sql, parsed_events_cte
 from riskflow.plans.oracle_views import with_views
@@ -37,17 +36,15 @@ feat2 AS (
 
 
 def _scored_cte(threshold: float) -> str:
-    s = score_sql(demo_models())
-    topic = route_topic_sql("ensemble_score", threshold)
     return f"""
 scored AS (
-  SELECT *, CASE WHEN error IS NOT NULL THEN 'dead-letter' ELSE {topic} END AS topic
+  SELECT *, CASE WHEN error IS NOT NULL THEN 'dead-letter' ELSE {model_sql.topic(threshold)} END AS topic
   FROM (
     SELECT *,
-      CASE WHEN error IS NULL THEN {s['if_score']} END AS if_score,
-      CASE WHEN error IS NULL THEN {s['ae_score']} END AS ae_score,
-      CASE WHEN error IS NULL THEN {s['sgd_score']} END AS sgd_score,
-      CASE WHEN error IS NULL THEN {s['ensemble_score']} END AS ensemble_score
+      CASE WHEN error IS NULL THEN {model_sql.DEMO_IF} END AS if_score,
+      CASE WHEN error IS NULL THEN {model_sql.DEMO_AE} END AS ae_score,
+      CASE WHEN error IS NULL THEN {model_sql.DEMO_SGD} END AS sgd_score,
+      CASE WHEN error IS NULL THEN {model_sql.DEMO_ENSEMBLE} END AS ensemble_score
     FROM feat2
   ) z
 )"""

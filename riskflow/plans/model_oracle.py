@@ -4,17 +4,12 @@ from __future__ import annotations
 
 from riskflow.contract import ADAPTIVE_DEFAULTS as AD
 from riskflow.contract import FEATURES_V1, PROMOTION_MIN
-from riskflow.models.base import feature_refs
-from riskflow.models.demo import demo_models
-from riskflow.models.fixed import FIXED_FOREST, FIXED_LOGIT, fixed_autoencoder
-from riskflow.models.params import AutoencoderParams, ae_staged_sql
-from riskflow.operators.scoring import score_sql
+from riskflow.plans import model_sql
 from riskflow.plans.model_queries import BUDGET_RATIO
 from riskflow.plans.oracle_views import with_views
 from riskflow.plans.table_oracle import FEATURES_CTE
 
 R = 9
-X = feature_refs()
 
 
 def _w(extra: list[str], body: str) -> str:
@@ -38,7 +33,7 @@ SCALED_CTE = "scaled AS (SELECT s.event_id, s.split, " + ", ".join(
     for c in FEATURES_V1
 ) + " FROM split s, bounds b)"
 
-LOGIT_CTE = f"lscored AS (SELECT *, {FIXED_LOGIT.sql(X)} AS score FROM feat)"
+LOGIT_CTE = f"lscored AS (SELECT *, {model_sql.LOGIT} AS score FROM feat)"
 
 HOLDOUT_CTE = """
 per_score AS (SELECT score AS s, sum(CASE WHEN isFraud = 1 THEN 1 ELSE 0 END) AS pos,
@@ -61,8 +56,7 @@ hold AS (
 
 
 def _demo_cte() -> str:
-    s = score_sql(demo_models())
-    return f"dscored AS (SELECT *, {s['ensemble_score']} AS ensemble_score FROM feat)"
+    return f"dscored AS (SELECT *, {model_sql.DEMO_ENSEMBLE} AS ensemble_score FROM feat)"
 
 
 def _adaptive(by: str | None) -> str:
@@ -76,22 +70,19 @@ FROM dscored {grp}"""
 
 
 def oracle() -> dict[str, str]:
-    fixed = fixed_autoencoder()
-    identity = AutoencoderParams([0.0] * 7, [1.0] * 7, fixed.layers, fixed.threshold)
-    ae_fixed = "ae AS (" + ae_staged_sql(fixed, "feat", X, ["event_id"]) + ")"
-    ae_val = "aev AS (" + ae_staged_sql(
-        identity, "(SELECT * FROM scaled WHERE split = 'validation')", [f"{c}_scaled" for c in FEATURES_V1], ["event_id"]
-    ) + ")"
+    ae_fixed = "ae AS (" + model_sql.net_error(model_sql.scaled("feat")) + ")"
+    validation = "SELECT event_id, [" + ", ".join(f"{c}_scaled" for c in FEATURES_V1) + "] AS s FROM scaled WHERE split = 'validation'"
+    ae_val = "aev AS (" + model_sql.net_error(validation) + ")"
     pm = PROMOTION_MIN
     budget = f"greatest(1, CAST(round_even(count(*) OVER () * {BUDGET_RATIO!r}, 0) AS BIGINT))"
     return {
         "logit_score": _w([LOGIT_CTE], f"SELECT event_id, round(score, {R}) AS score FROM lscored"),
         "ae_score_fixed_net": _w([ae_fixed], f"""
 SELECT event_id, round(ae_mse, {R}) AS ae_mse,
-  round(least(greatest(ae_mse / {fixed.threshold!r}, 0.0), 1.0), {R}) AS ae_score FROM ae"""),
+  round(least(greatest(ae_mse / {model_sql.AE_THRESHOLD}, 0.0), 1.0), {R}) AS ae_score FROM ae"""),
         "if_score_fixed_forest": _w([], f"""
 SELECT event_id, round(d, {R}) AS decision, round(1.0 / (1.0 + exp(d)), {R}) AS if_score
-FROM (SELECT event_id, {FIXED_FOREST.sql(X)} AS d FROM feat) z"""),
+FROM ({model_sql.forest_decision('feat')}) z"""),
         "positional_split": _w([SPLIT_CTE], "SELECT event_id, row_index, split FROM split"),
         "minmax_scale": _w([SPLIT_CTE, BOUNDS_CTE, SCALED_CTE], "SELECT event_id, split, " + ", ".join(
             f"round({c}_scaled, {R}) AS {c}_scaled" for c in FEATURES_V1) + " FROM scaled"),
