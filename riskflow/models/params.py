@@ -136,18 +136,3 @@ def ae_apply(params: AutoencoderParams, df, x: list[str], name: str):
         prev = names
     d = d.withColumn(name, F.expr(params.mse_sql(scaled, prev)))
     return d.drop(*tmp)
-
-
-def ae_staged_sql(params: AutoencoderParams, source: str, x: list[str], keep: list[str]) -> str:
-    """The same staged computation as nested SQL subqueries (oracle twin)."""
-    keep_s = ", ".join(keep)
-    scaled = [f"_ae_s{i}" for i in range(len(x))]
-    q = f"SELECT {keep_s}, " + ", ".join(f"{e} AS {n}" for e, n in zip(params.scaled_sql(x), scaled)) + f" FROM {source}"
-    carried = list(scaled)
-    prev = scaled
-    for li in range(len(params.layers)):
-        names = [f"_ae_l{li}_{j}" for j in range(len(params.layers[li][1]))]
-        cols = ", ".join(f"{e} AS {n}" for e, n in zip(params.layer_sql(li, prev), names))
-        q = f"SELECT {keep_s}, {', '.join(carried)}, {cols} FROM ({q}) l{li}"
-        prev = names
-    return f"SELECT {keep_s}, {params.mse_sql(scaled, prev)} AS ae_mse FROM ({q}) fin"

@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import datetime as dt
 import uuid
+from dataclasses import asdict
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskflow.contract import FEATURES_V1
 from riskflow.session import checkpoint_dir
 
 
@@ -168,15 +170,28 @@ class ModelRegistry:
         return df
 
 
+MEMBER_TYPES = {"isolation_forest": "isolation_forest", "autoencoder": "autoencoder", "logit": "logistic"}
+
+
+def member_params(model) -> dict:
+    """The parameters of an ensemble member as its table keeps them, with the order of the features."""
+    params = {k: v for k, v in asdict(model).items() if k != "version"}
+    return params | {"features_order": FEATURES_V1}
+
+
+def record_training(reg: ModelRegistry, name: str, model, run_params: dict, metrics: dict) -> int:
+    """S11 + S13: the next version of a member, and the record of the run that made it; it does not go live by that."""
+    version = max([0] + reg.versions(name)) + 1
+    reg.save(name, version, MEMBER_TYPES[name], member_params(model))
+    reg.log_run(name, f"{name}_v{version}", run_params | {"features_order": FEATURES_V1}, metrics | {"version": version})
+    return version
+
+
 def save_model_set(reg: ModelRegistry, version: int, forest, net, logit) -> None:
     """The three ensemble members as parameter tables, made live together."""
-    from dataclasses import asdict
-
-    reg.save("isolation_forest", version, "isolation_forest", asdict(forest))
-    reg.save("autoencoder", version, "autoencoder",
-             {"mins": net.mins, "maxs": net.maxs, "layers": net.layers, "threshold": net.threshold})
-    reg.save("logit", version, "logistic", {"weights": logit.weights, "bias": logit.bias})
-    reg.set_live_all({name: version for name in ("isolation_forest", "autoencoder", "logit")})
+    for name, model in (("isolation_forest", forest), ("autoencoder", net), ("logit", logit)):
+        reg.save(name, version, MEMBER_TYPES[name], member_params(model))
+    reg.set_live_all({name: version for name in MEMBER_TYPES})
 
 
 def load_model_set(reg: ModelRegistry):
@@ -185,11 +200,11 @@ def load_model_set(reg: ModelRegistry):
     from riskflow.models.iforest import ForestUDF
     from riskflow.models.params import AutoencoderParams, ForestParams, LogitParams
 
-    reg.require(["isolation_forest", "autoencoder", "logit"])
+    reg.require(list(MEMBER_TYPES))
     f = reg.load("isolation_forest")["params"]
     a = reg.load("autoencoder")["params"]
     lg = reg.load("logit")["params"]
-    forest = ForestParams(**f)
+    forest = ForestParams(**{k: v for k, v in f.items() if k != "features_order"})
     net = AutoencoderParams(a["mins"], a["maxs"], [(w, b) for w, b in a["layers"]], a["threshold"])
     return ModelSet(if_decision=ForestUDF(forest), ae_mse=net, ae_threshold=net.threshold,
                     proba=LogitParams(lg["weights"], lg["bias"]))

@@ -1,4 +1,4 @@
-"""Monitoring as data (O1-O7): counters, exposition text, rates, ratios, alerts, readiness.
+"""Monitoring as data (O1-O6): counters, exposition text, rates, ratios, alerts.
 
 Metric series are keyed by name; windows run per name over time-ordered
 samples, so their size grows with the time span, not with the event volume
@@ -137,19 +137,6 @@ def alerts(samples: DataFrame, rules=ALERT_RULES) -> DataFrame:
     return isl.where(F.col("fired_at").isNotNull()).drop("_grp")
 
 
-def readiness(checks: list[tuple[str, DataFrame]]) -> DataFrame:
-    """One row per check (check, ok) plus ``overall_ok`` = all checks pass.
-
-    Each input is a one-row DataFrame with a boolean column ``ok``.
-    """
-    u = None
-    for name, df in checks:
-        part = df.select(F.lit(name).alias("check"), F.coalesce(F.col("ok"), F.lit(False)).alias("ok"))
-        u = part if u is None else u.unionByName(part)
-    overall = u.agg(F.lit("overall_ok").alias("check"), F.bool_and("ok").alias("ok"))
-    return u.unionByName(overall)
-
-
 def feedback_metrics(accepted: DataFrame, batch_size: int, ts_col: str = "ts") -> DataFrame:
     """O1 for the learning loop: received / accepted / skipped counters and the
     pending-buffer gauge (accepted rows not yet in a full batch), one aggregation."""

@@ -64,9 +64,3 @@ def route_topic(score_col: Column, threshold: float | Column = DEFAULT_THRESHOLD
     """
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     return F.when(~F.isnan(score_col) & (score_col >= t), F.lit(anomaly_topic)).otherwise(F.lit(normal_topic))
-
-
-def route_topic_sql(score_expr: str, threshold: float = DEFAULT_THRESHOLD,
-                    anomaly_topic: str = TOPIC_ANOMALY, normal_topic: str = TOPIC_NORMAL) -> str:
-    return (f"CASE WHEN NOT isnan({score_expr}) AND {score_expr} >= {fmt(threshold)} "
-            f"THEN '{anomaly_topic}' ELSE '{normal_topic}' END")

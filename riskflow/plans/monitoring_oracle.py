@@ -90,7 +90,8 @@ def oracle() -> dict[str, str]:
 SELECT 'demo_has_anomalies' AS "check", (SELECT count(*) FROM scored WHERE topic = 'anomalies') >= 1 AS ok
 UNION ALL SELECT 'demo_has_feedback', (SELECT count(*) FROM scored s JOIN fbv v ON CAST(s.event_id AS VARCHAR) = v.anomaly_id
                                         WHERE s.topic = 'anomalies' AND v.status = 'accepted') >= 1
-UNION ALL SELECT 'demo_online_updated', (SELECT count(DISTINCT batch_no) FROM fbb) >= 1
+UNION ALL SELECT 'demo_online_updated', (SELECT count(*) FROM scored s JOIN fbv v ON CAST(s.event_id AS VARCHAR) = v.anomaly_id
+    JOIN fba a ON a.event_id = v.event_id WHERE s.topic = 'anomalies' AND v.status = 'accepted' AND a.accepted) >= 1
 UNION ALL SELECT 'benchmark_latency_slo_met', (SELECT round(quantile_cont(g, 0.95), 6) FROM (
     SELECT (epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, event_id)) / 1000.0 AS g FROM events) z WHERE g IS NOT NULL) <= {LATENCY_SLO_MS}
 UNION ALL SELECT 'benchmark_quality_fields_present', (SELECT count(*) FROM (SELECT {budget} AS k FROM dscored) q) > 0"""
@@ -120,7 +121,7 @@ WHERE a.name = 'stream_events_anomaly_total' AND b.name = 'stream_events_in_tota
         "alerts_fired": with_views(["metric_samples"], [DELTAS], _alerts_sql()),
         "readiness_gate": with_views(
             ["raw_event", "feedback_text"],
-            [PARSED, EVENT_FEATURES_CTE, _scored_cte(0.5), FO.FB_PARSED, FO.VALIDATED, FO.ACCEPT, FO.BATCHED,
+            [PARSED, EVENT_FEATURES_CTE, _scored_cte(0.5), FO.FB_PARSED, FO.VALIDATED, FO.ACCEPT,
              TABLE_FEATURES_CTE, _demo_cte(), "r AS (" + readiness + ")"],
             readiness_all,
         ),
