@@ -42,6 +42,8 @@ SHORT = 12
 LAID = (*((m, MIN_TOKENS, None) for m in MASKS), *((m, MIN_TOKENS, SHORT - 1) for m in SHORT_MASKS), *(("1" * n, n, n) for n in range(1, MIN_TOKENS)))
 BLOCK_TOKENS = 1 << 20
 HITS = 1 << 18  # hits verified together
+LINED_UP = 1 << 14  # hits whose tokens are laid side by side at a time
+TEXT_BYTES = (1 << 20) - 2  # of the documents probed together
 _U = np.uint64
 
 SEPARATOR = np.ones(256, bool)
@@ -137,8 +139,8 @@ class Items:
         # tokens WINDOW before to WINDOW after the hit, outside the text or the item never equal
         offsets = np.arange(-WINDOW, 2 * WINDOW)
         best = np.zeros(len(p), np.int64)
-        for lo in range(0, len(p), 1 << 16):
-            part = slice(lo, lo + (1 << 16))
+        for lo in range(0, len(p), LINED_UP):
+            part = slice(lo, lo + LINED_UP)
             a, b = p[part, None] + offsets, q[part, None] + offsets
             inside = (a >= first[d[part]][:, None]) & (a < first[d[part] + 1][:, None]) & (b >= self.first[i[part]][:, None]) & (b < self.end[i[part]][:, None])
             same = inside & (h[np.clip(a, 0, len(h) - 1)] == self.h[np.clip(b, 0, len(self.h) - 1)])
@@ -174,7 +176,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sent = spark.sparkContext.broadcast(items)
 
         def probe(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in blocks(batches):
+            for b in blocks(batches, limit=TEXT_BYTES):
                 d, i, n = sent.value.match(*token_hashes(b))
                 ids = b.cols["doc_id"].cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(d)), sent.value.ids.take(pa.array(i)), pa.array(n), pa.array(sent.value.size[i])], ["doc_id", "item_id", "n_same", "n_item"])
