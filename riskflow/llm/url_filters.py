@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from riskflow.llm.blocks import stored
 
 #: (verdict, rule); a rule is a host and a path, fits the host and its subdomains, the longest fitting one wins.
-RULES = (("allow", "org/"), ("block", "example.org/es/"), ("allow", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 MIN_SUPPORT = 0.002
 MIN_COUNT = 5
 MIN_CONFIDENCE = 0.6
