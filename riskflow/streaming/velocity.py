@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +84,13 @@ class VelocityLog:
 
     def number(self, rows: DataFrame, batch_id: int) -> DataFrame:
         """The rows (as ``keyed_events`` gives them) with ``txn_velocity_1h`` and ``late``, written and read back."""
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # parsed once: read by the pieces, the numbering and the rest
+        try:
+            return self._number(rows, batch_id)
+        finally:
+            rows.unpersist()
+
+    def _number(self, rows: DataFrame, batch_id: int) -> DataFrame:
         base, mark = self._before(batch_id)
         prior = self.counts(batch_id, base, mark)
         open_ = F.col("hour_start").isNotNull() & F.col("user_id").isNotNull() & ~self._closed(mark)
