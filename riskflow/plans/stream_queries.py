@@ -10,7 +10,7 @@ from riskflow.operators.events import sink_records
 from riskflow.session import cut_lineage
 from riskflow.sources import adapters
 from riskflow.sources.payloads import SourceOptions, publish_records
-from riskflow.sources.tables import table
+from riskflow.sources.tables import spread, table
 from riskflow.streaming import jobs
 from riskflow.streaming.config import StreamConfig
 from riskflow.streaming.metrics import MetricsLog, feedback_loop_samples
@@ -75,7 +75,7 @@ def _payload_run(spark, sf_dir):
     out, _ = jobs.stream_location(spark, "payloads")
     events, log = table(spark, sf_dir, "events"), MetricsLog(spark, f"{out}/metrics")
     for k in range(PIECES):
-        raw = adapters.raw_event(jobs.piece_of(events, k, PIECES)).selectExpr(
+        raw = adapters.raw_event(spread(jobs.piece_of(events, k, PIECES), "event_id")).selectExpr(
             "CAST(event_id AS STRING) AS key", "IF(event_id % 50 = 19, concat(CAST(raw AS BINARY), X'FF'), CAST(raw AS BINARY)) AS value",
             "timestamp '2024-01-01 12:00:00' + make_interval(0, 0, 0, CAST(event_id % 10 AS INT)) AS sent_at")
         for topic in (PAYLOAD_CONFIG.raw_topic, "payments-other"):
