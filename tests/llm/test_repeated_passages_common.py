@@ -32,6 +32,29 @@ def test_a_common_key_is_shared_among_tasks(shuffled, monkeypatch):
     assert max(Counter(r.task for r in got if r.h == 1).values()) < 600
 
 
+def test_strings_of_a_common_gram_are_shared_among_tasks(shuffled, monkeypatch):
+    """A passage with a thousand contexts: no task gets all of its gram's strings, and every string is fetched once."""
+    rnd = random.Random(21)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    line = word(300)
+    texts = [word(150) + line + word(150) for _ in range(1000)] + [word(600) for _ in range(50)]
+    docs = shuffled.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    seen = []
+
+    def fetch(docs, wanted):
+        seen.extend(wanted.withColumn("task", F.spark_partition_id()).collect())
+        return pieces(docs, wanted)
+
+    pieces = repeated_passages._pieces
+    monkeypatch.setattr(repeated_passages, "_pieces", fetch)
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeated_passages.dedup(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+    gram, n = Counter(r.h for r in seen).most_common(1)[0]
+    assert n > 600 and {r.k for r in seen if r.h == gram} == {n}
+    assert len({(r.h, r.rk, r["at"]) for r in seen}) == len(seen)
+    assert max(Counter(r.task for r in seen if r.h == gram).values()) < n / 2
+
+
 @pytest.mark.parametrize("hot", [3, 50_000])
 def test_a_line_that_fills_texts(spark, monkeypatch, hot):
     monkeypatch.setattr(repeated_passages, "HOT", hot)
